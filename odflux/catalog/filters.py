@@ -141,14 +141,11 @@ def _(t):
 
 # ---- projections ---------------------------------------------------------------
 
-@query(
-    "prj01_project",
-    "select 'all' as period, name, round(wage, 6) as pay from wage",
-)
+@query("prj01_project", "select 'all' as period, c_name as name, round(c_acctbal, 0) as pay from customer")
 def _(t):
     return projections.project(
-        t.wage(), rename={"wage": "pay"}, drop=["year"], constants={"period": "all"}, rounding={"pay": 6},
-        order=["period", "name", "pay"],
+        t.customer.select("c_custkey", "c_name", "c_acctbal"), rename={"c_acctbal": "pay", "c_name": "name"},
+        drop=["c_custkey"], constants={"period": "all"}, rounding={"pay": 0}, order=["period", "name", "pay"],
     )
 
 

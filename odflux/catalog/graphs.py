@@ -1 +1,347 @@
-"""Not yet."""
+"""Flow-graph operators on quarter edges."""
+
+from pyspark.sql import functions as F
+
+from odflux.catalog.inputs import rounded
+from odflux.catalog.registry import query
+from odflux.catalog.views import hits_views, pagerank_views
+from odflux.graph import community, degree, paths, rank, tables
+from odflux.operators.filters import vertices_of
+from odflux.operators.setops import append
+from odflux.session import materialize
+
+PR_ROUNDS, HITS_ROUNDS = 8, 4
+LOCATED = "located_edges"
+
+
+def located(t):
+    return materialize(degree.build_graph(t.edges(), t.location()), "located")
+
+
+@query("grf01_build_graph", "select time, src, dst, cnt from located_edges")
+def _(t):
+    return degree.build_graph(t.edges(), t.location())
+
+
+@query(
+    "grf01_build_graph_normalized",
+    "select time, src, dst, round(cnt / sum(cnt) over (partition by time, src), 6) as cnt from located_edges",
+)
+def _(t):
+    return rounded(degree.build_graph(t.edges(), t.location(), normalize=True), 6, "cnt")
+
+
+@query(
+    "grf02_degrees",
+    """select time, name, sum(i)::bigint as flow_in, sum(o)::bigint as flow_out, sum(i - o)::bigint as flow_in_net, sum(o - i)::bigint as flow_out_net
+       from (select time, dst as name, cnt as i, 0 as o from located_edges union all select time, src, 0, cnt from located_edges
+             union all select time, name, 0, 0 from (select distinct time from located_edges) cross join location) group by all""",
+)
+def _(t):
+    graph = located(t)
+    every = degree.build_graph(t.edges(), t.location()).select("time").distinct()
+    names = every.withColumn("_k", F.lit(1)).join(t.location().select("name").withColumn("_k", F.lit(1)), "_k")
+    return degree.degrees(graph, names.select("time", "name"))
+
+
+@query(
+    "grf03_gross_flow",
+    """select time, src as name, round(sum(case when src <> dst then cnt else 0 end) / sum(cnt), 6) as gross_flow
+       from season_flow group by all""",
+)
+def _(t):
+    return rounded(degree.gross_flow(t.flow()), 6, "gross_flow")
+
+
+@query(
+    "grf04_net_inflow_per_mille",
+    """select time, name, round((sum(i) - sum(o)) * 1000 / any_value(total), 6) as flow_in_net_country_norm
+       from (select time, dst as name, cnt as i, 0 as o from season_flow union all select time, src, 0, cnt from season_flow)
+       join (select time, sum(cnt) as total from season_flow group by all) using (time) group by time, name""",
+)
+def _(t):
+    return rounded(degree.net_inflow_per_mille(t.flow()), 6, "flow_in_net_country_norm")
+
+
+@query(
+    "grf05_pagerank", "select time, name, round(pr, 8) as pr from pr_out", pagerank_views(LOCATED, PR_ROUNDS, "pr_out"),
+)
+def _(t):
+    return rounded(rank.pagerank(located(t), rounds=PR_ROUNDS), 8, "pr")
+
+
+SPARSE = "(select time, src, dst, cnt from season_edges where cnt > 8)"
+
+
+@query(
+    "grf05_pagerank_dangling",
+    "select time, name, round(pr, 8) as pr from pr_sparse",
+    {"sparse": "select time, src, dst, cnt from season_edges where cnt > 8", **pagerank_views("sparse", PR_ROUNDS, "pr_sparse", turn=True)},
+)
+def _(t):
+    return rounded(rank.pagerank(t.edges().where("cnt > 8"), rounds=PR_ROUNDS, inverse=True), 8, "pr")
+
+
+@query("grf05_pagerank_converged")
+def _(t):
+    return rank.pagerank(located(t))
+
+
+@query(
+    "grf06_hits",
+    "select time, name, round(hub, 8) as hub, round(authority, 8) as authority from hits_raw",
+    hits_views(LOCATED, HITS_ROUNDS, "hits_raw"),
+)
+def _(t):
+    return rounded(rank.hits(located(t), rounds=HITS_ROUNDS), 8, "hub", "authority")
+
+
+@query(
+    "grf06_hits_normalized",
+    "select time, name, round(hub, 8) as hub, round(authority, 8) as authority from hits_norm",
+    {
+        "norm_edges": "select time, src, dst, cnt / sum(cnt) over (partition by time, src) as cnt from located_edges",
+        **hits_views("norm_edges", HITS_ROUNDS, "hits_norm"),
+    },
+)
+def _(t):
+    return rounded(rank.hits(located(t), rounds=HITS_ROUNDS, normalize=True), 8, "hub", "authority")
+
+
+@query("grf06_hits_converged")
+def _(t):
+    return rank.hits(located(t))
+
+
+REACH = {
+    "sparse": "select time, src, dst, cnt from season_edges where cnt > 8",
+    "sparse_v": "select time, src as name from sparse union select time, dst from sparse",
+    "lv0": "select time, name as s, name as v, 0 as d, 1.0::double as sigma from sparse_v",
+}
+HOPS = 12
+for _h in range(1, HOPS + 1):
+    REACH[f"lv{_h}"] = f"""
+        select p.time, p.s, e.dst as v, {_h} as d, sum(p.sigma) as sigma from lv{_h - 1} p join sparse e on e.time = p.time and e.src = p.v
+        where {' and '.join(f'not exists (select 1 from lv{k} q where q.time = p.time and q.s = p.s and q.v = e.dst)' for k in range(_h))}
+        group by all"""
+REACH["reach"] = " union all ".join(f"select * from lv{h}" for h in range(HOPS + 1))
+
+
+@query(
+    "grf07_closeness",
+    """select time, name, round(coalesce(case when dist > 0 then (r - 1) / dist * (r - 1) / (n - 1) end, 0), 6) as closeness
+       from (select time, v as name, count(*) as r, sum(d) as dist from reach group by all)
+       join (select time, count(*) as n from sparse_v group by all) using (time)""",
+    REACH,
+)
+def _(t):
+    return rounded(paths.closeness(t.edges().where("cnt > 8")), 6, "closeness")
+
+
+@query(
+    "grf08_betweenness",
+    """select time, name, round(coalesce(b, 0) / case when n > 2 then (n - 1) * (n - 2) else 1 end, 6) as betweenness
+       from sparse_v join (select time, count(*) as n from sparse_v group by all) using (time)
+       left join (select a.time, a.v as name, sum(a.sigma * c.sigma / p.sigma) as b from reach a
+                  join reach c on a.time = c.time and a.v = c.s
+                  join reach p on p.time = a.time and p.s = a.s and p.v = c.v and p.d = a.d + c.d
+                  where a.s <> a.v and a.v <> c.v and a.s <> c.v group by all) using (time, name)""",
+    REACH,
+)
+def _(t):
+    return rounded(paths.betweenness(t.edges().where("cnt > 8")), 6, "betweenness")
+
+
+@query(
+    "grf09_centrality_table",
+    """select time, name, coalesce(flow_in, 0) as flow_in, coalesce(flow_out, 0) as flow_out, coalesce(flow_in - flow_out, 0) as flow_in_net,
+              coalesce(flow_out - flow_in, 0) as flow_out_net, round(coalesce(o.pr, 0), 8) as pr, round(coalesce(o.pr, 0), 8) as pr_norm,
+              round(coalesce(i.pr, 0), 8) as pr_inv, round(coalesce(i.pr, 0), 8) as pr_norm_inv,
+              round(coalesce(r.hub, 0), 8) as hub, round(coalesce(r.authority, 0), 8) as authority,
+              round(coalesce(m.hub, 0), 8) as hub_norm, round(coalesce(m.authority, 0), 8) as authority_norm,
+              round(coalesce(gross_flow, 0), 6) as gross_flow, round(coalesce(flow_in_net_country_norm, 0), 6) as flow_in_net_country_norm
+       from (season_degree left join pr_out o using (time, name) left join pr_turned i using (time, name)
+             left join hits_raw r using (time, name) left join hits_norm m using (time, name))
+       full join (season_gross join season_net using (time, name)) using (time, name)""",
+    {
+        **pagerank_views(LOCATED, PR_ROUNDS, "pr_out"),
+        **pagerank_views(LOCATED, PR_ROUNDS, "pr_turned", turn=True),
+        **hits_views(LOCATED, HITS_ROUNDS, "hits_raw"),
+        "norm_edges": "select time, src, dst, cnt / sum(cnt) over (partition by time, src) as cnt from located_edges",
+        **hits_views("norm_edges", HITS_ROUNDS, "hits_norm"),
+    },
+)
+def _(t):
+    out = tables.centrality_table(t.flow(), t.location(), PR_ROUNDS, HITS_ROUNDS)
+    eight = [c for c in out.columns if c.startswith(("pr", "hub", "authority"))]
+    return rounded(rounded(out, 8, *eight), 6, "gross_flow", "flow_in_net_country_norm")
+
+
+TYPED = {
+    "typed_located": "select * from typed_flow semi join location a on src = a.name semi join location b on dst = b.name",
+    "typed_deg": """
+        select time, value, name, sum(i)::bigint as flow_in, sum(o)::bigint as flow_out
+        from (select time, value, dst as name, cnt as i, 0 as o from typed_located where src <> dst
+              union all select time, value, src, 0, cnt from typed_located where src <> dst) group by all""",
+    "typed_all": """
+        select time, value, name, sum(i)::bigint as all_flow_in, sum(o)::bigint as all_flow_out
+        from (select time, value, dst as name, cnt as i, 0 as o from typed_located
+              union all select time, value, src, 0, cnt from typed_located) group by all""",
+    "typed_gross": """
+        select time, value, src as name, sum(case when src <> dst then cnt else 0 end) / sum(cnt) as gross_flow
+        from typed_flow group by all""",
+    "typed_between_names": """
+        select distinct time, value, name from (select time, value, src as name from typed_flow where src <> dst
+        union select time, value, dst from typed_flow where src <> dst) semi join location using (name)""",
+    "typed_table": """
+        select time, value, name, coalesce(flow_in, 0) as flow_in, coalesce(flow_out, 0) as flow_out, coalesce(gross_flow, 0) as gross_flow,
+               coalesce(all_flow_in, 0) as all_flow_in, coalesce(all_flow_out, 0) as all_flow_out, d.cnt as jdcount
+        from (typed_between_names left join typed_deg using (time, value, name))
+        full join typed_gross using (time, value, name) full join typed_all using (time, value, name)
+        join (select time, name, type as value, cnt from demand) d using (time, value, name)""",
+}
+
+
+def _per_mille(c, scope, keys):
+    return f"round(coalesce({c} * 1000 / nullif(sum({c}) over (partition by {keys}), 0), 0), 6) as {c}_{scope}_norm"
+
+
+_NORMED = ["flow_in", "flow_out", "all_flow_in", "all_flow_out", "jdcount"]
+
+
+@query(
+    "grf10_typed_centrality_table",
+    f"""select time, value, name, flow_in, flow_out, all_flow_in, all_flow_out, jdcount, round(gross_flow, 6) as gross_flow,
+              {', '.join(_per_mille(c, 'country', 'time') for c in _NORMED)},
+              {', '.join(_per_mille(c, 'name', 'time, name') for c in _NORMED)} from typed_table""",
+    TYPED,
+)
+def _(t):
+    out = tables.typed_centrality_table(t.typed_flow(), t.demand(), t.location(), pr_hits=False)
+    out = out.drop("flow_in_net", "flow_out_net", "flow_in_net_country_norm", "flow_in_net_name_norm")
+    return rounded(out, 6, "gross_flow", *[c for c in out.columns if c.endswith("_norm")])
+
+
+@query("grf10_typed_centrality_table_with_ranks")
+def _(t):
+    return tables.typed_centrality_table(t.typed_flow(), t.demand(), t.location(), rounds=4, hits_rounds=3)
+
+
+@query(
+    "grf11_undirected_edges",
+    "select time, least(src, dst) as src, greatest(src, dst) as dst, sum(cnt)::bigint as cnt from season_edges group by all",
+)
+def _(t):
+    return degree.undirected_edges(t.edges())
+
+
+@query("grf12_communities")
+def _(t):
+    parts = [
+        community.communities(t.edges(), resolution=r, normalize=norm)
+        .select("time", "name", F.lit(r).alias("resolution"), F.lit(norm).alias("normalized"), "label")
+        for r, norm in ((0.5, False), (1.0, True))
+    ]
+    return append(*parts)
+
+
+@query("grf12_communities_warm_start")
+def _(t):
+    edges = materialize(t.edges(), "edges")
+    first = community.communities(edges.where("time = '1996Q1'"))
+    start = first.select(F.lit("1996Q2").alias("time"), "name", "label")
+    return community.communities(edges.where("time = '1996Q2'"), init=start)
+
+
+@query(
+    "grf13_modularity",
+    """with u as (select time, least(src, dst) as a, greatest(src, dst) as b, sum(cnt) as w from season_edges group by all),
+            m as (select time, sum(w) as m from u group by all),
+            k as (select time, name, sum(w) as k from (select time, a as name, w from u union all select time, b, w from u) group by all),
+            i as (select time, sum(w) as inner_w from u join place x on a = x.name join place y on b = y.name where x.province = y.province group by all),
+            c as (select time, province, sum(k) as k from k join place using (name) group by all)
+       select time, round(0.8 * any_value(inner_w) / any_value(m.m) - sum((c.k / (2 * m.m)) ** 2), 6) as modularity
+       from c join m using (time) join i using (time) group by time""".replace("with u as", "select * from (with u as", 1) + ")",
+)
+def _(t):
+    pairs = degree.undirected_edges(t.edges())
+    provinces = t.place().select("name", F.col("province").alias("label"))
+    labels = vertices_of(pairs, ["time"]).join(provinces, "name")
+    return rounded(community.modularity(pairs, labels, resolution=0.8), 6, "modularity")
+
+
+def _align_sql():
+    """Greedy matching by repeated choice of the best free pair."""
+    views = {
+        "overlap": """
+            select a.label as u, b.label as p, count(*) as n from season_label a join season_label b using (name)
+            where a.time = '1996Q2' and b.time = '1996Q1' group by all""",
+    }
+    for i in range(1, 6):
+        taken = "".join(f" and u not in (select u from pick{k}) and p not in (select p from pick{k})" for k in range(1, i))
+        views[f"pick{i}"] = f"select u, p from overlap where true{taken} order by n desc, u, p limit 1"
+    views["pairs"] = " union all ".join(f"select * from pick{i}" for i in range(1, 6))
+    return views
+
+
+@query(
+    "grf14_align_labels",
+    """select name, label::integer as label from season_label where time = '1996Q1' and false union all
+       select name, coalesce(p, free.l)::integer from season_label left join pairs on label = u
+       left join (select a.u as fu, b.l from
+            (select u, row_number() over (order by u) as i from (select distinct label as u from season_label where time = '1996Q2') where u not in (select u from pairs)) a
+            join (select l, row_number() over (order by l) as i from range(50) r(l) where l not in (select p from pairs)) b using (i)) free on label = fu
+       where time = '1996Q2'""",
+    _align_sql(),
+)
+def _(t):
+    labels = materialize(t.season_label().where("time in ('1996Q1', '1996Q2')"), "labels")
+    history = community.label_history(labels.where("time = '1996Q1'"))
+    return community.align_step(labels.where("time = '1996Q2'").select("name", "label"), history)
+
+
+@query("grf14_align_labels_over_time")
+def _(t):
+    labels = t.season_label().withColumnRenamed("time", "part")
+    return community.align_labels(materialize(labels, "labels"), ["1996Q1", "1996Q2", "1996Q3", "1996Q4"])
+
+
+@query(
+    "grf15_edge_colors",
+    """select e.time, e.src, e.dst, e.cnt, case when e.src in ('NATION_2') or e.dst in ('NATION_2') then -1
+              when a.label = b.label then a.label else -1 end::integer as color
+       from season_edges e left join season_label a on e.time = a.time and e.src = a.name
+       left join season_label b on e.time = b.time and e.dst = b.name""",
+)
+def _(t):
+    edges = t.edges()
+    colored = degree.edge_colors(edges, t.season_label(), grey=["NATION_2"])
+    return colored.select("time", "src", "dst", "cnt", "color")
+
+
+@query(
+    "grf16_vertex_weights",
+    """select time, name, coalesce(cnt, 0)::bigint as weight from (select time, src as name from season_edges union select time, dst from season_edges)
+       left join (select time, name, cnt from demand where type = 'PROMO') using (time, name)""",
+)
+def _(t):
+    promo = t.demand().where("type = 'PROMO'")
+    return degree.vertex_weights(vertices_of(t.edges(), ["time"]), promo, "cnt")
+
+
+@query(
+    "grf17_aggregate_by_group",
+    """select time, a.tier as src, b.tier as dst, sum(cnt)::bigint as cnt from season_flow
+       join tiers a on src = a.name join tiers b on dst = b.name group by all""",
+)
+def _(t):
+    return degree.aggregate_by_group(t.flow(), t.tiers(), "tier")
+
+
+@query(
+    "grf18_region_subgraph",
+    """select time, src, dst, cnt from season_edges semi join (select name from region_city where region = 'R2') a on src = a.name
+       semi join (select name from region_city where region = 'R2') b on dst = b.name""",
+)
+def _(t):
+    return degree.region_subgraph(t.edges(), t.region_city().where("region = 'R2'").select("name"))

@@ -18,6 +18,11 @@ def rounded(df: DataFrame, digits: int, *columns) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
 
 
+def cents(column: str):
+    """Whole cents, so that sums are exact in every order."""
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
 class Tables:
     """Lazy views over one folder of Parquet tables."""
 
@@ -120,14 +125,14 @@ class Tables:
         return (
             self.orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(F.year("o_orderdate").alias("year"), F.col("n_name").alias("name"))
-            .agg((F.avg("c_acctbal") * 10).alias("wage"))
+            .agg((F.sum(cents("c_acctbal")) / F.count("*")).alias("wage"))
         )
 
     def gdp(self) -> DataFrame:
         people = self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         return (
             self.orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy(F.col("n_name").alias("name")).agg((F.sum("o_totalprice") / 1e6).alias("gdp"))
+            .groupBy(F.col("n_name").alias("name")).agg((F.sum(cents("o_totalprice")) / 100000000).alias("gdp"))
         )
 
     def demand(self) -> DataFrame:

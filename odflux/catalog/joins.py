@@ -71,15 +71,10 @@ def _(t):
     return joins.left_join_fill(*_two(t), ["src", "dst"])
 
 
-WAGE_DIFF = """
-    select f.time, f.value, f.src, f.dst, f.cnt, round(coalesce(b.wage - a.wage, 0), 4) as wage_diff
-    from typed_flow f join wage a on f.src = a.name and a.year = cast(substring(f.time, 1, 4) as integer)
-    left join (select * from wage where name <> 'NATION_5') b on f.dst = b.name and b.year = cast(substring(f.time, 1, 4) as integer)"""
-
 
 @query(
     "joi07_join_on_year_and_city",
-    """select f.time, f.src, f.dst, f.cnt, a.year, round(coalesce(b.wage - a.wage, 0), 4) as wage_diff
+    """select f.time, f.src, f.dst, f.cnt, a.year, round(coalesce(b.wage - a.wage, 0), 6) as wage_diff
        from season_flow f join wage a on f.src = a.name and a.year = cast(substring(f.time, 1, 4) as integer)
        left join wage b on f.dst = b.name and b.year = a.year and b.name in (select name from tiers)
        where f.src in (select name from tiers)""",
@@ -88,7 +83,7 @@ def _(t):
     stats = t.wage().join(t.tiers().select("name"), "name", "left_semi")
     edges = t.flow().withColumn("year", F.substring("time", 1, 4).cast("int"))
     joined = joins.join_on_year_and_city(edges, stats)
-    return rounded(joined, 4, "wage_diff").select("time", "src", "dst", "cnt", "year", "wage_diff")
+    return rounded(joined, 6, "wage_diff").select("time", "src", "dst", "cnt", "year", "wage_diff")
 
 
 @query(
@@ -113,11 +108,9 @@ def _(t):
 
 @query(
     "joi09_dictionary_match_documents",
-    """select doc_id, count(*) as hits, count(distinct word) as words from (
-           select d.doc_id, w.word, unnest(range(1, length(d.text)::bigint + 1)) as pos, d.text from documents d
-           join (select distinct lang as word from documents union select distinct substring(source, 1, 3) from documents
-                 union select distinct concat(lang, ' ') from documents union select 'the thing') w on contains(d.text, w.word))
-       where substring(text, pos, length(word)) = word group by doc_id""",
+    """select doc_id, sum((length(text) - length(replace(text, word, ''))) // length(word))::bigint as hits, count(*) as words
+       from documents join (select distinct lang as word from documents union select distinct substring(source, 1, 3) from documents
+            union select distinct concat(lang, ' ') from documents union select 'the thing') on contains(text, word) group by doc_id""",
 )
 def _(t):
     lang = t.documents.select(F.col("lang").alias("word"))

@@ -1 +1,115 @@
-"""Not yet."""
+"""Word statistics and topics of whole post titles."""
+
+from pyspark.sql import functions as F
+
+from odflux.catalog.inputs import rounded
+from odflux.catalog.registry import query
+from odflux.operators import text
+from odflux.operators.aggregates import array_sum_by
+from odflux.session import materialize
+
+MIN_COUNT = 100
+
+
+def _vocabulary(t):
+    return materialize(text.word_count(t.post(), "title", min_count=MIN_COUNT), "vocabulary")
+
+
+@query("txt01_tokenize", "select doc_id, count(*) as words, count(distinct word) as kinds, min(word) as first_word from token group by doc_id")
+def _(t):
+    words = text.word_stream(t.post(), "title", ["doc_id"])
+    return words.groupBy("doc_id").agg(
+        F.count("*").alias("words"), F.count_distinct("word").alias("kinds"), F.min("word").alias("first_word")
+    )
+
+
+@query("txt02_word_count", "select word, cnt from vocabulary")
+def _(t):
+    return text.word_count(t.post(), "title", min_count=MIN_COUNT)
+
+
+@query(
+    "txt03_inverse_document_frequency",
+    """select word, round(ln((select count(*) from post) / count(distinct doc_id)), 6) as idf
+       from token where word in (select word from vocabulary) group by word""",
+)
+def _(t):
+    return rounded(text.inverse_document_frequency(t.post(), "title", _vocabulary(t)), 6, "idf")
+
+
+MD5 = "('0x' || substr(md5(concat_ws('|', cast(doc_id as varchar), '42')), 1, 8))::bigint < 1288490188"
+
+
+@query(
+    "txt03_idf_of_a_sample",
+    f"""select word, round(ln((select count(*) from post where {MD5}) / count(distinct doc_id)), 6) as idf
+        from token where word in (select word from vocabulary) and {MD5} group by word""",
+)
+def _(t):
+    idf = text.inverse_document_frequency(t.post(), "title", _vocabulary(t), fraction=0.3, keys=["doc_id"])
+    return rounded(idf, 6, "idf")
+
+
+@query(
+    "txt04_tf_vector",
+    """select doc_id, word, round(count(*) / sum(count(*)) over (partition by doc_id), 6) as tf
+       from token where word in (select word from vocabulary) group by doc_id, word""",
+)
+def _(t):
+    return rounded(text.tf_vector(t.post(), "doc_id", "title", _vocabulary(t)), 6, "tf")
+
+
+@query(
+    "txt04_tf_idf_vector",
+    """select doc_id, word, round(n / total * idf, 6) as tf
+       from (select doc_id, word, count(*) as n, sum(count(*)) over (partition by doc_id) as total from token group by doc_id, word)
+       join (select word, ln((select count(*) from post) / count(distinct doc_id)) as idf from token
+             where word in (select word from vocabulary) group by word) using (word)""",
+)
+def _(t):
+    vocabulary = _vocabulary(t)
+    idf = text.inverse_document_frequency(t.post(), "title", vocabulary)
+    return rounded(text.tf_vector(t.post(), "doc_id", "title", vocabulary, norm=False, idf=idf), 6, "tf")
+
+
+def _vectors(t):
+    words = text.vocabulary_list(_vocabulary(t))
+    posts = t.post().na.drop(subset=["city", "startdate", "title"])
+    return words, materialize(text.vectorize(posts, "title", words).drop("title"), "vectors")
+
+
+@query("txt05_kmeans_topics")
+def _(t):
+    _, vectors = _vectors(t)
+    model = text.kmeans_topics(vectors, k=30)
+    return model.transform(vectors).select("doc_id", "topic")
+
+
+@query("txt06_gmm_topics")
+def _(t):
+    _, vectors = _vectors(t)
+    soft = text.gmm_topics(vectors, k=4, dims=4, max_iter=10)
+    soft = soft.withColumn("time", F.substring("startdate", 1, 7))
+    return array_sum_by(soft, ["city", "time"], "probability", 4)
+
+
+@query("txt07_topic_counts_of_clusters")
+def _(t):
+    _, vectors = _vectors(t)
+    model = text.kmeans_topics(vectors, k=30)
+    return text.topic_counts(model.transform(vectors))
+
+
+@query(
+    "txt07_topic_counts",
+    """select city as name, strftime(cast(startdate as date), '%Y%m') as time, (doc_id % 30)::integer as topic, count(*) as cnt
+       from post group by all""",
+)
+def _(t):
+    return text.topic_counts(t.post().withColumn("topic", (F.col("doc_id") % 30).cast("int")))
+
+
+@query("txt08_topic_word_matrix")
+def _(t):
+    words, vectors = _vectors(t)
+    return text.topic_word_matrix(text.kmeans_topics(vectors, k=30), words, t.spark)

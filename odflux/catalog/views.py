@@ -34,11 +34,11 @@ VIEWS = {
         select concat(year(event_date), 'Q', quarter(event_date)) as time, value, src, dst, cast(sum(cnt) as bigint) as cnt
         from typed_daily group by all""",
     "wage": """
-        select cast(year(o.o_orderdate) as integer) as year, n.n_name as name, avg(c.c_acctbal) * 10 as wage
+        select cast(year(o.o_orderdate) as integer) as year, n.n_name as name, cast(sum(cast(round(c.c_acctbal * 100) as bigint)) as bigint) / count(*) as wage
         from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey
         group by all""",
     "gdp": """
-        select n.n_name as name, sum(o.o_totalprice) / 1e6 as gdp
+        select n.n_name as name, cast(sum(cast(round(o.o_totalprice * 100) as bigint)) as bigint) / 100000000 as gdp
         from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey
         group by all""",
     "demand": """

@@ -208,7 +208,7 @@ def align_step(current: DataFrame, history: DataFrame) -> DataFrame:
         "label", F.lit(-1).alias("earlier"), F.lit(0).cast("bigint").alias("overlap")
     )
     table = overlaps.select("label", "earlier", "overlap").unionByName(bare)
-    mapping = table.groupBy(F.lit(1)).applyInPandas(_greedy, "label int, aligned int")
+    mapping = table.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_greedy, "label int, aligned int")
     return current.join(mapping, "label").withColumn("label", F.col("aligned")).drop("aligned")
 
 

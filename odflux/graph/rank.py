@@ -33,7 +33,7 @@ def pagerank(
     """
     by = list(by)
     if inverse:
-        edges = edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+        edges = edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "cnt")
     spark = edges.sparkSession
     summed = edges.groupBy(*by, "src", "dst").agg(F.sum("cnt").alias("cnt"))
     links = materialize(normalize_out(summed, by).withColumnRenamed("cnt", "w"), "links")

@@ -13,32 +13,47 @@ from pyspark.sql import functions as F
 from odflux.functions import periods, scalars
 from odflux.operators.filters import filter_any_keyword, safe_parse
 from odflux.operators.joins import grid_lookup
+from odflux.session import materialize
 from odflux.sources.files import SENTINEL
 
 LEVELS = ("province", "city", "region")
+SMALL_DICTIONARY = 256
+BLOCK = 256
 
 
 def dictionary_match(texts: DataFrame, words: DataFrame, text: str = "text", with_index: bool = False) -> DataFrame:
     """All dictionary words contained in each distinct text, overlapping ones included.
 
-    Every position of a text gives the characters that follow it, keyed by the shortest
-    word length; the dictionary joins on that key and then compares the whole word.
-    Long texts travel as a digest, not once per position.
+    A dictionary of at most ``SMALL_DICTIONARY`` words is tested word by word. For a
+    larger one, or for positions, every position of a text gives the characters that
+    follow it, keyed by the shortest word length; the dictionary joins on that key and
+    then compares the whole word. Texts are cut into overlapping blocks first, and
+    travel as a digest, so the work is linear in the text. The blocks are spread over
+    all tasks: they are small in bytes but many in positions, also for one long text.
     """
     words = words.select("word").where(F.length("word") > 0).distinct()
+    distinct = texts.select(F.col(text).alias("text")).where(F.length("text") > 0).distinct()
+    few = [] if with_index else words.limit(SMALL_DICTIONARY + 1).collect()
+    if 0 < len(few) <= SMALL_DICTIONARY:
+        listed = F.array(*[F.lit(row["word"]) for row in few])
+        found = F.filter(listed, lambda w: F.contains(F.col("text"), w))
+        return distinct.select("text", F.explode(found).alias("word")).withColumnRenamed("text", text)
     bounds = words.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
     shortest, longest = bounds[0] or 1, bounds[1] or 1
-    distinct = texts.select(F.col(text).alias("text")).where(F.length("text") >= shortest).distinct()
-    distinct = distinct.withColumn("text_id", F.md5("text"))
-    chars = F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))
-    grams = distinct.select("text_id", chars.alias("chars")).select(
-        "text_id",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("chars") - (shortest - 1)),
-                lambda at: F.array_join(F.slice("chars", at, F.lit(longest)), ""),
-            )
-        ).alias("start", "ahead"),
+    distinct = distinct.where(F.length("text") >= shortest).withColumn("text_id", F.md5("text"))
+    size = F.length("text")
+    blocks = distinct.select(
+        "text_id", "text", F.explode(F.sequence(F.lit(0), size - 1, F.lit(BLOCK))).alias("at")
+    ).select(
+        "text_id", "at", F.least(F.lit(BLOCK), size - F.col("at")).alias("own"),
+        F.substring("text", F.col("at") + 1, F.lit(BLOCK + longest - 1)).alias("block"),
+    )
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = blocks.repartition(tasks, "text_id", "at").select(
+        "text_id", "at", "block", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("place")
+    ).select(
+        "text_id", (F.col("at") + F.col("place") - 1).alias("start"),
+        F.substring("block", F.col("place"), F.lit(longest)).alias("ahead"),
     ).withColumn("key", F.substring("ahead", 1, shortest))
     keyed = words.withColumn("key", F.substring("word", 1, shortest))
     hits = grams.join(keyed, "key").where(F.col("ahead").startswith(F.col("word")))
@@ -72,10 +87,12 @@ def drop_covering_areas(candidates: DataFrame, keys=("text",)) -> DataFrame:
     """
     keys = list(keys)
     filled = candidates.withColumns({c: F.coalesce(c, F.lit(SENTINEL)) for c in LEVELS})
+    # Read three times below, and far smaller than the rows the texts come from.
     merged = filled.groupBy(*keys, *LEVELS).agg(
         F.min("level").alias("level"), F.min("original_level").alias("original_level"),
         F.min(F.struct("x", "y")).alias("point"),
     )
+    merged = materialize(merged, "areas")
     blanks = F.array(
         *[
             F.struct(*[(F.lit(SENTINEL) if mask >> i & 1 else F.col(c)).alias(f"wide_{c}") for i, c in enumerate(LEVELS)])
@@ -102,7 +119,8 @@ def drop_covering_areas(candidates: DataFrame, keys=("text",)) -> DataFrame:
 def text_candidates(texts: DataFrame, areas: DataFrame, text: str = "text") -> DataFrame:
     """Areas a text may mean: longest words, then smallest areas."""
     words = areas.select("word").distinct()
-    matches = keep_longest_matches(dictionary_match(texts, words, text), words, (text,))
+    found = materialize(dictionary_match(texts, words, text), "matches")
+    matches = keep_longest_matches(found, words, (text,))
     return drop_covering_areas(matches.join(areas, "word"), (text,))
 
 

@@ -71,6 +71,10 @@ def tf_vector(
         .groupBy(key, "word").agg(F.count("*").alias("n"), F.first("_all").alias("_all"))
         .join(vocabulary.select("word"), "word", "left_semi")
     )
+    if norm and idf is None:
+        # The document length cancels out.
+        sums = counts.groupBy(key).agg(F.sum("n").alias("_sum"))
+        return counts.join(sums, key).select(key, "word", (F.col("n") / F.col("_sum")).alias("tf"))
     weights = counts.select(key, "word", (F.col("n") / F.col("_all")).alias("tf"))
     if idf is not None:
         weights = weights.join(idf, "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("tf"))
@@ -95,7 +99,6 @@ def vectorize(docs: DataFrame, text: str, words: list[str], segmenter=None) -> D
     """Sparse term-frequency vectors scaled to sum 1, column ``features``."""
     tokens = docs.where(F.col(text).isNotNull()).withColumn("_tokens", tokenize(text, segmenter))
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_counts")
-    counter.setParams(minTF=1.0)
     counted = counter.transform(tokens)
     return Normalizer(p=1.0, inputCol="_counts", outputCol="features").transform(counted).drop("_tokens", "_counts")
 
