@@ -18,6 +18,7 @@ TREND_CATEGORIES = (
 REGION_CATEGORIES = ("Blue Collar", "White Collar", "Transporter", "Factory Worker")
 OCCUPATIONS = ("Transporter", "Factory Worker", "Public Transit Staff")
 BASE = "Blue Collar"
+COUNTRY = -1  # Stands for the whole country in the tier column.
 
 
 def _columns(categories):
@@ -60,11 +61,11 @@ def tier_share(demand: DataFrame, tiers: DataFrame, categories=(BASE,)) -> DataF
 
 
 def occupation_shares(demand: DataFrame, tiers: DataFrame, occupations=OCCUPATIONS, base: str = BASE) -> DataFrame:
-    """Occupations over the base category, per tier and for the whole country (tier null)."""
+    """Occupations over the base category, per tier and for the whole country (tier -1)."""
     columns = _columns(occupations)
     rows = demand.select("name", "time", *columns, f"jd_{base}")
     tiered = ratio_of_sums(lookup_default(rows, tiers, "name", "tier"), ["tier", "time"], columns, f"jd_{base}")
-    country = ratio_of_sums(rows, ["time"], columns, f"jd_{base}").withColumn("tier", F.lit(None).cast("int"))
+    country = ratio_of_sums(rows, ["time"], columns, f"jd_{base}").withColumn("tier", F.lit(COUNTRY))
     return _long(tiered.unionByName(country), ["tier", "time"], columns, "occupation")
 
 
@@ -72,7 +73,7 @@ def growth_statistics(
     demand: DataFrame, tiers: DataFrame, base: str, now: str, later: str, early: tuple[str, str],
     category: str = BASE, part: str = "Public Transit Staff",
 ) -> DataFrame:
-    """Named growth figures, for the country (tier null) and per tier.
+    """Named growth figures, for the country (tier -1) and per tier.
 
     One conditional aggregate gives all sums; ``early`` is the pair (first, second) of
     the recovery after the base period.
@@ -85,7 +86,7 @@ def growth_statistics(
         pick(category, early[0]).alias("first"), pick(category, early[1]).alias("second"),
     ]
     used = known.where(F.col("time").isin(base, now, later, *early))
-    country = used.agg(*sums).withColumn("tier", F.lit(None).cast("int"))
+    country = used.agg(*sums).withColumn("tier", F.lit(COUNTRY))
     tiered = used.where(F.col("tier").isNotNull()).groupBy("tier").agg(*sums)
     figures = {
         "growth": F.try_divide("now", "base") - 1,

@@ -26,10 +26,10 @@ def snapshot(edges: DataFrame, locations: DataFrame, time: str, normalize: bool
 
 
 def _weights(vertices: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
-    weighted = vertex_weights(vertices, scores, metric)
     if metric == "jd_All":
-        weighted = weighted.withColumn("weight", scalars.floor_value("weight", scalars.DEMAND_FLOOR))
-    return weighted
+        # Known places show at least the floor; places without a score stay 0.
+        scores = scores.withColumn(metric, scalars.floor_value(metric, scalars.DEMAND_FLOOR))
+    return vertex_weights(vertices, scores, metric)
 
 
 def nodes(
