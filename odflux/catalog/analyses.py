@@ -22,7 +22,7 @@ TIMES = ["1996Q4", "1997Q4", "1998Q4"]
        join (select time, sum(cnt) as total from season_flow group by all) using (time) group by time, name""",
 )
 def _(t):
-    return rounded(net_inflow_by_quarter(t.daily_flow()), 6, "flow_in_net_country_norm")
+    return rounded(net_inflow_by_quarter(t.flow()), 6, "flow_in_net_country_norm")
 
 
 @query(

@@ -39,7 +39,7 @@ def _(t):
 )
 def _(t):
     graph = located(t)
-    every = degree.build_graph(t.edges(), t.location()).select("time").distinct()
+    every = graph.select("time").distinct()
     names = every.withColumn("_k", F.lit(1)).join(t.location().select("name").withColumn("_k", F.lit(1)), "_k")
     return degree.degrees(graph, names.select("time", "name"))
 

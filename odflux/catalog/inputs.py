@@ -11,7 +11,7 @@ from odflux.graph.degree import build_graph, degrees, gross_flow, net_inflow_per
 from odflux.graph.rank import hits
 from odflux.operators.aggregates import user_day_od_count
 from odflux.operators.filters import drop_self_edges
-from odflux.session import materialize, scratch_path
+from odflux.session import materialize, scratch_path, spread
 
 
 def rounded(df: DataFrame, digits: int, *columns) -> DataFrame:
@@ -23,6 +23,9 @@ def cents(column: str):
     return F.round(F.col(column) * 100).cast("bigint")
 
 
+_SCHEMAS: dict = {}
+
+
 class Tables:
     """Lazy views over one folder of Parquet tables."""
 
@@ -33,7 +36,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def path(self, name: str) -> str:
         """A fresh folder below the shared one, for data written and read back."""
@@ -69,103 +75,113 @@ class Tables:
         return self.place().where("place_key % 9 = 4").select("name", F.concat("name", F.lit("_OLD")).alias("alias"))
 
     # ---- trips and flows -----------------------------------------------------
-
-    def _ends(self):
-        origin = self.place().join(self.customer, F.col("c_nationkey") == F.col("place_key")).select(
-            "c_custkey", F.col("province").alias("province_from"), F.col("name").alias("city_from")
+    # Flows are counted by place keys; names are joined to the counts, not to the trips.
+
+    def _keyed_trip(self, typed: bool = False) -> DataFrame:
+        """A trip per line item: user, day, and the keys of both places."""
+        buyers = self.customer.select("c_custkey", F.col("c_nationkey").alias("from_key"))
+        sellers = self.supplier.select("s_suppkey", F.col("s_nationkey").alias("to_key"))
+        users = self.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
+            "o_orderkey", F.col("o_custkey").alias("userid"), F.to_date("o_orderdate").alias("event_date"), "from_key"
         )
-        target = self.place().join(self.supplier, F.col("s_nationkey") == F.col("place_key")).select(
-            "s_suppkey", F.col("province").alias("province_to"), F.col("name").alias("city_to")
-        )
-        return origin, target
-
-    def trip(self, typed: bool = False) -> DataFrame:
-        """A trip per line item, from its customer's to its supplier's place."""
-        origin, target = self._ends()
-        lines = self.lineitem.select("l_orderkey", "l_suppkey", "l_partkey")
-        columns = ["userid", "event_date", "province_from", "city_from", "province_to", "city_to"]
+        lines = self.lineitem
+        columns = ["userid", "event_date", "from_key", "to_key"]
         if typed:
             kinds = self.part.select("p_partkey", F.col("p_type").alias("value"))
             lines = lines.join(kinds, F.col("l_partkey") == F.col("p_partkey"))
             columns.append("value")
-        users = self.orders.join(origin, F.col("o_custkey") == F.col("c_custkey")).select(
-            "o_orderkey", F.col("o_custkey").alias("userid"), F.to_date("o_orderdate").alias("event_date"),
-            "province_from", "city_from",
-        )
-        return (
-            lines.join(users, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(target, F.col("l_suppkey") == F.col("s_suppkey")).select(*columns)
+        lines = lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+        return lines.join(users, F.col("l_orderkey") == F.col("o_orderkey")).select(*columns)
+
+    def _named(self, df: DataFrame, source: str, target: str, province: bool = False) -> DataFrame:
+        """Replace place keys by names, and provinces where asked."""
+        place = self.place() if province else self.nation.select(
+            F.col("n_name").alias("name"), F.col("n_nationkey").alias("place_key")
         )
+        for key, name, wide in (("from_key", source, "province_from"), ("to_key", target, "province_to")):
+            columns = [F.col("place_key").alias(key), F.col("name").alias(name)]
+            if province:
+                columns.append(F.col("province").alias(wide))
+            df = df.join(place.select(*columns), key).drop(key)
+        return df
+
+    def trip(self, typed: bool = False) -> DataFrame:
+        return self._named(self._keyed_trip(typed), "city_from", "city_to", province=True)
+
+    def _keyed_daily(self, *extra) -> DataFrame:
+        return user_day_od_count(self._keyed_trip(bool(extra)), ["event_date", "from_key", "to_key", *extra])
 
     def daily_flow(self) -> DataFrame:
-        return user_day_od_count(self.trip())
+        daily = self._named(self._keyed_daily(), "city_from", "city_to", province=True)
+        return daily.select("event_date", "province_from", "city_from", "province_to", "city_to", "cnt")
 
     def flow(self, grain: str = "season") -> DataFrame:
         """City edges of a time grain, self edges included."""
-        return self.daily_flow().groupBy(
-            periods.period_label("event_date", grain).alias("time"),
-            F.col("city_from").alias("src"), F.col("city_to").alias("dst"),
+        sums = self._keyed_daily().groupBy(
+            periods.period_label("event_date", grain).alias("time"), "from_key", "to_key"
         ).agg(F.sum("cnt").alias("cnt"))
+        return self._named(sums, "src", "dst").select("time", "src", "dst", "cnt")
 
     def edges(self) -> DataFrame:
         return drop_self_edges(self.flow())
 
     def typed_flow(self) -> DataFrame:
-        daily = user_day_od_count(self.trip(typed=True), "value")
-        # The daily count is per pair, day and type.
-        return daily.groupBy(
-            periods.season_str("event_date").alias("time"), "value",
-            F.col("city_from").alias("src"), F.col("city_to").alias("dst"),
+        sums = self._keyed_daily("value").groupBy(
+            periods.season_str("event_date").alias("time"), "value", "from_key", "to_key"
         ).agg(F.sum("cnt").alias("cnt"))
+        return self._named(sums, "src", "dst").select("time", "value", "src", "dst", "cnt")
 
     # ---- demand, wages, output -------------------------------------------------
 
     def wage(self) -> DataFrame:
-        people = self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        return (
-            self.orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy(F.year("o_orderdate").alias("year"), F.col("n_name").alias("name"))
+        buyers = self.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("key"))
+        sums = (
+            self.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+            .groupBy(F.year("o_orderdate").alias("year"), "key")
             .agg((F.sum(cents("c_acctbal")) / F.count("*")).alias("wage"))
         )
+        return self._with_name(sums).select("year", "name", "wage")
 
     def gdp(self) -> DataFrame:
-        people = self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        return (
-            self.orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy(F.col("n_name").alias("name")).agg((F.sum(cents("o_totalprice")) / 100000000).alias("gdp"))
+        buyers = self.customer.select("c_custkey", F.col("c_nationkey").alias("key"))
+        sums = (
+            self.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+            .groupBy("key").agg((F.sum(cents("o_totalprice")) / 100000000).alias("gdp"))
         )
+        return self._with_name(sums).select("name", "gdp")
 
     def demand(self) -> DataFrame:
         kinds = self.part.select("p_partkey", F.col("p_type").alias("type"))
-        # Summed per supplier first: the place joins see far fewer rows than line items.
-        per_supplier = (
+        sellers = self.supplier.select("s_suppkey", F.col("s_nationkey").alias("key"))
+        sums = (
             self.lineitem.join(kinds, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy(periods.season_str("l_shipdate").alias("time"), "l_suppkey", "type")
-            .agg(F.count("*").alias("cnt"))
-        )
-        _, target = self._ends()
-        return (
-            per_supplier.join(target, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy("time", F.col("city_to").alias("name"), "type").agg(F.sum("cnt").alias("cnt"))
+            .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy(periods.season_str("l_shipdate").alias("time"), "key", "type").agg(F.count("*").alias("cnt"))
         )
+        return self._with_name(sums).select("time", "name", "type", "cnt")
+
+    def _with_name(self, df: DataFrame) -> DataFrame:
+        names = self.nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+        return df.join(names, "key").drop("key")
 
     def topic_count(self) -> DataFrame:
-        origin, _ = self._ends()
-        users = self.orders.join(origin, F.col("o_custkey") == F.col("c_custkey")).select(
-            "o_orderkey", periods.season_str("o_orderdate").alias("time"), F.col("city_from").alias("name")
+        buyers = self.customer.select("c_custkey", F.col("c_nationkey").alias("key"))
+        users = self.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
+            "o_orderkey", periods.season_str("o_orderdate").alias("time"), "key"
         )
-        return (
+        sums = (
             self.lineitem.join(users, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("time", "name", (F.col("l_partkey") % 30).cast("int").alias("topic"))
+            .groupBy("time", "key", (F.col("l_partkey") % 30).cast("int").alias("topic"))
             .agg(F.count("*").alias("cnt"))
         )
+        return self._with_name(sums).select("time", "name", "topic", "cnt")
 
     # ---- texts and logs --------------------------------------------------------
 
     def post(self) -> DataFrame:
         day = F.date_add(F.lit("2019-08-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
-        return self.documents.join(self.place(), F.col("doc_id") % 25 == F.col("place_key")).select(
-            "doc_id", F.col("name").alias("city"), F.date_format(day, "yyyy-MM-dd").alias("startdate"),
+        return spread(self.documents).join(self.nation, F.col("doc_id") % 25 == F.col("n_nationkey")).select(
+            "doc_id", F.col("n_name").alias("city"), F.date_format(day, "yyyy-MM-dd").alias("startdate"),
             F.col("text").alias("title"),
         )
 

@@ -10,7 +10,7 @@ the next pass starts, until no pass gains.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from odflux.graph.degree import normalize_out, undirected_edges
@@ -61,41 +61,36 @@ def modularity(edges: DataFrame, labels: DataFrame, label: str = "label", resolu
     )
 
 
-def _move(arcs, nodes, state, by, resolution, parity):
-    """Labels after one round in which one half of the vertices may move.
+def _move(arcs, state, by, resolution, parity):
+    """State after one round in which one half of the vertices may move.
 
-    Gain of joining c: ``resolution * k_in / m - k * tot / (2 m^2)``, own share removed.
+    ``state`` has a row per vertex: name, community c, degree k and mass m. Gain of
+    joining c: ``resolution * k_in / m - k * tot / (2 m^2)``, own share removed.
     """
-    label = state.select(*by, F.col("name").alias("dst"), F.col("c"))
-    toward = (
-        arcs.where(F.col("src") != F.col("dst")).join(label, [*by, "dst"])
-        .groupBy(*by, F.col("src").alias("name"), "c").agg(F.sum("cnt").alias("k_in"))
+    toward = arcs.join(state.select(*by, F.col("name").alias("dst"), "c"), [*by, "dst"]).select(
+        *by, F.col("src").alias("name"), "c", F.col("cnt").alias("k_in")
     )
     # A vertex may always stay: its own community is a candidate with weight 0.
     stay = state.select(*by, "name", "c", F.lit(0.0).alias("k_in"))
     options = toward.unionByName(stay).groupBy(*by, "name", "c").agg(F.sum("k_in").alias("k_in"))
-    totals = state.join(nodes, [*by, "name"]).groupBy(*by, "c").agg(
-        F.sum("k").alias("tot"), F.count("*").alias("members")
-    )
-    own = state.select(*by, "name", F.col("c").alias("own"))
-    free = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-    gain = F.lit(float(resolution)) * F.col("k_in") / F.col("m") - F.col("k") * free / (2 * F.col("m") * F.col("m"))
-    scored = (
-        options.join(totals, [*by, "c"]).join(nodes, [*by, "name"]).join(own, [*by, "name"])
-        .withColumn("gain", gain)
-    )
+    totals = state.groupBy(*by, "c").agg(F.sum("k").alias("tot"))
+    own = state.select(*by, "name", F.col("c").alias("own"), "k", "m")
     is_own = F.col("c") == F.col("own")
-    best = scored.groupBy(*by, "name").agg(
-        F.max("own").alias("own"),
-        F.max(F.when(is_own, F.col("gain"))).alias("own_gain"),
-        # Highest gain, then the smallest label.
-        F.min(F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("best"),
+    free = F.col("tot") - F.when(is_own, F.col("k")).otherwise(F.lit(0.0))
+    gain = F.lit(float(resolution)) * F.col("k_in") / F.col("m") - F.col("k") * free / (2 * F.col("m") * F.col("m"))
+    best = (
+        options.join(own, [*by, "name"]).join(totals, [*by, "c"]).withColumn("gain", gain)
+        .groupBy(*by, "name").agg(
+            F.max("own").alias("own"), F.max("k").alias("k"), F.max("m").alias("m"),
+            F.max(F.when(is_own, F.col("gain"))).alias("own_gain"),
+            # Highest gain, then the smallest label.
+            F.min(F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("best"),
+        )
     )
     turn = F.pmod(F.xxhash64("name", F.lit(parity // 2)), F.lit(2)) == (parity % 2)
     better = -F.col("best.g") > F.col("own_gain") + 1e-12
     return best.select(
-        *by, "name",
-        F.when(turn & better, F.col("best.c")).otherwise(F.col("own")).alias("c"),
+        *by, "name", F.when(turn & better, F.col("best.c")).otherwise(F.col("own")).alias("c"), "k", "m",
         (better & (F.col("best.c") != F.col("own"))).alias("wants"),
     )
 
@@ -125,19 +120,20 @@ def communities(
     member = materialize(start, "member")  # place -> community of the current level
     pairs, warm = base, init is not None
     for _ in range(max_passes):
-        arcs = materialize(_symmetric(pairs, by), "arcs")
-        nodes = materialize(_strengths(arcs, by).join(mass, by), "nodes")
-        own = nodes.select(*by, "name")
-        state = own.join(member, [*by, "name"]) if warm else own.withColumn("c", F.col("name"))
+        arcs = _symmetric(pairs, by)
+        nodes = _strengths(arcs, by).join(mass, by)
+        arcs = materialize(arcs.where(F.col("src") != F.col("dst")), "arcs")
+        state = nodes.join(member, [*by, "name"]) if warm else nodes.withColumn("c", F.col("name"))
         store, moves = Rounds(spark, "moves"), 0
-        state = store.keep(state.select(*by, "name", "c"))
+        state = store.keep(state.select(*by, "name", "c", "k", "m"))
         for turn in range(max_rounds):
-            now = store.keep(_move(arcs, nodes, state, by, resolution, turn))
-            wants = now.where("wants").count()
-            moves += wants
-            state = now.select(*by, "name", "c")
-            if wants == 0:
+            seen = Observation()
+            moved = _move(arcs, state, by, resolution, turn)
+            state = store.keep(moved.observe(seen, F.count_if("wants").alias("wants")))
+            moves += seen.get["wants"]
+            if seen.get["wants"] == 0:
                 break
+        state = state.select(*by, "name", "c")
         if moves == 0 and not warm:
             break
         state = materialize(state, "state")

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from odflux.operators.aggregates import share_of_group
 from odflux.operators.filters import filter_members, vertices_of
-from odflux.operators.setops import intersect_places
 
 BY = ("time",)
 
 
 def build_graph(edges: DataFrame, locations: DataFrame, places=None, normalize: bool = False, by=BY) -> DataFrame:
     """Edges between located (or listed) places, optionally over the source's out-flow."""
+    # An end of an edge is a vertex anyway, so located ends are the located vertices.
     if places is None:
-        places = intersect_places(edges, locations)
+        places = locations.select("name")
     kept = filter_members(filter_members(edges, "src", places), "dst", places)
     if not normalize:
         return kept
@@ -67,10 +67,12 @@ def gross_flow(edges: DataFrame, by=BY) -> DataFrame:
 
 def net_inflow_per_mille(edges: DataFrame, by=BY) -> DataFrame:
     """(in - out) * 1000 over all flow of the period, self edges included."""
-    totals = edges.groupBy(*by).agg(F.sum("cnt").alias("_total"))
+    flows = end_flows(edges, by)
+    # Every edge arrives once, so all flow is the sum over the far smaller in-flows.
+    totals = flows.groupBy(*by).agg(F.sum("flow_in").alias("_total"))
     net = (F.col("flow_in") - F.col("flow_out")) * F.lit(1000.0)
     return (
-        end_flows(edges, by).join(totals, list(by))
+        flows.join(totals, list(by))
         .select(*by, "name", F.try_divide(net, F.col("_total")).alias("flow_in_net_country_norm"))
     )
 

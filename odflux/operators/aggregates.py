@@ -46,14 +46,16 @@ def distinct_rows(df: DataFrame, *columns) -> DataFrame:
     return df.select(*columns).distinct() if columns else df.distinct()
 
 
-def user_day_od_count(trips: DataFrame, *extra) -> DataFrame:
+OD_KEYS = ("event_date", "province_from", "city_from", "province_to", "city_to")
+
+
+def user_day_od_count(trips: DataFrame, keys=OD_KEYS, user: str = "userid") -> DataFrame:
     """Distinct users per day, origin and destination.
 
     Spark first removes duplicate users inside each map task, then spreads a day and
     pair over tasks by user, so a pair with a third of all trips stays parallel.
     """
-    keys = ["event_date", "province_from", "city_from", "province_to", "city_to", *extra]
-    return trips.groupBy(*keys).agg(F.count_distinct("userid").alias("cnt"))
+    return trips.groupBy(*keys).agg(F.count_distinct(user).alias("cnt"))
 
 
 def count_sum_rate(df: DataFrame, key: str, label: str, exclude: str | None = "Others") -> DataFrame:

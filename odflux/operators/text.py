@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odflux.functions import periods, scalars
@@ -64,24 +64,26 @@ def tf_vector(
 
     Counts over all tokens of the document; with ``norm`` scaled to sum 1 over the
     vocabulary. Weights are pure term frequencies unless ``idf`` (word, idf) is given.
+    Documents are placed by key once; counting words and summing the words of a
+    document then need no further shuffle.
     """
-    tokens = docs.where(F.col(text).isNotNull()).select(key, tokenize(text, segmenter).alias("tokens"))
+    placed = docs.where(F.col(text).isNotNull()).select(key, text).repartition(key)
+    tokens = placed.select(key, tokenize(text, segmenter).alias("tokens"))
     counts = (
         tokens.select(key, F.size("tokens").alias("_all"), F.explode("tokens").alias("word"))
         .groupBy(key, "word").agg(F.count("*").alias("n"), F.first("_all").alias("_all"))
         .join(vocabulary.select("word"), "word", "left_semi")
     )
+    document = Window.partitionBy(key)
     if norm and idf is None:
         # The document length cancels out.
-        sums = counts.groupBy(key).agg(F.sum("n").alias("_sum"))
-        return counts.join(sums, key).select(key, "word", (F.col("n") / F.col("_sum")).alias("tf"))
+        return counts.select(key, "word", (F.col("n") / F.sum("n").over(document)).alias("tf"))
     weights = counts.select(key, "word", (F.col("n") / F.col("_all")).alias("tf"))
     if idf is not None:
         weights = weights.join(idf, "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("tf"))
     if not norm:
         return weights
-    sums = weights.groupBy(key).agg(F.sum("tf").alias("_sum"))
-    return weights.join(sums, key).select(key, "word", F.try_divide("tf", "_sum").alias("tf"))
+    return weights.select(key, "word", F.try_divide(F.col("tf"), F.sum("tf").over(document)).alias("tf"))
 
 
 def vocabulary_list(vocabulary: DataFrame, limit: int = VOCABULARY_LIMIT) -> list[str]:
