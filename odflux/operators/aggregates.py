@@ -74,10 +74,11 @@ def global_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def attach(df: DataFrame, totals: DataFrame, keys) -> DataFrame:
-    """Join group totals back; with no keys the one-row total is joined to every row."""
+    """Join group totals back. Without keys the totals are one row, which is broadcast."""
     if keys:
         return df.join(totals, list(keys))
-    return df.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    one = F.broadcast(totals.withColumn("_one", F.lit(1)))
+    return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
 
 
 def share_of_group(df: DataFrame, keys, value: str = "cnt", out: str = "ratio") -> DataFrame:

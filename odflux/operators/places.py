@@ -130,8 +130,8 @@ def match_destination(rows: DataFrame, areas: DataFrame, text: str = "text") ->
     Candidates in the row's province go first, then the best priority, then the best
     original priority, then the nearest; names settle what is still tied.
     """
-    asked = rows.select(text, "x", "y", "province").distinct()
-    candidates = text_candidates(rows, areas, text).select(
+    asked = materialize(rows.select(text, "x", "y", "province").distinct(), "asked")
+    candidates = text_candidates(asked, areas, text).select(
         text, *[F.col(c).alias(f"to_{c}") for c in LEVELS], "level", "original_level",
         F.col("x").alias("to_x"), F.col("y").alias("to_y"),
     )
@@ -160,6 +160,8 @@ def query_process(log: DataFrame, grid: DataFrame, areas: DataFrame, terms=JOB_T
     located = located.withColumn("text", scalars.join_query_title("query", "title")).select(
         "userid", "event_time", "province", "city", "x", "y", "text"
     )
+    # The few job searches are kept, so that the whole log is read once.
+    located = materialize(located, "located")
     trips = periods.timestamp_parts(match_destination(located, areas), "event_time")
     return trips.select(
         "userid", "year", "month", "day", "hour",

@@ -23,7 +23,10 @@ def size_class(df: DataFrame, column: str, metric: str, out: str = "size_class")
 
 
 def expand_alias(df: DataFrame, aliases: DataFrame, column: str = "name") -> DataFrame:
-    """Places that have an alias also emit a row under that alias."""
-    pairs = aliases.select(F.col("name").alias(column), F.col("alias").alias("_alias"))
-    renamed = df.join(pairs, column).withColumn(column, F.col("_alias")).drop("_alias")
-    return df.unionByName(renamed.select(*df.columns))
+    """Places that have an alias also emit a row under that alias, in one pass."""
+    known = aliases.groupBy(F.col("name").alias(column)).agg(F.collect_set("alias").alias("_aliases"))
+    names = F.concat(F.array(column), F.coalesce("_aliases", F.array().cast("array<string>")))
+    return (
+        df.join(known, column, "left").withColumn("_name", F.explode(names))
+        .withColumn(column, F.col("_name")).select(*df.columns)
+    )

@@ -26,6 +26,14 @@ TRIPS = _struct(
 DAILY_FLOW = _struct(
     time=S, province_from=S, city_from=S, province_to=S, city_to=S, count=L,
 )
+TRANSITIONS = T.StructType(
+    [
+        T.StructField("event_date", T.DateType()),
+        *[T.StructField(c, S) for c in ("province_from", "city_from", "province_to", "city_to")],
+        T.StructField("cnt", L),
+        T.StructField("month", S),
+    ]
+)
 FLOW_GRAPH = T.StructType(
     [T.StructField("time", S), T.StructField("from", S), T.StructField("to", S), T.StructField("count", L)]
 )

@@ -52,9 +52,8 @@ def write_transitions(daily: DataFrame, path: str) -> None:
 def scan_transitions(spark: SparkSession, path: str, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
     """Months of a range; only their directories are read."""
     low, high = periods.period_bounds(start, end, "month")
-    table = spark.read.option("recursiveFileLookup", "false").parquet(path)
-    month = F.col("month").cast("string")
-    return table.where(month.between(low, high)).withColumn("month", month)
+    table = spark.read.schema(schemas.TRANSITIONS).parquet(path)
+    return table.where(F.col("month").between(low, high))
 
 
 def scan_daily_csv(spark: SparkSession, path: str) -> DataFrame:
