@@ -1,5 +1,6 @@
 """Command line: python tests/check_queries.py [sf] [name prefix ...]"""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -15,7 +16,8 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = tuple(sys.argv[2:])
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    conf = {} if "PLAIN" in os.environ else {"spark__sql__shuffle__partitions": "8", "spark__driver__memory": "8g"}
+    spark = build_session(master="local[8]", spark__ui__showConsoleProgress="false", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), 0
     for name, build in QUERIES.items():
