@@ -167,8 +167,8 @@ def query_process(log: DataFrame, grid: DataFrame, areas: DataFrame, terms=JOB_T
         "userid", "year", "month", "day", "hour",
         F.col("province").alias("province_from"), F.col("city").alias("city_from"),
         F.col("to_province").alias("province_to"), F.col("to_city").alias("city_to"),
-        F.col("to_region").alias("region_to"), F.col("text").alias("query"),
-    ).distinct().drop("region_to")
+        F.col("text").alias("query"),
+    ).distinct()
 
 
 def normalize_place(df: DataFrame, aliases: DataFrame, column: str, suffixes=None) -> DataFrame:
