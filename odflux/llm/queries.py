@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from odflux.llm import quality_rules  # noqa: F401
+from odflux.llm import quality_rules, simhash  # noqa: F401
 from odflux.llm.registry import ORACLES, QUERIES  # noqa: F401
