@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odflux.session import materialize, scratch_path  # noqa: F401
@@ -55,3 +55,27 @@ def binary_array(values: list[bytes]) -> pa.Array:
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def with_rank(rows: DataFrame, group: list[str], order: list[str], out: str, weight: str | None = None) -> DataFrame:
+    """Adds a gapless rank from 0 inside each group (or the running sum of ``weight`` before the
+    row), without bringing a group to one task: rows are ranked inside slices of the group, and
+    slices get offsets from their sizes. Rows that are equal in ``order`` may change places."""
+    spark = rows.sparkSession
+    n = partitions(spark)
+    amount = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    cut = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(n)))
+    sizes = cut.groupBy(*group, "_slice").agg(F.sum(amount).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(c).alias(f"_o_{c}") for c in group], F.col("_slice").alias("_o_slice"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+    )
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    same = F.col("_slice") == F.col("_o_slice")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return local.join(offsets, same).withColumn(out, F.col("_local") + F.col("_offset")).drop(
+        "_slice", "_local", "_offset", "_o_slice", *[f"_o_{c}" for c in group]
+    )
