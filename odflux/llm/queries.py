@@ -1,4 +1,15 @@
 """All queries of this package."""
 
-from odflux.llm import quality_rules, simhash  # noqa: F401
+from odflux.llm import (
+    chat,
+    html_text,
+    mixing,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_store,
+    topk,
+)  # noqa: F401
 from odflux.llm.registry import ORACLES, QUERIES  # noqa: F401
