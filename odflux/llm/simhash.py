@@ -75,14 +75,16 @@ def shingle_hashes(text: memoryview, words: int) -> np.ndarray:
 def fingerprints(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, length: int = 1, distinct: bool = False
 ) -> DataFrame:
-    """(doc_id, node, sig, n): the fingerprint as big-endian bytes, the number of shingles, and
-    the node it belongs to. ``distinct`` counts each shingle of a text once."""
+    """(doc_id, digest, node, sig, n): XXH64 of the text, the node it belongs to, its fingerprint
+    as big-endian bytes, and the number of shingles. ``distinct`` counts each shingle of a text
+    once."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = np.zeros((batch.num_rows, 64 * length), np.int64)
             sizes = np.zeros(batch.num_rows, np.int64)
+            digests = np.zeros(batch.num_rows, U)
             held, owner, first, count = [], [], 0, 0
 
             def count_held(upto: int) -> None:
@@ -94,6 +96,7 @@ def fingerprints(
                             sums[first:upto, 64 * k : 64 * k + 64] += _bit_sums(_spread(part, k), doc, upto - first)
 
             for i, body in enumerate(row_bytes(batch.column(1))):
+                digests[i] = xxhash.xxh64_intdigest(body, SEED)
                 found = shingle_hashes(body, words)
                 if distinct:
                     found = np.unique(found)
@@ -118,10 +121,11 @@ def fingerprints(
                     [xxhash.xxh64_intdigest(s.as_py(), n) for s, n in zip(sig, sizes.tolist())], U
                 ).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), node, sig, pa.array(sizes)], names=["doc_id", "node", "sig", "n"]
+                [batch.column(0), pa.array(digests.view(np.int64)), node, sig, pa.array(sizes)],
+                names=["doc_id", "digest", "node", "sig", "n"],
             )
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, node long, sig binary, n long")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, digest long, node long, sig binary, n long")
 
 
 # --- The trie self-join inside one task ------------------------------------------------------
@@ -376,12 +380,12 @@ def estimated_similarity(sig_a, sig_b, n_a, n_b, bits: int):
 
 
 def groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, node, sig, component_id): the smallest doc_id of all linked fingerprints."""
+    """Adds root, the same for all linked fingerprints, and component_id, their smallest doc_id."""
     first = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(edges)
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(named.join(least, "root").select("node", "component_id"), "named")
+    named = materialize(named.join(least, "root").select("node", "root", "component_id"), "named")
     return marked.join(named, "node")
 
 
@@ -417,6 +421,12 @@ def near_duplicates(
     return groups(marked, found.where(alike >= similarity).select("u", "v"))
 
 
+def keepers(grouped: DataFrame) -> DataFrame:
+    """(doc_id, digest) of the one document that stays of each group: the smallest id."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    return grouped.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.digest")
+
+
 def _first_bits(sig, length: int, bits: int):
     """The first ``bits`` bits of every word, in one string that is filled up to whole words."""
     parts = [F.substring(sig, 8 * k + 1, bits // 8) for k in range(length)]

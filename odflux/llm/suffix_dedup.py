@@ -422,7 +422,9 @@ def _remove(docs: pa.Table, messages: pa.Table) -> pa.Table:
     return pa.table({
         "doc_id": docs.column("doc_id").cast(kind), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()),
         "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
-        "kept": pa.array(kept, pa.binary()), **{c: docs.column(c) for c in docs.column_names if c.startswith("pass_")},
+        "kept": pa.array(kept, pa.binary()),
+        # A cut inside a character leaves bytes that are no character; they go as well.
+        "kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), **{c: docs.column(c) for c in docs.column_names if c.startswith("pass_")},
     })
 
 
@@ -441,7 +443,7 @@ def _by(who: np.ndarray, begin: np.ndarray, end: np.ndarray):
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) and the columns of ``keep`` as pass_0, pass_1, ..."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_text) and the columns of ``keep`` as pass_0, pass_1, ..."""
     n = partitions(docs.sparkSession)
     carried = [F.col(c).alias(f"pass_{k}") for k, c in enumerate(keep)]
     batched = docs.select(
@@ -454,7 +456,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stretches = batched.groupBy("batch").cogroup(again.groupBy("to")).applyInArrow(_collect_stretches(n), move)
     least = stretches.groupBy("to").applyInArrow(_smallest_ids, move)
     types = {f.name: f.dataType.simpleString() for f in batched.schema}
-    out = f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(
+    out = f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string" + "".join(
         f", pass_{k} {types[f'pass_{k}']}" for k in range(len(keep))
     )
     return batched.groupBy("batch").cogroup(least.groupBy("to")).applyInArrow(_remove, out)
