@@ -28,9 +28,14 @@ def _digest(text: str):
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outlier of their language and source."""
-    counted = quality_rules.text_counts(_carried(docs, "text", "lang", "source"))
-    model = quality_rules.fit(materialize(counted.select("lang", "source", "counts"), "counts"))
-    return quality_rules.judge(counted, model).where("quality.kept").select("row.*")
+    keyed = docs.select("doc_id", _digest("text").alias("digest"), "text", "lang", "source")
+    counted = quality_rules.text_counts(keyed).select("doc_id", "digest", "lang", "source", "counts")
+    counted = materialize(counted, "counts")
+    judged = quality_rules.judge(counted, quality_rules.fit(counted))
+    out = judged.where(~F.col("quality.kept")).select("doc_id", "digest").distinct()
+    rows = _carried(docs, "doc_id", "text").select("row", "doc_id", _digest("text").alias("digest"))
+    same = rows["doc_id"].eqNullSafe(out["doc_id"]) & (rows["digest"] == out["digest"])
+    return rows.join(out, same, "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
