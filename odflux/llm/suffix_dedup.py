@@ -39,7 +39,8 @@ from odflux.llm.registry import query
 LENGTH = 50
 GRAM = 18
 _GRAMS = LENGTH - GRAM + 1  # grams of a window
-_SLICE = 1 << 19  # windows looked at together
+_SLICE = 1 << 18  # windows looked at together
+BUCKETS = 6  # per shuffle partition; a task sorts one at a time
 _LAST = np.iinfo(np.int64).max
 U = np.uint64
 _MOVE = pa.schema([("to", pa.int64()), ("batch", pa.int64()), ("payload", pa.binary())])
@@ -445,15 +446,16 @@ def _by(who: np.ndarray, begin: np.ndarray, end: np.ndarray):
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_text) and the columns of ``keep`` as pass_0, pass_1, ..."""
     n = partitions(docs.sparkSession)
+    buckets = BUCKETS * n
     carried = [F.col(c).alias(f"pass_{k}") for k, c in enumerate(keep)]
     batched = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried,
         F.pmod(F.xxhash64(doc_id), F.lit(n)).alias("batch"),
     ).repartition(n, "batch")
     move = "to long, batch long, payload binary"
-    names = batched.groupBy("batch").applyInArrow(_collect_names(n), move)
+    names = batched.groupBy("batch").applyInArrow(_collect_names(buckets), move)
     again = names.groupBy("to").applyInArrow(_repeated_names, move)
-    stretches = batched.groupBy("batch").cogroup(again.groupBy("to")).applyInArrow(_collect_stretches(n), move)
+    stretches = batched.groupBy("batch").cogroup(again.groupBy("to")).applyInArrow(_collect_stretches(buckets), move)
     least = stretches.groupBy("to").applyInArrow(_smallest_ids, move)
     types = {f.name: f.dataType.simpleString() for f in batched.schema}
     out = f"doc_id {types['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string" + "".join(
