@@ -33,6 +33,7 @@ from odflux.llm.registry import query
 
 SEED = 42
 LEAF = 2048  # fingerprints of a unit that one task may hold
+MARGIN = 0.12  # four standard errors of an estimated similarity
 STRIDE = 6  # bits by which a larger unit is split
 _SLICE = 1 << 20  # shingles counted at once
 
@@ -405,20 +406,51 @@ def near_duplicates(
     ``length`` tables of ``bits`` bits give candidates: a pair at 0.8 differs in 15 % of the
     bits, so one table finds it with a chance of 0.26 and sixteen find it with 0.99. Spanning
     links of all tables are then held against all 64 * length bits, which give the similarity
-    with a standard error of 0.03.
+    with a standard error of 0.03; within MARGIN of the limit the shingle sets are compared.
     """
     marked = materialize(fingerprints(docs, doc_id, text, words, length, distinct=True), "fingerprints")
-    nodes = materialize(marked.groupBy("node").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+    nodes = materialize(marked.groupBy("node").agg(
+        F.first("sig").alias("sig"), F.first("n").alias("n"), F.min("digest").alias("digest")
+    ), "nodes")
     per_word = 64 // bits
     wide = nodes.select("node", _first_bits(F.col("sig"), length, bits).alias("sig")) if per_word > 1 else nodes
     found = links(wide, length, bits, budget).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     found = found.where("u <> v").distinct()
     for side in ("u", "v"):
-        found = found.join(nodes.select(
-            F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n").alias(f"n_{side}")
-        ), side)
+        found = found.join(nodes.select(F.col("node").alias(side), *[
+            F.col(c).alias(f"{c}_{side}") for c in ("sig", "n", "digest")
+        ]), side)
     alike = estimated_similarity(F.col("sig_u"), F.col("sig_v"), F.col("n_u"), F.col("n_v"), 64 * length)
-    return groups(marked, found.where(alike >= similarity).select("u", "v"))
+    found = materialize(
+        found.select("u", "v", "digest_u", "digest_v", alike.alias("alike")).where(F.col("alike") >= similarity - MARGIN), "found"
+    )
+    # Near the limit the estimate does not decide: the shingle sets themselves do.
+    close = found.where(F.col("alike") < similarity + MARGIN)
+    wanted = close.select(F.col("digest_u").alias("digest")).union(close.select("digest_v")).distinct()
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.xxhash64(body).alias("digest"), body.alias("text")).join(wanted, "digest", "left_semi")
+    sets = materialize(shingle_sets(texts.groupBy("digest").agg(F.first("text").alias("text")), words), "sets")
+    for side in ("u", "v"):
+        close = close.join(sets.select(F.col("digest").alias(f"digest_{side}"), F.col("shingles").alias(f"set_{side}")), f"digest_{side}")
+    common = F.size(F.array_intersect("set_u", "set_v"))
+    exact = common / (F.size("set_u") + F.size("set_v") - common)
+    near = found.where(F.col("alike") >= similarity + MARGIN).select("u", "v")
+    return groups(marked, near.union(close.where(exact >= similarity).select("u", "v")))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(digest, shingles): the different shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [np.unique(shingle_hashes(b, words)).view(np.int64) for b in row_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["digest", "shingles"]
+                )
+
+    return texts.select("digest", "text").mapInArrow(run, "digest long, shingles array<long>")
 
 
 def keepers(grouped: DataFrame) -> DataFrame:
