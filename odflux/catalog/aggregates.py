@@ -199,7 +199,23 @@ def _(t):
     return stats.correlations(_corr_rows(t), CORR_COLUMNS, "gdp", "kendall").select("metric", "coefficient")
 
 
-@query("agg13_p_values")
+# The t distribution with a whole number of degrees of freedom is a finite sum of powers of
+# the cosine of its angle.
+P_VALUE = """
+    case when nu % 2 = 1 then 1 - 2 / pi() * (theta + case when nu > 1 then sin(theta) * list_sum([
+             exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos(theta), 2 * k + 1) for k in range(0, (nu - 1) // 2)]) else 0 end)
+         else 1 - sin(theta) * list_sum([
+             exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(cos(theta), 2 * k) for k in range(0, nu // 2)]) end"""
+
+
+@query(
+    "agg13_p_values",
+    f"""select metric, round({P_VALUE}, 5) as p_value from (
+          select metric, nu, atan(abs(r) / sqrt(1 - r * r)) as theta from ("""
+    + " union all ".join(f"select '{c}' as metric, corr({c}, gdp) as r, count({c} + gdp)::bigint - 2 as nu from places" for c in CORR_COLUMNS)
+    + "))",
+    CORR,
+)
 def _(t):
     return stats.correlations(_corr_rows(t), CORR_COLUMNS, "gdp").select("metric", "p_value")
 
@@ -281,15 +297,15 @@ def _(t):
 
 @query(
     "agg19_array_sum_by",
-    """select label, round(list_sum(list_transform([0, 3, 9], lambda i: list_extract(s, i + 1))), 4) as picked,
-              len(s)::integer as dims from (select label, [""" + ", ".join(f"sum(embedding[{i + 1}]::double)" for i in range(16)) + """] as s
-       from embeddings group by label)""",
+    """select label, pos::integer as pos, round(sum(x), 4) as total
+       from (select label, unnest(range(1, len(embedding) + 1)) as pos, unnest(embedding)::double as x from embeddings) group by all""",
 )
 def _(t):
     vectors = t.embeddings.select("label", F.col("embedding").cast("array<double>").alias("v"))
-    summed = aggregates.array_sum_by(vectors, ["label"], "v", 16)
-    picked = F.col("v")[0] + F.col("v")[3] + F.col("v")[9]
-    return summed.select("label", F.round(picked, 4).alias("picked"), F.size("v").alias("dims"))
+    summed = aggregates.array_sum_by(vectors, ["label"], "v")
+    return summed.select("label", F.posexplode("v").alias("p", "x")).select(
+        "label", (F.col("p") + 1).alias("pos"), F.round("x", 4).alias("total")
+    )
 
 
 @query(

@@ -47,14 +47,14 @@ def _(t):
     return joins.inner_join(t.edges(), back, ["time", "src", "dst"], ("_now", "_back"))
 
 
-_PRE = "(select src, dst, sum(cnt)::bigint as pre from season_flow where time < '1997Q1' and cnt > 4 group by all)"
-_POST = "(select src, dst, sum(cnt)::bigint as post from season_flow where time >= '1997Q1' and cnt > 6 group by all)"
+_PRE = "(select src, dst, sum(cnt)::bigint as pre from season_flow where time < '1997Q1' group by all)"
+_POST = "(select src, dst, sum(cnt)::bigint as post from season_flow where time >= '1997Q1' group by all)"
 
 
 def _two(t):
     flow = t.flow()
-    pre = flow.where("time < '1997Q1' and cnt > 4").groupBy("src", "dst").agg(F.sum("cnt").alias("pre"))
-    post = flow.where("time >= '1997Q1' and cnt > 6").groupBy("src", "dst").agg(F.sum("cnt").alias("post"))
+    pre = flow.where("time < '1997Q1'").groupBy("src", "dst").agg(F.sum("cnt").alias("pre"))
+    post = flow.where("time >= '1997Q1'").groupBy("src", "dst").agg(F.sum("cnt").alias("post"))
     return pre, post
 
 

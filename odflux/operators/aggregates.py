@@ -177,23 +177,27 @@ def flow_norm_with_self(centrality: DataFrame, edges_with_self: DataFrame) -> Da
     ).drop("_total")
 
 
-def array_sum_by(df: DataFrame, keys, array: str, length: int) -> DataFrame:
-    """Element-wise sum of equally long arrays, as one sum per position."""
-    sums = [F.sum(F.get(F.col(array), F.lit(i))) for i in range(length)]
-    return df.groupBy(*keys).agg(F.array(*sums).alias(array))
+def array_sum_by(df: DataFrame, keys, array: str) -> DataFrame:
+    """Element-wise sum of arrays, as long as the longest of the group; each position is summed
+    map-side."""
+    keys = list(keys)
+    parts = df.select(*keys, F.posexplode(array).alias("_at", "_x")).groupBy(*keys, "_at").agg(F.sum("_x").alias("_x"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_x")))  # one entry per position
+    return parts.groupBy(*keys).agg(F.transform(ordered, lambda p: p["_x"]).alias(array))
 
 
 def sparse_to_dense(indexes, values, length: int):
-    """Index/value arrays to a dense array; repeated indexes add up."""
+    """Index/value arrays to a dense array; repeated indexes add up. One pass over the pairs."""
     pairs = F.arrays_zip(F.col(indexes).alias("i"), F.col(values).alias("v"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda at: F.aggregate(
-            F.filter(pairs, lambda p: p["i"] == at),
-            F.lit(0.0),
-            lambda total, p: total + p["v"].cast("double"),
+    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))
+    sums = F.aggregate(
+        pairs, empty,
+        lambda m, p: F.map_concat(
+            F.map_filter(m, lambda k, _: k != p["i"]),
+            F.create_map(p["i"].cast("int"), F.coalesce(F.try_element_at(m, p["i"].cast("int")), F.lit(0.0)) + p["v"].cast("double")),
         ),
     )
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda at: F.coalesce(F.try_element_at(sums, at), F.lit(0.0)))
 
 
 def pivot_wide(df: DataFrame, key, column: str, values, value: str) -> DataFrame:

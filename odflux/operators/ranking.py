@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from odflux.operators.aggregates import attach
 from odflux.session import materialize
 
-CHUNKS = 256
+CHUNK_ROWS = 100_000  # different values that one task sorts
 
 
 def settled(df: DataFrame, value: str) -> DataFrame:
@@ -20,26 +20,49 @@ def settled(df: DataFrame, value: str) -> DataFrame:
     return materialize(df, "settled") if dict(df.dtypes)[value] in ("double", "float") else df
 
 
-def positions(df: DataFrame, keys, value: str, chunks: int = CHUNKS) -> DataFrame:
-    return _positions(settled(df.select(*keys, value), value), keys, value, chunks)
+def _chunk_of(value, bounds):
+    """How many of the ascending bounds lie below the value, by halving: the search takes as
+    many steps as the number of bounds has bits."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + F.lit(1.0))).cast("int"))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    below = lambda s: F.get(bounds, middle(s)) < value
+    found = F.aggregate(steps, start, lambda s, _: F.when(
+        s["lo"] >= s["hi"], s
+    ).otherwise(F.struct(
+        F.when(below(s), middle(s) + 1).otherwise(s["lo"]).alias("lo"),
+        F.when(below(s), s["hi"]).otherwise(middle(s)).alias("hi"),
+    )))
+    return found["lo"]
 
 
-def _positions(df: DataFrame, keys, value: str, chunks: int = CHUNKS) -> DataFrame:
+def positions(df: DataFrame, keys, value: str) -> DataFrame:
+    return _positions(settled(df.select(*keys, value), value), keys, value)
+
+
+def _positions(df: DataFrame, keys, value: str) -> DataFrame:
     """Distinct values of each group with their frequency and sorted position.
 
     Columns: keys, value, ``n`` (rows with this value), ``before`` (rows with smaller
-    values) and ``total``. Equal values are merged first. The value range of a group
-    is cut into equal chunks, which are sorted separately; the chunk sums, at most
-    ``chunks + 1`` per group, give each chunk its offset. Assignment to chunks
-    depends on minimum and maximum only, so it is the same in every attempt.
+    values) and ``total``. Equal values are merged first. The values of a group are cut
+    into chunks of about ``CHUNK_ROWS`` values at quantiles of a sketch, so that chunks
+    hold alike many also if values are heavy-tailed. Chunks are sorted separately, and
+    their sums give each chunk its offset. Any bounds give exact ranks; they are written
+    once, so all attempts use the same.
     """
     keys = list(keys)
     merged = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    span = merged.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total"))
-    width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-    offset = F.col(value).cast("double") - F.col("_lo").cast("double")
-    chunk = F.coalesce(F.floor(F.try_divide(offset, width) * F.lit(chunks)), F.lit(0))
-    placed = attach(merged, span, keys).withColumn("_chunk", chunk).drop("_lo", "_hi")
+    merged = materialize(merged, "merged")
+    spans = merged.groupBy(*keys).agg(F.count("*").alias("_values"), F.sum("n").alias("total"))
+    largest = spans.agg(F.max("_values")).first()[0] or 1
+    chunks = max(1, -(-int(largest) // CHUNK_ROWS))
+    points = [k / chunks for k in range(1, chunks)] or [0.5]
+    bounds = merged.groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), points, F.lit(max(10000, 10 * chunks))).alias("_bounds")
+    )
+    span = materialize(attach(spans, bounds, keys).drop("_values"), "bounds")
+    chunk = _chunk_of(F.col(value).cast("double"), F.col("_bounds"))
+    placed = attach(merged, span, keys).withColumn("_chunk", chunk).drop("_bounds")
 
     sums = placed.groupBy(*keys, "_chunk").agg(F.sum("n").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

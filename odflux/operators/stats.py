@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odflux.operators.aggregates import attach
-from odflux.operators.ranking import average_rank
-from odflux.operators.sorting import top_k
+from odflux.operators.ranking import average_rank, positions
+from odflux.session import materialize
 
 
 def zscore(df: DataFrame, columns, keys=()) -> DataFrame:
@@ -32,106 +31,124 @@ def pearson(df: DataFrame, columns, target: str) -> DataFrame:
     return wide.unpivot([], list(columns), "metric", "coefficient")
 
 
-def spearman(df: DataFrame, columns, target: str) -> DataFrame:
-    """Pearson on average ranks."""
+def _ranked(df: DataFrame, columns, target: str) -> DataFrame:
     ranked = df
     for c in (target, *columns):
         ranked = average_rank(ranked, [], c, f"_r_{c}", descending=False)
-    ranked = ranked.select(*[F.col(f"_r_{c}").alias(c) for c in (target, *columns)])
-    return pearson(ranked, columns, target)
+    return ranked.select(*[F.col(f"_r_{c}").alias(c) for c in (target, *columns)])
+
+
+def spearman(df: DataFrame, columns, target: str) -> DataFrame:
+    """Pearson on average ranks."""
+    return pearson(_ranked(df, columns, target), columns, target)
 
 
-def kendall(df: DataFrame, columns, target: str, limit: int = 500) -> DataFrame:
-    """Kendall tau-b over at most ``limit`` rows (the top rows by the target).
+def kendall(df: DataFrame, columns, target: str) -> DataFrame:
+    """Kendall tau-b over all rows.
 
-    Concordant and discordant pairs are counted without listing pairs: two rows with
-    different ranks of x first differ in one bit of the rank. Per bit, rows with equal
-    higher bits form a block; for each row of the upper half a running count gives the
-    rows of the lower half with a smaller, or a larger, y.
+    Concordant and discordant pairs are counted without listing pairs and without a window.
+    Each value is coded by the number of smaller ones. Two rows with different codes first
+    differ in one bit of x and in one bit of y; rows that agree in all higher bits form a
+    cell of the two bits' values, and four partial counts per cell give its pairs.
     """
-    top = df.orderBy(F.desc_nulls_last(target)).limit(limit)
-    long = top.unpivot([target], list(columns), "metric", "x").withColumnRenamed(target, "y")
-    long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    # Windows below hold at most ``limit`` rows per metric and bit.
-    dense = F.dense_rank().over(Window.partitionBy("metric").orderBy("x")) - 1
-    bits = max(1, math.ceil(math.log2(max(2, limit))))
-    split = (
-        long.withColumn("code", dense)
-        .withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-        .withColumn("block", F.expr("shiftright(code, bit + 1)"))
-        .withColumn("upper", F.expr("shiftright(code, bit) & 1"))
+    long = df.unpivot([target], list(columns), "metric", "x").withColumnRenamed(target, "y")
+    long = materialize(long.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "pairs")
+    codes = long
+    for c in ("x", "y"):
+        code = positions(long, ["metric"], c).select("metric", c, F.col("before").alias(f"code_{c}"))
+        codes = codes.join(code, ["metric", c])
+    sizes = materialize(long.groupBy("metric").agg(F.count("*").alias("n")), "sizes")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    bits = F.sequence(F.lit(0), F.lit(max(1, int(largest).bit_length()) - 1))
+    # Equal points are counted before they meet the bits.
+    points = codes.groupBy("metric", "code_x", "code_y").agg(F.count("*").alias("k"))
+    cells = points.withColumn("i", F.explode(bits)).withColumn("j", F.explode(bits))
+    corner = lambda a, b: F.sum(F.when(
+        (F.expr("shiftright(code_x, i) & 1") == a) & (F.expr("shiftright(code_y, j) & 1") == b), F.col("k")
+    ).otherwise(F.lit(0))).cast("double")
+    counted = cells.groupBy(
+        "metric", "i", "j", F.expr("shiftright(code_x, i + 1)").alias("bx"), F.expr("shiftright(code_y, j + 1)").alias("by")
+    ).agg(*[corner(a, b).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
+    counts = counted.groupBy("metric").agg(
+        F.sum(F.col("c00") * F.col("c11") - F.col("c01") * F.col("c10")).alias("gap")
     )
-    block = Window.partitionBy("metric", "bit", "block").orderBy("y")
-    lower = F.sum(1 - F.col("upper"))
-    upto = lower.over(block.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    equal = lower.over(Window.partitionBy("metric", "bit", "block", "y"))
-    whole = lower.over(Window.partitionBy("metric", "bit", "block"))
-    counts = (
-        split.withColumns({"below": upto - equal, "above": whole - upto})
-        .where(F.col("upper") == 1)
-        .groupBy("metric")
-        .agg(F.sum("below").alias("concordant"), F.sum("above").alias("discordant"))
-    )
-    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
+    pairs = lambda n: F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2)
     ties = lambda c, out: (
         long.groupBy("metric", c).agg(F.count("*").alias("k")).groupBy("metric").agg(pairs("k").alias(out))
     )
-    sizes = long.groupBy("metric").agg(F.count("*").alias("n"))
     table = sizes.join(counts, "metric", "left").join(ties("x", "ties_x"), "metric").join(ties("y", "ties_y"), "metric")
-    total = F.col("n") * (F.col("n") - 1) / 2
+    total = F.col("n").cast("double") * (F.col("n") - 1) / 2
     scale = F.sqrt((total - F.col("ties_x")) * (total - F.col("ties_y")))
-    gap = F.coalesce("concordant", F.lit(0)) - F.coalesce("discordant", F.lit(0))
-    return table.select("metric", "n", F.try_divide(gap.cast("double"), scale).alias("coefficient"))
-
-
-def _slope_p_value(df: DataFrame, x: str, y: str) -> float:
-    """Two-sided p-value of a correlation, as that of the slope of a linear fit."""
-    ready = VectorAssembler(inputCols=[x], outputCol="features").transform(df.select(x, y).na.drop())
-    model = LinearRegression(featuresCol="features", labelCol=y, solver="normal", regParam=0.0).fit(ready)
-    return float(model.summary.pValues[0])
+    return table.select("metric", "n", F.try_divide(F.coalesce("gap", F.lit(0.0)), scale).alias("coefficient"))
+
+
+def _beta_share(a: np.ndarray, b: float, x: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Continued fraction of the regularised incomplete beta function, for x below its mean."""
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1.0 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
+    h = d.copy()
+    for m in range(1, rounds):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + k * d
+            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + k / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+    log = np.array([math.lgamma(p + b) - math.lgamma(p) - math.lgamma(b) for p in a])
+    with np.errstate(divide="ignore"):
+        return np.exp(log + a * np.log(x) + b * np.log1p(-x)) * h / a
 
 
 @F.pandas_udf(T.DoubleType())
-def _kendall_p_value(tau: pd.Series, n: pd.Series) -> pd.Series:
-    """Normal approximation of the two-sided p-value."""
-    def one(t, size):
-        if t is None or math.isnan(t) or size < 2:
-            return None
-        z = t / math.sqrt(2 * (2 * size + 5) / (9 * size * (size - 1)))
-        return math.erfc(abs(z) / math.sqrt(2))
-
-    return pd.Series([one(t, s) for t, s in zip(tau, n)], dtype="float64")
-
-
-def correlations(df: DataFrame, columns, target: str, method: str = "pearson", k: int = 500, tie_keys=("name",)) -> DataFrame:
+def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value of a correlation r over n rows, by the t distribution with n - 2
+    degrees of freedom; the rows are the few metrics of a report."""
+    r, nu = r.to_numpy(float), n.to_numpy(float) - 2
+    usable = np.isfinite(r) & (nu > 0)
+    r2, a = np.clip(np.where(usable, r * r, 0.0), 0.0, 1.0), np.where(usable, nu, 2.0) / 2
+    x = 1 - r2  # p = I_x(nu / 2, 1 / 2)
+    low = x < (a + 1) / (a + 2.5)
+    direct = np.where(low & (x > 0), _beta_share(a, 0.5, np.where(low & (x > 0), x, 0.5)), 0.0)
+    # Near x = 1 the complement converges.
+    other = np.where(low, 0.5, r2)
+    swapped = np.array([1 - _beta_share(np.array([0.5]), float(p), np.array([q]))[0] if q > 0 else 1.0 for p, q in zip(a, other)])
+    p = np.where(low, direct, swapped)
+    return pd.Series(np.where(usable, p, np.nan)).where(usable, None).astype("float64")
+
+
+def _kendall_p_value(tau: str, n: str):
+    """Normal approximation of the two-sided p-value, with the error function by its integral's
+    continued fraction left to the correlation of large samples: erfc(z / sqrt 2) is the
+    two-sided tail of a t distribution with very many degrees of freedom."""
+    size = F.col(n).cast("double")
+    z = F.col(tau) / F.sqrt(2 * (2 * size + 5) / (9 * size * (size - 1)))
+    many = 1e9
+    return F.when(size >= 2, correlation_p_value(z / F.sqrt(z * z + many), F.lit(many + 2)))
+
+
+def correlations(df: DataFrame, columns, target: str, method: str = "pearson") -> DataFrame:
     """Coefficient (3 digits) and p-value (5 digits) of each column with the target.
 
-    Only the ``k`` rows with the highest target enter, as a report does; with a
-    p-value the selected rows are fitted once per column.
+    All rows with a known target enter; a report on the top rows selects them first.
     """
-    rows = top_k(df.where(F.col(target) != -1), target, k, tie_keys)
-    spark = df.sparkSession
+    rows = df.where(F.col(target) != -1)
     if method == "kendall":
-        table = kendall(rows, columns, target, k)
+        table = kendall(rows, columns, target)
         return table.select(
             "metric", F.round("coefficient", 3).alias("coefficient"),
             F.round(_kendall_p_value("coefficient", "n"), 5).alias("p_value"),
         )
-    if method == "pearson":
-        rows = zscore(rows, [target, *columns])
-        table = pearson(rows, columns, target)
-    elif method == "spearman":
-        for c in (target, *columns):
-            rows = average_rank(rows, [], c, f"_r_{c}", descending=False)
-        rows = rows.select(*[F.col(f"_r_{c}").alias(c) for c in (target, *columns)])
-        table = pearson(rows, columns, target)
-    else:
+    if method == "spearman":
+        rows = _ranked(rows, columns, target)
+    elif method != "pearson":
         raise ValueError(f"unknown correlation {method!r}")
-    rows = rows.cache()
-    p_values = spark.createDataFrame([(c, _slope_p_value(rows, c, target)) for c in columns], "metric string, p double")
-    rows.unpersist()
-    return table.join(p_values, "metric").select(
-        "metric", F.round("coefficient", 3).alias("coefficient"), F.round("p", 5).alias("p_value")
+    both = lambda c: F.col(c).isNotNull() & F.col(target).isNotNull()
+    wide = rows.agg(*[x for c in columns for x in (F.corr(c, target).alias(f"r_{c}"), F.count_if(both(c)).alias(f"n_{c}"))])
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(f"r_{c}").alias("r"), F.col(f"n_{c}").alias("n")) for c in columns
+    ])
+    return wide.select(F.inline(entries)).select(
+        "metric", F.round("r", 3).alias("coefficient"), F.round(correlation_p_value("r", "n"), 5).alias("p_value")
     )
 
 

@@ -12,6 +12,7 @@ from odflux.operators.aggregates import attach, present_in_all_periods, share_of
 from odflux.operators.filters import filter_members
 from odflux.operators.joins import compare_periods, lookup_default, lookup_strict
 from odflux.operators.ranking import five_number_summary, median
+from odflux.operators.sorting import top_k
 from odflux.operators.stats import correlations
 
 # Tiers by number.
@@ -88,12 +89,15 @@ def tier_flow_change(edges: DataFrame, tiers: DataFrame, pairs) -> DataFrame:
     return matrix.withColumnsRenamed({str(i): f"to_{i}" for i in range(len(TIER_NAMES))}).orderBy("periods", "tier")
 
 
-def gdp_correlation(scores: DataFrame, gdp: DataFrame, times, method: str = "pearson", k: int = 500, columns=CORRELATED) -> DataFrame:
-    """Correlation of centralities with output over cities known in every period."""
+def gdp_correlation(scores: DataFrame, gdp: DataFrame, times, method: str = "pearson", k: int | None = None, columns=CORRELATED) -> DataFrame:
+    """Correlation of centralities with output over cities known in every period; a report on
+    the k cities of largest output names k."""
     joined = scores.join(gdp.select("name", "gdp"), "name")
     names = present_in_all_periods(joined, times)
     rows = joined.join(names, "name", "left_semi").where(F.col("time") == list(times)[-1])
-    return correlations(rows, list(columns), "gdp", method, k)
+    if k is not None:
+        rows = top_k(rows.where(F.col("gdp") != -1), "gdp", k, ("name",))
+    return correlations(rows, list(columns), "gdp", method)
 
 
 def hub_authority_classes(scores: DataFrame, tiers: DataFrame) -> DataFrame:
