@@ -40,8 +40,10 @@ def _(t):
 def _(t):
     graph = located(t)
     every = graph.select("time").distinct()
-    names = every.withColumn("_k", F.lit(1)).join(t.location().select("name").withColumn("_k", F.lit(1)), "_k")
-    return degree.degrees(graph, names.select("time", "name"))
+    # Every place in every period: the list of periods travels with each place.
+    periods = every.agg(F.collect_set("time").alias("times"))
+    names = t.location().select("name").crossJoin(periods).select(F.explode("times").alias("time"), "name")
+    return degree.degrees(graph, names)
 
 
 @query(
@@ -70,16 +72,15 @@ def _(t):
     return rounded(rank.pagerank(located(t), rounds=PR_ROUNDS), 8, "pr")
 
 
-SPARSE = "(select time, src, dst, cnt from season_edges where cnt > 8)"
 
 
 @query(
     "grf05_pagerank_dangling",
     "select time, name, round(pr, 8) as pr from pr_sparse",
-    {"sparse": "select time, src, dst, cnt from season_edges where cnt > 8", **pagerank_views("sparse", PR_ROUNDS, "pr_sparse", turn=True)},
+    {"sparse": "select time, src, dst, cnt from season_edges where dst > src", **pagerank_views("sparse", PR_ROUNDS, "pr_sparse", turn=True)},
 )
 def _(t):
-    return rounded(rank.pagerank(t.edges().where("cnt > 8"), rounds=PR_ROUNDS, inverse=True), 8, "pr")
+    return rounded(rank.pagerank(t.edges().where("dst > src"), rounds=PR_ROUNDS, inverse=True), 8, "pr")
 
 
 @query("grf05_pagerank_converged")

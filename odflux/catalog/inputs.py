@@ -11,7 +11,7 @@ from odflux.graph.degree import build_graph, degrees, gross_flow, net_inflow_per
 from odflux.graph.rank import hits
 from odflux.operators.aggregates import user_day_od_count
 from odflux.operators.filters import drop_self_edges
-from odflux.session import materialize, scratch_path, spread
+from odflux.session import materialize, scratch_path
 
 
 def rounded(df: DataFrame, digits: int, *columns) -> DataFrame:
@@ -180,7 +180,7 @@ class Tables:
 
     def post(self) -> DataFrame:
         day = F.date_add(F.lit("2019-08-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
-        return spread(self.documents).join(self.nation, F.col("doc_id") % 25 == F.col("n_nationkey")).select(
+        return self.documents.repartition("doc_id").join(self.nation, F.col("doc_id") % 25 == F.col("n_nationkey")).select(
             "doc_id", F.col("n_name").alias("city"), F.date_format(day, "yyyy-MM-dd").alias("startdate"),
             F.col("text").alias("title"),
         )
@@ -215,7 +215,7 @@ class Tables:
         none = F.lit(None).cast("string")
         first = names.select(word(0)).distinct()
         second = names.select(word(1)).distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-        full = names.where("p_size % 2 = 0").select(F.col("p_name").alias("word")).distinct()
+        full = names.select(F.col("p_name").alias("word")).distinct()
         wide = first.join(
             place.where("place_key < 5").select("place_key", "province"), F.length("word") % 5 == F.col("place_key")
         ).select(

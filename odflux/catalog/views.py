@@ -79,7 +79,7 @@ VIEWS = {
         join place p on (length(word) * 3 + k * 7) % 25 = p.place_key
         union all
         select word, p.province, p.name, word, 2, p.mc_x, p.mc_y, 2
-        from (select distinct p_name as word from part where p_size % 2 = 0) w
+        from (select distinct p_name as word from part) w
         join place p on length(word) % 25 = p.place_key""",
     # A search by each line item: its part is searched for, its supplier's number gives a second one.
     "search": """

@@ -9,11 +9,11 @@ the next pass starts, until no pass gains.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from odflux.graph.degree import normalize_out, undirected_edges
+from odflux.graph.rank import NotConverged
 from odflux.operators.filters import vertices_of
 from odflux.session import Rounds, materialize
 
@@ -97,11 +97,12 @@ def _move(arcs, state, by, resolution, parity):
 
 def communities(
     edges: DataFrame, resolution: float = 1.0, init: DataFrame | None = None, normalize: bool = False,
-    by=("time",), max_rounds: int = 40, max_passes: int = 10,
+    by=("time",), max_rounds: int = 200, max_passes: int = 50,
 ) -> DataFrame:
     """Labels 0, 1, ... per snapshot; 0 is the largest community.
 
-    ``init`` (keys, name, label) gives the starting labels, by name.
+    ``init`` (keys, name, label) gives the starting labels, by name. ``NotConverged`` is
+    raised if vertices still move after ``max_rounds`` or communities after ``max_passes``.
     """
     by = list(by)
     spark = edges.sparkSession
@@ -133,6 +134,8 @@ def communities(
             moves += seen.get["wants"]
             if seen.get["wants"] == 0:
                 break
+        else:
+            raise NotConverged(f"{seen.get['wants']} vertices still move after {max_rounds} rounds")
         state = state.select(*by, "name", "c")
         if moves == 0 and not warm:
             break
@@ -152,6 +155,8 @@ def communities(
             .agg(F.sum("cnt").alias("cnt")),
             "pairs",
         )
+    else:
+        raise NotConverged(f"communities still merge after {max_passes} passes")
     return _number(member, by)
 
 
@@ -179,33 +184,43 @@ def label_overlaps(current: DataFrame, history: DataFrame) -> DataFrame:
     return current.join(past, "name").groupBy("label", "earlier").agg(F.sum("times").alias("overlap"))
 
 
-def _greedy(table: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs by falling overlap; ties by current, then earlier label."""
-    table = table.sort_values(["overlap", "label", "earlier"], ascending=[False, True, True])
-    used, taken = {}, set()
-    for label, earlier in zip(table["label"], table["earlier"]):
-        if label not in used and earlier >= 0 and earlier not in taken:
-            used[label] = earlier
-            taken.add(earlier)
-    free = (i for i in range(len(table) + 1) if i not in taken)
-    for label in sorted(set(table["label"]) - set(used)):
-        used[label] = next(free)
-    return pd.DataFrame({"label": list(used), "aligned": list(used.values())}).astype("int32")
+def _matched(overlaps: DataFrame) -> DataFrame:
+    """One-to-one pairs (label, earlier) by falling overlap; ties by label, then earlier label.
+
+    A pair that is the best of both its labels is the next that a greedy choice would take;
+    all such pairs are taken at once, and what they use is removed, until no pair is left.
+    """
+    rounds, pairs = Rounds(overlaps.sparkSession, "matching"), []
+    left = rounds.keep(overlaps.where("earlier >= 0"))
+    while not left.isEmpty():
+        rank = F.struct((-F.col("overlap")).alias("o"), "label", "earlier")
+        mine = left.groupBy("label").agg(F.min(rank).alias("b")).select("b.label", "b.earlier")
+        theirs = left.groupBy("earlier").agg(F.min(rank).alias("b")).select("b.label", "b.earlier")
+        took = materialize(mine.join(theirs, ["label", "earlier"]), "matched")
+        pairs.append(took)
+        left = rounds.keep(left.join(took.select("label"), "label", "left_anti").join(took.select("earlier"), "earlier", "left_anti"))
+    found = overlaps.select("label", "earlier").limit(0)
+    for took in pairs:
+        found = found.union(took.select("label", "earlier"))
+    return found
 
 
 def align_step(current: DataFrame, history: DataFrame) -> DataFrame:
-    """Current clusters renamed to the earlier labels they share most members with.
+    """Current clusters renamed to the earlier labels they share most members with; a label
+    without a match gets the smallest label left.
 
-    The table that is matched has a row per pair of labels, at most 50 by 50; a label
-    without any overlap gets the smallest label left.
+    The tables that are ranked have a row per label.
     """
-    overlaps = label_overlaps(current, history)
-    bare = current.select("label").distinct().select(
-        "label", F.lit(-1).alias("earlier"), F.lit(0).cast("bigint").alias("overlap")
-    )
-    table = overlaps.select("label", "earlier", "overlap").unionByName(bare)
-    mapping = table.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_greedy, "label int, aligned int")
-    return current.join(mapping, "label").withColumn("label", F.col("aligned")).drop("aligned")
+    labels = materialize(current.select("label").distinct(), "labels")
+    found = _matched(materialize(label_overlaps(current, history).select("label", "earlier", "overlap"), "overlaps"))
+    number = F.row_number().over(Window.orderBy("label"))
+    new = labels.join(found, "label", "left_anti").withColumn("k", number)
+    # One number more than all labels together is always enough.
+    last = labels.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n").cast("int") * 2)).alias("label"))
+    free = last.join(found.select(F.col("earlier").alias("label")), "label", "left_anti").withColumn("k", number)
+    named = new.join(free.withColumnRenamed("label", "aligned"), "k").select("label", "aligned")
+    mapping = found.select("label", F.col("earlier").alias("aligned")).unionByName(named)
+    return current.join(mapping, "label").withColumn("label", F.col("aligned").cast("int")).drop("aligned")
 
 
 def align_labels(clusters: DataFrame, order) -> DataFrame:

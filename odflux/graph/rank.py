@@ -16,7 +16,8 @@ from odflux.operators.filters import vertices_of
 from odflux.session import Rounds, materialize
 
 
-SINK = "\u0000"  # Stands for all vertices without out-edges of a snapshot.
+class NotConverged(RuntimeError):
+    """A loop reached its limit of rounds before its stopping rule held."""
 
 
 def pagerank(
@@ -26,10 +27,11 @@ def pagerank(
     """Weighted PageRank per snapshot, columns keys, ``name``, ``pr``.
 
     Weights are normalised by the source's out-flow, so raw and row-normalised edges
-    give the same result. The mass of vertices without out-edges is spread evenly: it
-    flows to a sink and from there to every vertex. The summed change of a snapshot is
-    checked every ``step`` rounds against ``tol`` times its vertex count; with
-    ``rounds`` a fixed number of rounds runs instead.
+    give the same result. The mass of vertices without out-edges is spread evenly: it is
+    one sum per snapshot, added to what every vertex gets. The summed change of a snapshot
+    is checked every ``step`` rounds against ``tol`` times its vertex count, and
+    ``NotConverged`` is raised after ``max_rounds``; with ``rounds`` a fixed number of
+    rounds runs instead.
     """
     by = list(by)
     if inverse:
@@ -39,26 +41,27 @@ def pagerank(
     links = materialize(normalize_out(summed, by).withColumnRenamed("cnt", "w"), "links")
     names = vertices_of(links, by)
     sizes = names.groupBy(*by).agg(F.count("*").alias("n"))
-    nodes = materialize(names.join(sizes, by), "nodes")
-    dangling = nodes.join(links.select(*by, F.col("src").alias("name")).distinct(), [*by, "name"], "left_anti")
-    spread = not dangling.isEmpty()
-    if spread:
-        to_sink = dangling.select(*by, F.col("name").alias("src"), F.lit(SINK).alias("dst"), F.lit(1.0).alias("w"))
-        links = materialize(links.select(*by, "src", "dst", "w").unionByName(to_sink), "links")
-    fan = nodes.select(*by, F.lit(SINK).alias("name"), F.col("name").alias("to"), (1.0 / F.col("n")).alias("part"))
+    sources = links.select(*by, "src").distinct().select(*by, F.col("src").alias("name"), F.lit(True).alias("_has"))
+    nodes = materialize(
+        names.join(sizes, by).join(sources, [*by, "name"], "left")
+        .select(*by, "name", "n", F.col("_has").isNull().alias("dangling")), "nodes",
+    )
+    spread = not nodes.where("dangling").isEmpty()
     base = nodes.select(*by, "name", ((1.0 - damping) / F.col("n")).alias("pr"))
+    if spread:
+        step = 1  # each round reads the last one twice, so each is written
 
     def advance(state):
         inflow = links.join(state.withColumnRenamed("name", "src"), [*by, "src"]).select(
             *by, F.col("dst").alias("name"), (damping * F.col("pr") * F.col("w")).alias("pr")
         )
+        given = base
         if spread:
-            inflow = inflow.groupBy(*by, "name").agg(F.sum("pr").alias("pr"))
-            inflow = inflow.join(fan, [*by, "name"], "left").select(
-                *by, F.coalesce("to", "name").alias("name"),
-                (F.col("pr") * F.coalesce("part", F.lit(1.0))).alias("pr"),
+            lost = state.join(nodes.where("dangling"), [*by, "name"]).groupBy(*by).agg(F.sum("pr").alias("_lost"))
+            given = nodes.join(lost, by, "left").select(
+                *by, "name", ((1.0 - damping + damping * F.coalesce("_lost", F.lit(0.0))) / F.col("n")).alias("pr")
             )
-        return inflow.unionByName(base).groupBy(*by, "name").agg(F.sum("pr").alias("pr"))
+        return inflow.unionByName(given).groupBy(*by, "name").agg(F.sum("pr").alias("pr"))
 
     store = Rounds(spark, "pagerank")
     state = nodes.select(*by, "name", (1.0 / F.col("n")).alias("pr"))
@@ -75,8 +78,11 @@ def pagerank(
                 state.join(before.withColumnRenamed("pr", "old"), [*by, "name"]).join(sizes, by)
                 .groupBy(*by).agg(F.sum(F.abs(F.col("pr") - F.col("old"))).alias("d"), F.max("n").alias("n"))
             )
-            if change.where(F.col("d") >= F.col("n") * F.lit(tol)).isEmpty():
-                break
+            worst = change.agg(F.max(F.col("d") / F.col("n"))).first()[0]
+            if worst is None or worst < tol:
+                return state
+    if rounds is None:
+        raise NotConverged(f"change {worst} per vertex after {max_rounds} rounds")
     return state
 
 
@@ -88,7 +94,8 @@ def hits(
 
     A round sets authority = in-sum of hub and hub = out-sum of authority. Weights are
     divided by the snapshot's total, which keeps several unscaled rounds in range, so
-    ``step`` rounds form one plan between two scalings.
+    ``step`` rounds form one plan between two scalings. ``NotConverged`` is raised if the
+    stopping rule does not hold after ``max_rounds``.
     """
     by = list(by)
     spark = edges.sparkSession
@@ -131,8 +138,12 @@ def hits(
             old = scaled(before, "hub").withColumnRenamed("hub", "old")
             gap = F.abs(F.coalesce("hub", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
             change = hub.join(old, [*by, "name"], "full_outer").groupBy(*by).agg(F.sum(gap).alias("d"))
-            if change.where(F.col("d") >= tol).isEmpty():
+            worst = change.agg(F.max("d")).first()[0]
+            if worst is None or worst < tol:
                 break
+    else:
+        if rounds is None:
+            raise NotConverged(f"change {worst} after {max_rounds} rounds")
     auth = scaled(materialize(authority(hub), "authority"), "authority")
     return (
         nodes.join(hub, [*by, "name"], "left").join(auth, [*by, "name"], "left")

@@ -17,29 +17,23 @@ from odflux.session import materialize
 from odflux.sources.files import SENTINEL
 
 LEVELS = ("province", "city", "region")
-SMALL_DICTIONARY = 256
 BLOCK = 256
 
 
 def dictionary_match(texts: DataFrame, words: DataFrame, text: str = "text", with_index: bool = False) -> DataFrame:
     """All dictionary words contained in each distinct text, overlapping ones included.
 
-    A dictionary of at most ``SMALL_DICTIONARY`` words is tested word by word. For a
-    larger one, or for positions, every position of a text gives the characters that
-    follow it, keyed by the shortest word length; the dictionary joins on that key and
-    then compares the whole word. Texts are cut into overlapping blocks first, and
+    Every position of a text gives one candidate per word length that the dictionary has,
+    and candidates meet words by equality. Texts are cut into overlapping blocks first, and
     travel as a digest, so the work is linear in the text. The blocks are spread over
     all tasks: they are small in bytes but many in positions, also for one long text.
+    Without positions, equal candidates of a block are merged before they move.
     """
     words = words.select("word").where(F.length("word") > 0).distinct()
     distinct = texts.select(F.col(text).alias("text")).where(F.length("text") > 0).distinct()
-    few = [] if with_index else words.limit(SMALL_DICTIONARY + 1).collect()
-    if 0 < len(few) <= SMALL_DICTIONARY:
-        listed = F.array(*[F.lit(row["word"]) for row in few])
-        found = F.filter(listed, lambda w: F.contains(F.col("text"), w))
-        return distinct.select("text", F.explode(found).alias("word")).withColumnRenamed("text", text)
-    bounds = words.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
-    shortest, longest = bounds[0] or 1, bounds[1] or 1
+    # One number per different length, never more than the longest word has characters.
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect()) or [1]
+    shortest, longest = lengths[0], lengths[-1]
     distinct = distinct.where(F.length("text") >= shortest).withColumn("text_id", F.md5("text"))
     size = F.length("text")
     blocks = distinct.select(
@@ -49,18 +43,29 @@ def dictionary_match(texts: DataFrame, words: DataFrame, text: str = "text", wit
         F.substring("text", F.col("at") + 1, F.lit(BLOCK + longest - 1)).alias("block"),
     )
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grams = blocks.repartition(tasks, "text_id", "at").select(
-        "text_id", "at", "block", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("place")
-    ).select(
-        "text_id", (F.col("at") + F.col("place") - 1).alias("start"),
-        F.substring("block", F.col("place"), F.lit(longest)).alias("ahead"),
-    ).withColumn("key", F.substring("ahead", 1, shortest))
-    keyed = words.withColumn("key", F.substring("word", 1, shortest))
-    hits = grams.join(keyed, "key").where(F.col("ahead").startswith(F.col("word")))
+    places = F.sequence(F.lit(1), F.col("own"))
+
+    def words_of(n):
+        return F.transform(places, lambda p: F.substring("block", p, F.lit(n)))
+
+    def placed_words_of(n):
+        return F.transform(places, lambda p: F.struct(p.alias("place"), F.substring("block", p, F.lit(n)).alias("word")))
+
     if with_index:
-        hits = hits.select("text_id", "word", "start", (F.col("start") + F.length("word")).alias("end"))
+        parts = [placed_words_of(n) for n in lengths]
+        grams = blocks.repartition(tasks, "text_id", "at").select(
+            "text_id", "at", F.explode(F.concat(*parts)).alias("g")
+        ).select("text_id", (F.col("at") + F.col("g.place") - 1).alias("start"), "g.word")
+        # Behind the end of a text a candidate is cut short and meets its shorter word twice.
+        hits = grams.distinct().join(words, "word").select(
+            "text_id", "word", "start", (F.col("start") + F.length("word")).alias("end")
+        )
     else:
-        hits = hits.select("text_id", "word").distinct()
+        parts = [words_of(n) for n in lengths]
+        grams = blocks.repartition(tasks, "text_id", "at").select(
+            "text_id", F.explode(F.array_distinct(F.concat(*parts))).alias("word")
+        )
+        hits = grams.join(words, "word").select("text_id", "word").distinct()
     return distinct.join(hits, "text_id").drop("text_id").withColumnRenamed("text", text)
 
 
@@ -130,7 +135,10 @@ def match_destination(rows: DataFrame, areas: DataFrame, text: str = "text") ->
     Candidates in the row's province go first, then the best priority, then the best
     original priority, then the nearest; names settle what is still tied.
     """
-    asked = materialize(rows.select(text, "x", "y", "province").distinct(), "asked")
+    # A row is asked for under a digest that tells null from text, so null keys keep their match.
+    ask = F.sha1(F.to_json(F.struct(F.col(text).alias("t"), "x", "y", "province"), {"ignoreNullFields": "false"}))
+    rows = materialize(rows.withColumn("_ask", ask), "rows")
+    asked = materialize(rows.select("_ask", text, "x", "y", "province").distinct(), "asked")
     candidates = text_candidates(asked, areas, text).select(
         text, *[F.col(c).alias(f"to_{c}") for c in LEVELS], "level", "original_level",
         F.col("x").alias("to_x"), F.col("y").alias("to_y"),
@@ -143,10 +151,10 @@ def match_destination(rows: DataFrame, areas: DataFrame, text: str = "text") ->
     )
     chosen = (
         asked.join(candidates, text)
-        .groupBy(text, "x", "y", "province").agg(F.min(order).alias("best"))
-        .select(text, "x", "y", "province", "best.to_province", "best.to_city", "best.to_region")
+        .groupBy("_ask").agg(F.min(order).alias("best"))
+        .select("_ask", "best.to_province", "best.to_city", "best.to_region")
     )
-    return rows.join(chosen, [text, "x", "y", "province"])
+    return rows.join(chosen, "_ask").drop("_ask")
 
 
 # Terms that mark a job-seeking query.

@@ -42,16 +42,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A bare scan, spread over all cores if its files give fewer splits than that.
-
-    For heavy row-wise work such as splitting texts. Large tables have enough splits and
-    are left as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
