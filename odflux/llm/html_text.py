@@ -122,7 +122,8 @@ class _Lines(HTMLParser):
         """Ends the innermost such element, unless a barrier stands before it."""
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                self._cut()
+                if any(name in BLOCKS for name, *_ in self.open[k:]):
+                    self._cut()
                 del self.open[k:]
                 return
             if self.open[k][0] in barrier:
