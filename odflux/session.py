@@ -42,9 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[str] = []  # scratch folders of this process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``remove_scratch`` deletes all of them."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once the results that read them are
+    written. Returns how many folders there were."""
+    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:

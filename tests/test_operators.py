@@ -46,6 +46,34 @@ def test_kendall_with_ties_against_all_pairs(spark):
     assert stats.kendall(rows, ["x"], "y").first()["coefficient"] == pytest.approx(expected)
 
 
+def test_kendall_takes_all_rows(spark):
+    rows = spark.range(2000).selectExpr("cast(id as double) as x", "cast(id % 7 as double) as y")
+    got = stats.kendall(rows, ["x"], "y").first()
+    y = np.arange(2000) % 7
+    gap = sum(int((y[k + 1 :] > v).sum()) - int((y[k + 1 :] < v).sum()) for k, v in enumerate(y))
+    pairs = 2000 * 1999 / 2
+    ties = sum(c * (c - 1) / 2 for c in np.bincount(y))
+    assert got["n"] == 2000 and got["coefficient"] == pytest.approx(gap / np.sqrt(pairs * (pairs - ties)))
+
+
+@pytest.mark.parametrize("r, n, p", [(0.5, 12, 0.09785), (-0.3, 50, 0.03428), (0.0, 9, 1.0), (1.0, 9, 0.0), (0.05, 100_000, 0.0)])
+def test_p_value_of_a_correlation(spark, r, n, p):
+    got = spark.range(1).select(stats.correlation_p_value(F.lit(r), F.lit(n)).alias("p")).first()["p"]
+    assert got == pytest.approx(p, abs=2e-5)
+
+
+def test_heavy_tailed_values_fall_into_even_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CHUNK_ROWS", 500)
+    values = np.random.default_rng(9).lognormal(0, 3, 20_000)
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    bounds = rows.agg(F.percentile_approx("v", [k / 40 for k in range(1, 40)], F.lit(10000)).alias("b")).first()["b"]
+    chunk = ranking._chunk_of(F.col("v"), F.array(*map(F.lit, bounds)))
+    sizes = [r["count"] for r in rows.groupBy(chunk.alias("c")).count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 0.03 * len(values)
+    got = {r["v"]: r["before"] for r in ranking.positions(rows, [], "v").collect()}
+    assert all(got[float(v)] == k for k, v in enumerate(np.sort(values)))
+
+
 def test_correlations_and_p_values(spark):
     rows = spark.createDataFrame([(str(i), float(i), float(i % 3), float(i * i)) for i in range(30)], "name string, g double, a double, b double")
     got = {r["metric"]: r for r in stats.correlations(rows, ["a", "b"], "g", "spearman").collect()}
@@ -182,3 +210,16 @@ def test_sample_is_repeatable(spark):
     again = {r["id"] for r in filters.sample_fraction(rows.repartition(7), 0.2, ["id"]).collect()}
     assert once == again and 120 < len(once) < 280
     assert filters.sample_n(rows, 17, ["id"]).count() == 17
+
+
+def test_intermediate_tables_are_removed(spark):
+    from pathlib import Path
+
+    from odflux.session import materialize, remove_scratch, shared_dir
+
+    ranking.quantiles(spark.range(10).selectExpr("cast(id as double) as v"), [], "v", (0.5,)).collect()
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    materialize(spark.range(3), "kept-for-the-test")
+    assert list(folder.glob("kept-for-the-test-*"))
+    remove_scratch(spark)
+    assert not list(folder.glob("kept-for-the-test-*")) and not list(folder.glob("bounds-*"))
