@@ -16,26 +16,34 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflux.llm.common import materialize, table, with_rank
 from odflux.llm.registry import query
 
-BINS = 1 << 16
+BINS = 1 << 12
 
 
-def _positions(nodes: DataFrame, bin_column: str, keys: list[str], before: str) -> DataFrame:
-    """Per node the bin in which the running weight passes half, and the weight in front of it."""
-    bins = nodes.groupBy(*keys, bin_column).agg(F.sum("weight").alias("w"), F.first(before).alias("before"), F.first("half").alias("half"))
-    running = Window.partitionBy(*keys).orderBy(bin_column).rowsBetween(Window.unboundedPreceding, 0)
-    passed = bins.withColumn("sum", F.sum("w").over(running) + F.col("before"))
-    return passed.where("sum >= half").groupBy(*keys).agg(
-        F.min(F.struct(F.col(bin_column).alias("bin"), (F.col("sum") - F.col("w")).alias("before"), "sum", "half")).alias("hit")
-    ).select(
-        *keys, F.col("hit.bin").alias(f"{bin_column}_cut"), F.col("hit.before").alias(f"{bin_column}_before"),
-        # The bin that passes half stays on the left if that is the nearer cut.
-        (F.col("hit.sum") - F.col("hit.half") <= F.col("hit.half") - F.col("hit.before")).alias(f"{bin_column}_left"),
+def _positions(nodes: DataFrame, bin_column: str, before: str) -> DataFrame:
+    """Per node the bin in which the running weight passes half, the weight in front of it, and
+    whether it stays on the left, as the nearer of both cuts."""
+    bins = nodes.groupBy("node", bin_column).agg(
+        F.sum("weight").alias("w"), F.first(before).alias("before"), F.first("half").alias("half")
+    )
+    # At most BINS entries per node.
+    listed = bins.groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.col(bin_column).alias("bin"), "w"))).alias("bins"),
+        F.first("before").alias("before"), F.first("half").alias("half"),
+    )
+    start = F.struct(F.lit(-1).cast("long").alias("bin"), F.col("before").alias("sum"), F.lit(0.0).alias("w"))
+    passed = F.aggregate("bins", start, lambda a, x: F.when(
+        (a["bin"] < 0) | (a["sum"] < F.col("half")),
+        F.struct(x["bin"].alias("bin"), (a["sum"] + x["w"]).alias("sum"), x["w"].alias("w")),
+    ).otherwise(a))
+    return listed.withColumn("hit", passed).select(
+        "node", F.col("hit.bin").alias(f"{bin_column}_cut"), (F.col("hit.sum") - F.col("hit.w")).alias(f"{bin_column}_before"),
+        (F.col("hit.sum") - F.col("half") <= F.col("half") - (F.col("hit.sum") - F.col("hit.w"))).alias(f"{bin_column}_left"),
     )
 
 
@@ -63,9 +71,9 @@ def kd_tree(points: DataFrame, dims: list[str], levels: int) -> DataFrame:
             F.pmod(F.xxhash64(F.lit(level), "hash", "group"), F.lit(BINS)).alias("tie"), F.lit(0.0).alias("zero"),
         )
         placed = materialize(placed, "placed")
-        first = materialize(_positions(placed, "bin", ["node"], "zero"), "medians")
+        first = materialize(_positions(placed, "bin", "zero"), "medians")
         inside = placed.join(first, "node").where(F.col("bin") == F.col("bin_cut"))
-        second = materialize(_positions(inside, "tie", ["node"], "bin_before"), "medians")
+        second = materialize(_positions(inside, "tie", "bin_before"), "medians")
         beyond = (F.col("tie") > F.col("tie_cut")) | ((F.col("tie") == F.col("tie_cut")) & ~F.col("tie_left"))
         right = (F.col("bin") > F.col("bin_cut")) | ((F.col("bin") == F.col("bin_cut")) & beyond)
         now = placed.join(first, "node").join(second, "node").select(
