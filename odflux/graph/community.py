@@ -17,7 +17,6 @@ from odflux.graph.rank import NotConverged
 from odflux.operators.filters import vertices_of
 from odflux.session import Rounds, materialize
 
-MAX_LABELS = 50  # Fixed value: labels of one snapshot are numbered 0 to 49.
 
 
 def _symmetric(edges: DataFrame, by) -> DataFrame:

@@ -201,8 +201,9 @@ def sparse_to_dense(indexes, values, length: int):
 
 
 def pivot_wide(df: DataFrame, key, column: str, values, value: str) -> DataFrame:
+    """One column per listed value; a key that repeats shows its largest value."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).pivot(column, list(values)).agg(F.first(value))
+    return df.groupBy(*keys).pivot(column, list(values)).agg(F.max(value))
 
 
 def unpivot_long(df: DataFrame, ids, columns, name: str = "metric", value: str = "value") -> DataFrame:

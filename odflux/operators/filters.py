@@ -87,8 +87,9 @@ def min_support(df: DataFrame, column: str, minimum: float) -> DataFrame:
 
 
 def _hash32(keys, seed: int):
-    """First 32 bits of an MD5 over the keys and a seed, the same in any engine."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    """First 32 bits of an MD5 over the keys and a seed, the same in any engine; null counts as
+    empty, so keys keep their places."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 

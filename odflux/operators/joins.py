@@ -68,8 +68,10 @@ def join_on_year_and_city(edges: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def compare_periods(df: DataFrame, key: str, value: str, periods, time: str = "time") -> DataFrame:
-    """One column per period, for keys present in every period; one shuffle, no self joins."""
-    wide = df.where(F.col(time).isin(list(periods))).groupBy(key).pivot(time, list(periods)).agg(F.first(value))
+    """One column per period, for keys present in every period; one shuffle, no self joins.
+
+    A key that repeats in a period shows its largest value."""
+    wide = df.where(F.col(time).isin(list(periods))).groupBy(key).pivot(time, list(periods)).agg(F.max(value))
     return wide.where(reduce(lambda a, b: a & b, [F.col(f"`{p}`").isNotNull() for p in periods]))
 
 

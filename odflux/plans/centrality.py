@@ -85,7 +85,7 @@ def tier_flow_change(edges: DataFrame, tiers: DataFrame, pairs) -> DataFrame:
             (F.try_divide("now", "base") - 1).alias("increase"),
         )
         rows = change if rows is None else rows.unionByName(change)
-    matrix = rows.groupBy("periods", "tier").pivot("dst", list(range(len(TIER_NAMES)))).agg(F.first("increase"))
+    matrix = rows.groupBy("periods", "tier").pivot("dst", list(range(len(TIER_NAMES)))).agg(F.max("increase"))
     return matrix.withColumnsRenamed({str(i): f"to_{i}" for i in range(len(TIER_NAMES))}).orderBy("periods", "tier")
 
 

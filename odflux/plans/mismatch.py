@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from odflux.operators.aggregates import share_of_group
 from odflux.operators.filters import exclude_category
-from odflux.operators.ranking import average_rank_desc, rank_mismatch, top_k_by_rank
-from odflux.session import materialize
+from odflux.operators.ranking import average_rank_desc, rank_mismatch
 
 OTHER = "其他"  # Fixed value: the catch-all type.
 SCORE = "flow_in_net_country_norm"
@@ -68,10 +67,6 @@ def region_mismatch(cities: DataFrame, region_city: DataFrame) -> DataFrame:
     return cities.join(region_city, "name").groupBy("time", "region").agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def top_types(ranks: DataFrame, k: int = 10) -> DataFrame:
-    return top_k_by_rank(ranks, "rank", k)
-
-
 def mismatch_words(demand: DataFrame, supply: DataFrame, region_city: DataFrame, times=None, other: str = OTHER) -> DataFrame:
     """Types with weight and sign of the rank difference per region and period."""
     ranked = region_ranks(demand, supply, region_city, other)
@@ -83,8 +78,3 @@ def mismatch_words(demand: DataFrame, supply: DataFrame, region_city: DataFrame,
         "time", "region", "type", "rank_demand", "rank_supply", gap.alias("rank_diff"),
         F.abs(gap).alias("weight"), F.signum(gap).cast("int").alias("sign"),
     )
-
-
-def mismatch_table(demand: DataFrame, supply: DataFrame, since: str, other: str = OTHER) -> DataFrame:
-    """City figures written once, as input of the maps."""
-    return materialize(city_mismatch(demand, supply, since, other), "mismatch")
