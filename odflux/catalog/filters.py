@@ -134,9 +134,15 @@ def _(t):
     return filters.sample_n(t.documents.select("doc_id", "lang"), 200, ["doc_id"])
 
 
-@query("fil13_sample_bernoulli")
-def _(t):
-    return filters.sample_fraction(t.documents.select("doc_id", "lang"), 0.1)
+# Six standard deviations around a tenth of the rows.
+@query("fil13_sample_bernoulli", "select true as in_bounds, count(*) as total from documents")
+def _(t):
+    rows = t.documents.select("doc_id", "lang")
+    sampled = filters.sample_fraction(rows, 0.1).agg(F.count("*").alias("n"))
+    gap = F.abs(F.col("n") - 0.1 * F.col("total"))
+    return sampled.crossJoin(rows.agg(F.count("*").alias("total"))).select(
+        (gap <= 6 * F.sqrt(0.09 * F.col("total"))).alias("in_bounds"), "total"
+    )
 
 
 # ---- projections ---------------------------------------------------------------

@@ -301,10 +301,37 @@ def _(t):
     return community.align_step(labels.where("time = '1996Q2'").select("name", "label"), history)
 
 
-@query("grf14_align_labels_over_time")
+ALIGNED = ["1996Q1", "1996Q2", "1996Q3", "1996Q4"]
+
+
+def _chain_sql():
+    """Each part matched to what all earlier parts were renamed to."""
+    views = {"al0": f"select name, label::integer as label from season_label where time = '{ALIGNED[0]}'"}
+    for t, part in enumerate(ALIGNED[1:], 1):
+        earlier = " union all ".join(f"select * from al{k}" for k in range(t))
+        views[f"hist{t}"] = f"select name, label, count(*) as times from ({earlier}) group by all"
+        views[f"now{t}"] = f"select name, label::integer as label from season_label where time = '{part}'"
+        views[f"ov{t}"] = f"select c.label as u, h.label as p, sum(times) as n from now{t} c join hist{t} h using (name) group by all"
+        for i in range(5):
+            taken = "".join(f" and u not in (select u from pk{t}x{k}) and p not in (select p from pk{t}x{k})" for k in range(i))
+            views[f"pk{t}x{i}"] = f"select u, p from ov{t} where true{taken} order by n desc, u, p limit 1"
+        views[f"prs{t}"] = " union all ".join(f"select * from pk{t}x{i}" for i in range(5))
+        views[f"new{t}"] = f"""select u, row_number() over (order by u) as i from (select distinct label as u from now{t})
+            where u not in (select u from prs{t})"""
+        views[f"fre{t}"] = f"select l, row_number() over (order by l) as i from range(50) r(l) where l not in (select p from prs{t})"
+        views[f"al{t}"] = f"""select name, coalesce(p, l)::integer as label from now{t} left join prs{t} on label = u
+            left join (select u as fu, l from new{t} join fre{t} using (i)) on label = fu"""
+    return views
+
+
+@query(
+    "grf14_align_labels_over_time",
+    " union all ".join(f"select '{part}' as part, name, label from al{t}" for t, part in enumerate(ALIGNED)),
+    _chain_sql(),
+)
 def _(t):
     labels = t.season_label().withColumnRenamed("time", "part")
-    return community.align_labels(materialize(labels, "labels"), ["1996Q1", "1996Q2", "1996Q3", "1996Q4"])
+    return community.align_labels(materialize(labels, "labels"), ALIGNED)
 
 
 @query(

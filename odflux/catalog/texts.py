@@ -90,7 +90,7 @@ def _(t):
     _, vectors = _vectors(t)
     soft = text.gmm_topics(vectors, k=4, dims=4, max_iter=10)
     soft = soft.withColumn("time", F.substring("startdate", 1, 7))
-    return array_sum_by(soft, ["city", "time"], "probability", 4)
+    return array_sum_by(soft, ["city", "time"], "probability")
 
 
 @query("txt07_topic_counts_of_clusters")
