@@ -33,6 +33,7 @@ from odflux.llm.registry import query
 
 SEED = 42
 LEAF = 2048  # fingerprints of a unit that one task may hold
+SPARE = 24  # of 64 bits; a pair at 0.8 differs in 10 with a standard deviation of 3
 MARGIN = 0.12  # four standard errors of an estimated similarity
 STRIDE = 6  # bits by which a larger unit is split
 _SLICE = 1 << 20  # shingles counted at once
@@ -214,7 +215,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 # --- Units across tasks ----------------------------------------------------------------------
 
-_UNIT = "unit long, side byte, err byte, bits byte, value long, node long"
+_UNIT = "unit long, side byte, err byte, bits byte, value long, node long, spare long"
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -234,6 +235,7 @@ def _units(tables: int, bits: int, budget: int):
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy(zero_copy_only=False)
+            spare = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">i8").astype(np.int64)
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(U).reshape(batch.num_rows, -1)
             for t in range(tables):
                 at = t * bits  # tables do not cross the words of a fingerprint
@@ -247,8 +249,8 @@ def _units(tables: int, bits: int, budget: int):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(_mix(block, t * 64 + k).view(np.int64)), pa.array(np.zeros(n, np.int8)),
                         pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, bits - size, np.int8)),
-                        pa.array(rest.view(np.int64)), pa.array(node),
-                    ], names=["unit", "side", "err", "bits", "value", "node"])
+                        pa.array(rest.view(np.int64)), pa.array(node), pa.array(spare),
+                    ], names=["unit", "side", "err", "bits", "value", "node", "spare"])
 
     return run
 
@@ -258,7 +260,7 @@ def _split(budget: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, side, err, bits, value, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            unit, side, err, bits, value, node, spare = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             step = np.minimum(bits, STRIDE)
             value = value.view(U)
             head = (value >> (bits - step).astype(U)).astype(np.int64)
@@ -277,20 +279,22 @@ def _split(budget: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(name), pa.array(new.astype(np.int8)), pa.array((err[ok] + more).astype(np.int8)),
                     pa.array((bits[ok] - step[ok]).astype(np.int8)), pa.array(rest[ok].view(np.int64)), pa.array(node[ok]),
-                ], names=["unit", "side", "err", "bits", "value", "node"])
+                    pa.array(spare[ok]),
+                ], names=["unit", "side", "err", "bits", "value", "node", "spare"])
 
     return run
 
 
-def _search(budget: int):
-    """Spanning links of the units in a partition, which comes sorted by unit and side."""
+def _search(budget: int, apart: int):
+    """Spanning links of the units in a partition, which comes sorted by unit and side. Links
+    whose spare bits differ in more than ``apart`` are dropped before the forest is made."""
 
     def solve(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit, side, err, bits, value, node = (c.to_numpy() for c in block.columns)
+        unit, side, err, bits, value, node, spare = (c.to_numpy() for c in block.columns)
         v = value.view(U) << (64 - bits).astype(U)
         v = np.where(bits == 0, U(0), v)
         order = np.lexsort((v, side, unit))
-        unit, side, err, v, node = unit[order], side[order], err[order], v[order], node[order]
+        unit, side, err, v, node, spare = (x[order] for x in (unit, side, err, v, node, spare.view(U)))
         depth = int(bits.max(initial=0))
         starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
         ends = np.append(starts[1:], len(unit))
@@ -311,6 +315,8 @@ def _search(budget: int):
                 v[base:top], lo - base, np.where(two, mid, hi) - base, np.where(two, mid, lo) - base, hi - base,
                 err[lo].astype(np.int64), budget, depth,
             )
+            near = np.bitwise_count(spare[base:top][i] ^ spare[base:top][j]) <= apart
+            i, j, w = i[near], j[near], w[near]
             if len(i):
                 names, place = np.unique(node[base:top], return_inverse=True)
                 i, j = place[i], place[j]
@@ -338,10 +344,11 @@ def _search(budget: int):
     return run
 
 
-def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2) -> DataFrame:
-    """Spanning links (u, v) of distinct fingerprints ``nodes`` (node, sig)."""
+def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2, apart: int = 64) -> DataFrame:
+    """Spanning links (u, v) of distinct fingerprints ``nodes`` (node, sig, and eight bytes
+    ``spare``, which may differ in ``apart`` bits)."""
     assert 64 % bits == 0
-    units = nodes.select("node", "sig").mapInArrow(_units(tables, bits, budget), _UNIT)
+    units = nodes.select("node", "sig", "spare").mapInArrow(_units(tables, bits, budget), _UNIT)
     found = None
     while True:
         units = materialize(units, "units")
@@ -349,8 +356,8 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2) ->
         sizes = materialize(sizes.where("size > 1"), "sizes")
         small = units.join(sizes.where((F.col("size") <= LEAF)).select("unit"), "unit")
         edges = (
-            small.select("unit", "side", "err", "bits", "value", "node")
-            .repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_search(budget), "u long, v long")
+            small.select("unit", "side", "err", "bits", "value", "node", "spare")
+            .repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_search(budget, apart), "u long, v long")
         )
         # With no bits left all members are equal: one star, by partial minima.
         equal = sizes.where((F.col("size") > LEAF) & (F.col("left") == 0)).select("unit")
@@ -361,7 +368,7 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2) ->
         large = sizes.where((F.col("size") > LEAF) & (F.col("left") > 0)).select("unit")
         if large.isEmpty():
             return found
-        units = units.join(large, "unit").select("unit", "side", "err", "bits", "value", "node").mapInArrow(
+        units = units.join(large, "unit").select("unit", "side", "err", "bits", "value", "node", "spare").mapInArrow(
             _split(budget), _UNIT
         )
 
@@ -393,28 +400,32 @@ def groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
     """Groups by 64-bit fingerprints that differ in at most ``budget`` bits, transitively."""
     marked = materialize(fingerprints(docs, doc_id, text, words), "fingerprints")
-    nodes = marked.groupBy("node").agg(F.first("sig").alias("sig"))
+    nodes = marked.groupBy("node").agg(F.first("sig").alias("sig")).withColumn("spare", F.lit(bytes(8)))
     return groups(marked, links(nodes, budget=budget))
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-    length: int = 16, bits: int = 32, budget: int = 3,
+    length: int = 16, budget: int = 3,
 ) -> DataFrame:
     """Groups of texts whose sets of ``words``-word shingles have at least this similarity.
 
-    ``length`` tables of ``bits`` bits give candidates: a pair at 0.8 differs in 15 % of the
-    bits, so one table finds it with a chance of 0.26 and sixteen find it with 0.99. Spanning
+    ``length`` tables of 32 bits give candidates: a pair at 0.8 differs in 15 % of the
+    bits, so one table finds it with a chance of 0.26 and sixteen find it with 0.99. Chance
+    links of unlike texts, which grow faster than the corpus, differ in half of 64 spare bits
+    and are dropped where they are found. Spanning
     links of all tables are then held against all 64 * length bits, which give the similarity
     with a standard error of 0.03; within MARGIN of the limit the shingle sets are compared.
     """
+    bits = 32
     marked = materialize(fingerprints(docs, doc_id, text, words, length, distinct=True), "fingerprints")
     nodes = materialize(marked.groupBy("node").agg(
         F.first("sig").alias("sig"), F.first("n").alias("n"), F.min("digest").alias("digest")
     ), "nodes")
-    per_word = 64 // bits
-    wide = nodes.select("node", _first_bits(F.col("sig"), length, bits).alias("sig")) if per_word > 1 else nodes
-    found = links(wide, length, bits, budget).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    # Tables take the first half of each word; the second halves of two words are spare.
+    spare = F.concat(F.substring("sig", 5, 4), F.substring("sig", 13, 4))
+    wide = nodes.select("node", _first_bits(F.col("sig"), length, bits).alias("sig"), spare.alias("spare"))
+    found = links(wide, length, bits, budget, SPARE).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     found = found.where("u <> v").distinct()
     for side in ("u", "v"):
         found = found.join(nodes.select(F.col("node").alias(side), *[
