@@ -315,8 +315,10 @@ def _search(budget: int, apart: int):
                 v[base:top], lo - base, np.where(two, mid, hi) - base, np.where(two, mid, lo) - base, hi - base,
                 err[lo].astype(np.int64), budget, depth,
             )
-            near = np.bitwise_count(spare[base:top][i] ^ spare[base:top][j]) <= apart
-            i, j, w = i[near], j[near], w[near]
+            more = np.bitwise_count(spare[base:top][i] ^ spare[base:top][j]).astype(np.int64)
+            near = more <= apart
+            # Spare bits weigh as well, so that the forest joins what is most alike.
+            i, j, w = i[near], j[near], (w + more)[near]
             if len(i):
                 names, place = np.unique(node[base:top], return_inverse=True)
                 i, j = place[i], place[j]
