@@ -30,6 +30,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,11 +248,11 @@ def _collect_stretches(buckets: int):
         to = (n % U(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        out = []
+        pack, out = zstandard.ZstdCompressor(level=1).compress, []
         for b in range(buckets):
             o = order[cuts[b] : cuts[b + 1]]
             if len(o):
-                text = body[_spans(begin[o], length[o])]
+                text = pack(body[_spans(begin[o], length[o])].tobytes())
                 out.append((b, batch, _dump(key[o], length[o].astype(np.int32), low[o], (low < high)[o], text)))
         return _moves(out)
 
@@ -344,7 +345,8 @@ def _smallest_ids(part: pa.Table) -> pa.Table:
     length = np.concatenate([g[1] for g in got]).astype(np.int64)
     low = np.concatenate([g[2] for g in got])
     many = np.concatenate([g[3] for g in got])
-    text = np.concatenate([g[4] for g in got])
+    unpack = zstandard.ZstdDecompressor().decompress
+    text = np.concatenate([np.frombuffer(unpack(g[4]), np.uint8) for g in got])
     source = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
     begin = np.cumsum(length) - length
     _, place, back = np.unique(key, return_index=True, return_inverse=True)
