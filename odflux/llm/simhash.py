@@ -12,6 +12,10 @@ split by the next bits into units of node pairs, again and again, so no task hol
 unit. A unit emits a minimum spanning forest of its links, never all of its pairs, so what is
 emitted grows with the fingerprints. Equal texts and equal fingerprints are one node.
 
+Such links tell what is connected. That is the result where links are transitive (op1); for a
+similarity limit it only names families, and all pairs inside a family are compared, a large
+family in pairs of blocks (``alike_links``).
+
 Defined results: null and empty texts have no words and fingerprint zero. Rows without an id
 count, but never name a component; a component of such rows alone has none. Repeated rows are
 equal fingerprints. Only the two named columns are read.
@@ -33,7 +37,9 @@ from odflux.llm.registry import query
 
 SEED = 42
 LEAF = 2048  # fingerprints of a unit that one task may hold
-SPARE = 24  # of 64 bits; a pair at 0.8 differs in 10 with a standard deviation of 3
+SPARE = 38  # of 128 bits; a pair at 0.8 differs in 19 with a standard deviation of 4
+BLOCK = 512  # texts of a family that are compared at once with as many others
+FEW = 32  # shingles; the bits of smaller sets do not follow the angle, so sets decide
 MARGIN = 0.12  # four standard errors of an estimated similarity
 STRIDE = 6  # bits by which a larger unit is split
 _SLICE = 1 << 20  # shingles counted at once
@@ -132,13 +138,20 @@ def fingerprints(
 
 # --- The trie self-join inside one task ------------------------------------------------------
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges of these sizes, one after the other, and the sizes."""
+    return np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), size
+
+
 def trie_links(
-    v: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, err: np.ndarray, budget: int, depth: int
+    v: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, err: np.ndarray, budget: int, depth: int,
+    every: bool = False,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (i, j, differing bits) between positions of ``v``.
 
     ``v`` holds left-aligned bit strings, sorted inside each range. Each root is a pair of
-    ranges that share no bit yet looked at; a range with itself is a self-join.
+    ranges that share no bit yet looked at; a range with itself is a self-join. Equal strings
+    are joined by a path, or all with each other if links are still to be judged (``every``).
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for d in range(depth + 1):
@@ -170,12 +183,19 @@ def trie_links(
         a0, a1, b0, b1, err = left
         keep = (err <= budget) & (a1 > a0) & (b1 > b0) & ((a0 != b0) | (a1 - a0 > 1))
         a0, a1, b0, b1, err = a0[keep], a1[keep], b0[keep], b1[keep], err[keep]
-    if len(a0):
+    if len(a0) and every:
+        wide = b1 - b0
+        i, size = _ranges(a0, (a1 - a0) * wide)
+        within = i - np.repeat(a0, size)
+        i = np.repeat(a0, size) + within // np.repeat(wide, size)
+        j = np.repeat(b0, size) + within % np.repeat(wide, size)
+        ok = np.repeat(a0 != b0, size) | (i < j)
+        out.append((i[ok], j[ok], np.repeat(err, size)[ok]))
+    elif len(a0):
         # No bits are left: all strings of a range are equal, and a path joins them.
         own = a0 == b0
         out.append((a0[~own], b0[~own], err[~own]))
-        size = (a1 - a0 - 1)[own]
-        first = np.repeat(a0[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        first, size = _ranges(a0[own], (a1 - a0 - 1)[own])
         out.append((first, first + 1, np.repeat(err[own], size)))
     if not out:
         return tuple(np.empty(0, np.int64) for _ in range(3))
@@ -215,7 +235,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 # --- Units across tasks ----------------------------------------------------------------------
 
-_UNIT = "unit long, side byte, err byte, bits byte, value long, node long, spare long"
+_UNIT = "unit long, side byte, err byte, bits byte, value long, node long, spare long, more long"
+_COLUMNS = [c.split()[0] for c in _UNIT.split(", ")]
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -235,7 +256,7 @@ def _units(tables: int, bits: int, budget: int):
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy(zero_copy_only=False)
-            spare = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">i8").astype(np.int64)
+            spare = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(U).reshape(batch.num_rows, -1)
             for t in range(tables):
                 at = t * bits  # tables do not cross the words of a fingerprint
@@ -249,8 +270,8 @@ def _units(tables: int, bits: int, budget: int):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(_mix(block, t * 64 + k).view(np.int64)), pa.array(np.zeros(n, np.int8)),
                         pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, bits - size, np.int8)),
-                        pa.array(rest.view(np.int64)), pa.array(node), pa.array(spare),
-                    ], names=["unit", "side", "err", "bits", "value", "node", "spare"])
+                        pa.array(rest.view(np.int64)), pa.array(node), *map(pa.array, spare.T.copy()),
+                    ], names=_COLUMNS)
 
     return run
 
@@ -260,7 +281,7 @@ def _split(budget: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, side, err, bits, value, node, spare = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            unit, side, err, bits, value, node, *spare = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             step = np.minimum(bits, STRIDE)
             value = value.view(U)
             head = (value >> (bits - step).astype(U)).astype(np.int64)
@@ -279,8 +300,8 @@ def _split(budget: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(name), pa.array(new.astype(np.int8)), pa.array((err[ok] + more).astype(np.int8)),
                     pa.array((bits[ok] - step[ok]).astype(np.int8)), pa.array(rest[ok].view(np.int64)), pa.array(node[ok]),
-                    pa.array(spare[ok]),
-                ], names=["unit", "side", "err", "bits", "value", "node", "spare"])
+                    *[pa.array(x[ok]) for x in spare],
+                ], names=_COLUMNS)
 
     return run
 
@@ -290,11 +311,12 @@ def _search(budget: int, apart: int):
     whose spare bits differ in more than ``apart`` are dropped before the forest is made."""
 
     def solve(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit, side, err, bits, value, node, spare = (c.to_numpy() for c in block.columns)
+        unit, side, err, bits, value, node, *spare = (c.to_numpy() for c in block.columns)
         v = value.view(U) << (64 - bits).astype(U)
         v = np.where(bits == 0, U(0), v)
         order = np.lexsort((v, side, unit))
-        unit, side, err, v, node, spare = (x[order] for x in (unit, side, err, v, node, spare.view(U)))
+        unit, side, err, v, node = (x[order] for x in (unit, side, err, v, node))
+        spare = np.stack([x.view(U)[order] for x in spare], axis=1)
         depth = int(bits.max(initial=0))
         starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
         ends = np.append(starts[1:], len(unit))
@@ -313,9 +335,9 @@ def _search(budget: int, apart: int):
             top = int(hi[-1]) if len(hi) else 0
             i, j, w = trie_links(
                 v[base:top], lo - base, np.where(two, mid, hi) - base, np.where(two, mid, lo) - base, hi - base,
-                err[lo].astype(np.int64), budget, depth,
+                err[lo].astype(np.int64), budget, depth, apart < 128,
             )
-            more = np.bitwise_count(spare[base:top][i] ^ spare[base:top][j]).astype(np.int64)
+            more = np.bitwise_count(spare[base:top][i] ^ spare[base:top][j]).sum(axis=1, dtype=np.int64)
             near = more <= apart
             # Spare bits weigh as well, so that the forest joins what is most alike.
             i, j, w = i[near], j[near], (w + more)[near]
@@ -346,8 +368,8 @@ def _search(budget: int, apart: int):
     return run
 
 
-def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2, apart: int = 64) -> DataFrame:
-    """Spanning links (u, v) of distinct fingerprints ``nodes`` (node, sig, and eight bytes
+def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2, apart: int = 128) -> DataFrame:
+    """Spanning links (u, v) of distinct fingerprints ``nodes`` (node, sig, and sixteen bytes
     ``spare``, which may differ in ``apart`` bits)."""
     assert 64 % bits == 0
     units = nodes.select("node", "sig", "spare").mapInArrow(_units(tables, bits, budget), _UNIT)
@@ -358,7 +380,7 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2, ap
         sizes = materialize(sizes.where("size > 1"), "sizes")
         small = units.join(sizes.where((F.col("size") <= LEAF)).select("unit"), "unit")
         edges = (
-            small.select("unit", "side", "err", "bits", "value", "node", "spare")
+            small.select(*_COLUMNS)
             .repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_search(budget, apart), "u long, v long")
         )
         # With no bits left all members are equal: one star, by partial minima.
@@ -370,23 +392,142 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2, ap
         large = sizes.where((F.col("size") > LEAF) & (F.col("left") > 0)).select("unit")
         if large.isEmpty():
             return found
-        units = units.join(large, "unit").select("unit", "side", "err", "bits", "value", "node", "spare").mapInArrow(
-            _split(budget), _UNIT
-        )
+        units = units.join(large, "unit").select(*_COLUMNS).mapInArrow(_split(budget), _UNIT)
+
+
+# --- All pairs of a family -------------------------------------------------------------------
+
+def estimated_similarity(differ: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bits: int) -> np.ndarray:
+    """Jaccard similarity of two shingle sets from their fingerprints' differing bits and their
+    sizes: the share of differing bits is the angle between the sets over pi."""
+    common = np.cos(np.pi * differ / bits) * np.sqrt(n_a * n_b)
+    common = np.minimum(common, np.minimum(n_a, n_b))
+    return common / np.maximum(n_a + n_b - common, 1e-9)
+
+
+def _compare(similarity: float, words: int, exact: bool):
+    """Links of the blocks in a partition, which comes sorted by block. Without texts: spanning
+    links that the estimate alone makes sure of (sure), and each node of a pair it leaves open
+    with itself. With texts: spanning links of the open pairs whose sets are similar."""
+
+    def solve(side, node, size, sig, text) -> tuple[list[tuple[int, int, bool]], ...]:
+        parent = list(range(len(node)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        left, right = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
+        sure, opened = [], []
+        step = max(1, (1 << 19) // (len(right) * sig.shape[1] + 1))
+        for at in range(0, len(left), step):
+            i, j = left[at : at + step, None], right[None, :]
+            differ = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=-1, dtype=np.int64)
+            alike = estimated_similarity(differ, size[i], size[j], 64 * sig.shape[1])
+            least, most = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            fits = (least >= similarity * most - 1e-6) & ((side[i] != 0) | (i < j))
+            known = least >= FEW
+            yes = fits & known & (alike >= similarity + MARGIN)
+            maybe = fits & ~yes & (~known | (alike >= similarity - MARGIN))
+            a, b = np.nonzero(yes)
+            a, b = i[a, 0], j[0, b]
+            for k in forest(len(node), a, b, np.zeros(len(a))).tolist():
+                x, y = root(int(a[k])), root(int(b[k]))
+                if x != y:
+                    parent[x] = y
+                    sure.append((int(node[a[k]]), int(node[b[k]]), True))
+            a, b = np.nonzero(maybe)
+            opened.append((i[a, 0], j[0, b], alike[a, b]))
+        if not opened:
+            return []
+        i, j, alike = (np.concatenate(x) for x in zip(*opened))
+        if not exact:
+            top = np.array([root(x) for x in range(len(node))])
+            apart = top[i] != top[j]
+            return sure + [(x, x, False) for x in node[np.unique(np.concatenate((i[apart], j[apart])))].tolist()]
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = np.unique(shingle_hashes(text[x], words))
+            return sets[x]
+
+        found = []
+        for k in np.argsort(-alike, kind="stable").tolist():
+            a, b = int(i[k]), int(j[k])
+            x, y = root(a), root(b)
+            if x == y:
+                continue
+            one, two = shingles(a), shingles(b)
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            if common / (len(one) + len(two) - common) >= similarity:
+                parent[x] = y
+                found.append((int(node[a]), int(node[b]), True))
+        return found
+
+    def flush(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        name, side, node, size = (block.column(k).to_numpy() for k in range(4))
+        sig = np.frombuffer(b"".join(block.column(4).to_pylist()), U).reshape(len(name), -1)
+        text = list(row_bytes(block.column(5))) if exact else []
+        out = []
+        edge = np.append(np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))), len(name))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            out += solve(side[a:b], node[a:b], size[a:b].astype(np.float64), sig[a:b], text[a:b])
+        if out:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), names=["u", "v", "sure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                last = batch.column(0)[-1].as_py()
+                held.append(batch)
+                if held[0].column(0)[0].as_py() == last:
+                    continue
+                block = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(block.column(0).to_numpy() != last)[-1]) + 1
+                yield from flush(block.slice(0, cut))
+                held = [b for b in block.slice(cut).to_batches() if b.num_rows]
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    return run
 
 
-def estimated_similarity(sig_a, sig_b, n_a, n_b, bits: int):
-    """Jaccard similarity of two shingle sets from their fingerprints and sizes: the share of
-    differing bits is the angle between the sets over pi."""
-    words = bits // 64
-    differ = None
-    for k in range(words):
-        a, b = (F.conv(F.hex(F.substring(s, 8 * k + 1, 8)), 16, -10).cast("long") for s in (sig_a, sig_b))
-        one = F.bit_count(a.bitwiseXOR(b))
-        differ = one if differ is None else differ + one
-    common = F.cos(F.lit(np.pi) * differ / float(bits)) * F.sqrt(n_a.cast("double") * n_b)
-    common = F.least(common, n_a, n_b)
-    return common / (n_a + n_b - common)
+def _blocks(members: DataFrame) -> DataFrame:
+    """(block, side) and the columns of ``members`` (family, node, ...): every two nodes of a
+    family meet in some block; a family of more than BLOCK nodes is dealt into parts, and each
+    pair of parts is a block with two sides."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    dealt = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node", F.lit(SEED)), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("other") == F.col("part"), 0).when(F.col("other") > F.col("part"), 1).otherwise(2)
+    return dealt.select(
+        F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")).alias("block"),
+        side.cast("byte").alias("side"), *[c for c in members.columns if c != "family"],
+    )
+
+
+def alike_links(docs: DataFrame, members: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what pairs of at least this similarity connect, from all pairs
+    of each family. ``members``: family, node, n, sig, and doc_id and digest of one text."""
+
+    def compared(rows: DataFrame, exact: bool) -> DataFrame:
+        ordered = rows.repartition("block").sortWithinPartitions("block")
+        return ordered.mapInArrow(_compare(similarity, words, exact), "u long, v long, sure boolean")
+
+    first = materialize(compared(_blocks(members.select("family", "node", "n", "sig")), False), "compared")
+    # The shingle sets decide the pairs that the estimate leaves open.
+    wanted = members.join(first.where("not sure").select(F.col("u").alias("node")).distinct(), "node", "left_semi")
+    wanted = materialize(wanted, "open")
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(body).alias("_digest"), body.alias("text"))
+    texts = wanted.join(texts, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = texts.select("family", "node", "n", "sig", "text").dropDuplicates(["node"])
+    second = compared(_blocks(texts), True)
+    return first.where("sure").select("u", "v").union(materialize(second.select("u", "v"), "decided"))
 
 
 def groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
@@ -402,7 +543,7 @@ def groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
     """Groups by 64-bit fingerprints that differ in at most ``budget`` bits, transitively."""
     marked = materialize(fingerprints(docs, doc_id, text, words), "fingerprints")
-    nodes = marked.groupBy("node").agg(F.first("sig").alias("sig")).withColumn("spare", F.lit(bytes(8)))
+    nodes = marked.groupBy("node").agg(F.first("sig").alias("sig")).withColumn("spare", F.lit(bytes(16)))
     return groups(marked, links(nodes, budget=budget))
 
 
@@ -414,56 +555,26 @@ def near_duplicates(
 
     ``length`` tables of 32 bits give candidates: a pair at 0.8 differs in 15 % of the
     bits, so one table finds it with a chance of 0.26 and sixteen find it with 0.99. Chance
-    links of unlike texts, which grow faster than the corpus, differ in half of 64 spare bits
-    and are dropped where they are found. Spanning
-    links of all tables are then held against all 64 * length bits, which give the similarity
-    with a standard error of 0.03; within MARGIN of the limit the shingle sets are compared.
+    links of unlike texts, which grow faster than the corpus, differ in half of 128 spare bits
+    and are dropped where they are found. What candidates connect is a family, and all pairs of
+    a family are compared by all 64 * length bits, which give the similarity with a standard
+    error of 0.03; within MARGIN of the limit the shingle sets are compared.
     """
     bits = 32
     marked = materialize(fingerprints(docs, doc_id, text, words, length, distinct=True), "fingerprints")
     nodes = materialize(marked.groupBy("node").agg(
-        F.first("sig").alias("sig"), F.first("n").alias("n"), F.min("digest").alias("digest")
+        F.first("sig").alias("sig"), F.first("n").alias("n"), F.min(F.struct("digest", "doc_id")).alias("text")
     ), "nodes")
-    # Tables take the first half of each word; the second halves of two words are spare.
-    spare = F.concat(F.substring("sig", 5, 4), F.substring("sig", 13, 4))
+    # Tables take the first half of each word; the second halves of four words are spare.
+    assert length >= 4
+    spare = F.concat(*[F.substring("sig", 8 * k + 5, 4) for k in range(4)])
     wide = nodes.select("node", _first_bits(F.col("sig"), length, bits).alias("sig"), spare.alias("spare"))
-    found = links(wide, length, bits, budget, SPARE).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    found = found.where("u <> v").distinct()
-    for side in ("u", "v"):
-        found = found.join(nodes.select(F.col("node").alias(side), *[
-            F.col(c).alias(f"{c}_{side}") for c in ("sig", "n", "digest")
-        ]), side)
-    alike = estimated_similarity(F.col("sig_u"), F.col("sig_v"), F.col("n_u"), F.col("n_v"), 64 * length)
-    found = materialize(
-        found.select("u", "v", "digest_u", "digest_v", alike.alias("alike")).where(F.col("alike") >= similarity - MARGIN), "found"
+    named = components(links(wide, length, bits, budget, SPARE)).select("node", F.col("root").alias("family"))
+    families = named.union(named.select("family", "family").distinct())  # a root is not its own row
+    members = materialize(
+        nodes.join(families, "node").select("family", "node", "n", "sig", "text.doc_id", "text.digest"), "members"
     )
-    # Near the limit the estimate does not decide: the shingle sets themselves do.
-    close = found.where(F.col("alike") < similarity + MARGIN)
-    wanted = close.select(F.col("digest_u").alias("digest")).union(close.select("digest_v")).distinct()
-    body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.xxhash64(body).alias("digest"), body.alias("text")).join(wanted, "digest", "left_semi")
-    sets = materialize(shingle_sets(texts.groupBy("digest").agg(F.first("text").alias("text")), words), "sets")
-    for side in ("u", "v"):
-        close = close.join(sets.select(F.col("digest").alias(f"digest_{side}"), F.col("shingles").alias(f"set_{side}")), f"digest_{side}")
-    common = F.size(F.array_intersect("set_u", "set_v"))
-    exact = common / (F.size("set_u") + F.size("set_v") - common)
-    near = found.where(F.col("alike") >= similarity + MARGIN).select("u", "v")
-    return groups(marked, near.union(close.where(exact >= similarity).select("u", "v")))
-
-
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(digest, shingles): the different shingle hashes of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [np.unique(shingle_hashes(b, words)).view(np.int64) for b in row_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["digest", "shingles"]
-                )
-
-    return texts.select("digest", "text").mapInArrow(run, "digest long, shingles array<long>")
+    return groups(marked, alike_links(docs, members, doc_id, text, words, similarity))
 
 
 def keepers(grouped: DataFrame) -> DataFrame:

@@ -108,6 +108,38 @@ def test_near_duplicates_have_shingles_in_common(corpus):
     assert got == collections.Counter((d, c) for (d, *_), c in zip(rows, expected))
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_families_close_to_the_limit(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)  # 40: families are compared in pairs of blocks
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    texts = []
+    for _ in range(12):
+        template = [word() for _ in range(300)]
+        for _ in range(30):
+            words = list(template)
+            for k in rng.choice(300, 6, replace=False):
+                words[k] = word()  # two such texts have about 0.68 of their shingles in common, some 0.8
+            texts.append(" ".join(words))
+            if rng.random() < 0.3:
+                at = int(rng.integers(0, 280))
+                texts.append(" ".join(words[:at] + [word() for _ in range(rng.integers(18, 40))] + words[at + 20 :]))
+    shingles = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    expected = brute_components(shingles, list(range(len(texts))), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == expected
+
+
+def test_equal_table_words_are_all_judged():
+    v = np.zeros(4, np.uint64)
+    i, j, _ = simhash.trie_links(v, *(np.array([x]) for x in (0, 4, 0, 4, 0)), 2, 12, True)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    i, j, _ = simhash.trie_links(v, *(np.array([x]) for x in (0, 2, 2, 4, 0)), 2, 12, True)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 2), (0, 3), (1, 2), (1, 3)]
+
+
 def test_simhash_without_rows(nothing):
     assert simhash.simhash_groups(nothing).count() == 0
     assert simhash.near_duplicates(nothing).count() == 0
