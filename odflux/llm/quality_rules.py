@@ -4,7 +4,8 @@ Five counts of each text give a vector of four transformed statistics. Each grou
 language and source gets a centre and a covariance by the minimum covariance determinant:
 from medians and median deviations, concentration steps take the rows that lie nearest and
 estimate anew. Rows far from their group's centre, by the Mahalanobis distance of the
-reweighted estimate, are rejected.
+reweighted estimate, are rejected; the limit is the chi-square limit that reweights. A group's
+covariance is never below what counting alone explains in its texts (``_noise``).
 
 All of it is built from DataFrame functions: a text is read in one pass, what follows works
 on a narrow table of counts, and groups are summed map-side, so one group may hold most rows.
@@ -28,22 +29,22 @@ from odflux.llm.registry import query
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 Z = ("z0", "z1", "z2", "z3")
+E = ("e0", "e1", "e2", "e3")
 
 
 @dataclass(frozen=True)
 class Rules:
     """Parameters. ``share``: of the rows that concentration steps keep. The three values that
     follow belong to it and to four statistics: the factor that makes the covariance of the
-    nearest 75 % consistent for normal rows, and chi-square limits with four degrees of freedom.
-    ``floors``: standard deviations below which a statistic does not count as spread."""
+    nearest 75 % consistent for normal rows, and chi-square limits with four degrees of freedom
+    (97.5 %)."""
 
     least_words: int = 10
     most_repeated: int = 20  # per cent of the words
     share: float = 0.75
     consistency: float = 1.49
     reweight: float = 11.143
-    cutoff: float = 30.0
-    floors: tuple[float, ...] = (0.08, 0.06, 0.12, 0.06)
+    cutoff: float = 11.143
     steps: int = 5
     least: int = 30
 
@@ -135,13 +136,25 @@ def _statistics(counts: Column) -> list[Column]:
     ]
 
 
-def _cholesky(model: DataFrame, rules: Rules) -> DataFrame:
-    """Adds the lower triangle of the covariance's root, with the floors on its diagonal."""
+def _noise(counts: Column) -> list[Column]:
+    """Variances of the statistics by counting alone: characters and symbols as Poisson counts
+    (a ratio's logarithm varies by one over the count, a share's root by a quarter of one over
+    the whole), one line more or less, one window of words more or less."""
+    return [
+        1.0 / (counts["word_chars"] + 100.0),
+        0.25 / (counts["word_chars"] + 20.0),
+        F.pow(1.0 / (counts["n_lines"] + 5.0), F.lit(2)),
+        F.pow(WINDOW / (counts["n_words"] + 20.0), F.lit(2)),
+    ]
+
+
+def _cholesky(model: DataFrame) -> DataFrame:
+    """Adds the lower triangle of the covariance's root, with the counting noise on its diagonal."""
     for i in range(len(Z)):
         for j in range(i + 1):
             rest = F.col(f"c{j}{i}")
             if i == j:
-                rest = rest + F.lit(rules.floors[i] ** 2)
+                rest = rest + F.col(f"e{i}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}")
@@ -163,6 +176,7 @@ def _distance(z: list[Column]) -> Column:
 def _estimate(rows: DataFrame, scale: float) -> DataFrame:
     """Centre and covariance of each group, by partial sums."""
     sums = [F.count(F.lit(1)).alias("n")] + [F.avg(z).alias(f"m{i}") for i, z in enumerate(Z)]
+    sums += [F.avg(e).alias(e) for e in E]
     sums += [
         F.covar_pop(Z[i], Z[j]).alias(f"c{i}{j}") for i in range(len(Z)) for j in range(i, len(Z))
     ]
@@ -183,40 +197,40 @@ def fit(counted: DataFrame, counts: str = "counts", rules: Rules = Rules()) -> D
     ``counted`` holds lang, source and the counts. Rows that fail the base rule take no part.
     """
     c = F.col(counts)
-    z = [x.alias(n) for x, n in zip(_statistics(c), Z)]
+    z = [x.alias(n) for x, n in zip(_statistics(c) + _noise(c), Z + E)]
     own = counted.where(~base_failed(c, rules)).select("lang", "source", *z)
     none = F.lit(None).cast("string")
-    rows = own.select(F.lit(False).alias("pooled"), "lang", "source", *Z).unionByName(
-        own.select(F.lit(True).alias("pooled"), none.alias("lang"), none.alias("source"), *Z)
+    rows = own.select(F.lit(False).alias("pooled"), "lang", "source", *Z, *E).unionByName(
+        own.select(F.lit(True).alias("pooled"), none.alias("lang"), none.alias("source"), *Z, *E)
     )
     rows = materialize(rows, "statistics")
     keys = ["pooled", "lang", "source"]
 
     # Start: medians, and median deviations as a diagonal covariance.
     centre = materialize(
-        rows.groupBy(*keys).agg(*[F.percentile_approx(n, 0.5).alias(f"m{i}") for i, n in enumerate(Z)]), "model"
+        rows.groupBy(*keys).agg(*[F.percentile_approx(n, 0.5).alias(f"m{i}") for i, n in enumerate(Z)], *[F.avg(e).alias(e) for e in E]), "model"
     )
-    spread = _with_model(rows, centre).groupBy(*keys).agg(*[
+    spread = _with_model(rows.drop(*E), centre).groupBy(*keys).agg(*[
         F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, n in enumerate(Z)
     ])
     start = centre.alias("a").join(
         spread.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     ).select(
-        *[F.col(f"a.{k}") for k in keys], *[f"m{i}" for i in range(len(Z))],
+        *[F.col(f"a.{k}") for k in keys], *[f"m{i}" for i in range(len(Z))], *E,
         *[
             (F.pow(1.4826 * F.col(f"d{i}"), F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}")
             for i in range(len(Z)) for j in range(i, len(Z))
         ],
     )
-    model = materialize(_cholesky(start, rules), "model")
+    model = materialize(_cholesky(start), "model")
     z = [F.col(n) for n in Z]
     for _ in range(rules.steps):
-        placed = _with_model(rows, model).select(*keys, *Z, _distance(z).alias("d"))
+        placed = _with_model(rows, model.drop(*E)).select(*keys, *Z, *E, _distance(z).alias("d"))
         limit = materialize(placed.groupBy(*keys).agg(F.percentile_approx("d", rules.share).alias("limit")), "limit")
         near = _with_model(placed, limit).where(F.col("d") <= F.col("limit"))
-        model = materialize(_cholesky(_estimate(near, rules.consistency), rules), "model")
-    near = _with_model(rows, model).where(_distance(z) <= rules.reweight).select(*keys, *Z)
-    model = _cholesky(_estimate(near, 1.0), rules)
+        model = materialize(_cholesky(_estimate(near, rules.consistency)), "model")
+    near = _with_model(rows, model.drop(*E)).where(_distance(z) <= rules.reweight).select(*keys, *Z, *E)
+    model = _cholesky(_estimate(near, 1.0))
     values = [f"m{i}" for i in range(len(Z))] + [f"l{i}{j}" for i in range(len(Z)) for j in range(i + 1)]
     model = materialize(model.select(*keys, "n", *values), "model")
     # Small groups take the estimate of all rows, a table of one row.

@@ -50,6 +50,18 @@ def test_outliers_of_a_group_are_rejected(spark):
     assert bad == [(5, 25, 0), (100, 500, 0), (200, 1000, 150), (200, 2400, 0)]
 
 
+def test_repeated_lines_and_long_words_alone_are_rejected(spark):
+    rng = np.random.default_rng(6)
+    rows = [("en", "a", int(n), int(5 * n + rng.integers(-n // 20, n // 20 + 1)), 0, 20, 0, 0) for n in rng.integers(100, 500, 300)]
+    rows += [("en", "a", 300, 1500, 0, 20, 12, 0), ("en", "a", 300, 1900, 0, 20, 0, 0), ("en", "a", 300, 1500, 0, 20, 0, 57)]
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    flat = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    counted = flat.selectExpr("lang", "source", f"struct({', '.join(names)}) as counts")
+    judged = quality_rules.judge(counted, quality_rules.fit(counted)).collect()
+    bad = sorted(tuple(r["counts"]) for r in judged if not r["quality"]["kept"])
+    assert bad == [(300, 1500, 0, 20, 0, 57), (300, 1500, 0, 20, 12, 0), (300, 1900, 0, 20, 0, 0)]
+
+
 def test_quality_without_rows(nothing):
     counted = quality_rules.text_counts(nothing.select("doc_id", "text", "lang", "source"))
     assert quality_rules.judge(counted, quality_rules.fit(counted)).count() == 0
