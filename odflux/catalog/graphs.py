@@ -153,6 +153,17 @@ def _(t):
     return rounded(paths.betweenness(t.edges().where("cnt > 8")), 6, "betweenness")
 
 
+# Over all edges the unrolled SQL is too slow: tested by brute force on a small graph.
+@query("grf07_closeness_all_edges")
+def _(t):
+    return rounded(paths.closeness(t.edges()), 6, "closeness")
+
+
+@query("grf08_betweenness_all_edges")
+def _(t):
+    return rounded(paths.betweenness(t.edges()), 6, "betweenness")
+
+
 @query(
     "grf09_centrality_table",
     """select time, name, coalesce(flow_in, 0) as flow_in, coalesce(flow_out, 0) as flow_out, coalesce(flow_in - flow_out, 0) as flow_in_net,

@@ -77,6 +77,36 @@ def test_closeness_and_betweenness_on_a_path(edges_of):
     assert between == pytest.approx({"a": 0.0, "b": 2 / 6, "c": 2 / 6, "d": 0.0})
 
 
+def test_path_queries_read_all_edges(spark, edges_of, monkeypatch):
+    from odflux.catalog import QUERIES
+    from odflux.catalog.inputs import Tables
+
+    rng = np.random.default_rng(11)
+    rows = sorted({(f"p{a}", f"p{b}") for a, b in rng.integers(0, 12, (30, 2)) if a != b})
+    rows = [(a, b, int(rng.integers(1, 15))) for a, b in rows]
+    monkeypatch.setattr(Tables, "edges", lambda self: edges_of(rows))
+    names, m = matrix(rows)
+    n = len(names)
+    dist, count = np.full((n, n), np.inf), np.eye(n)
+    np.fill_diagonal(dist, 0)
+    walks = np.eye(n)
+    for d in range(1, n):
+        walks = walks @ (m > 0)
+        new = (walks > 0) & np.isinf(dist)
+        dist[new], count[new] = d, walks[new]
+    reach = np.isfinite(dist)
+    far, r = np.where(reach, dist, 0).sum(axis=0), reach.sum(axis=0)
+    close = {x: (r[k] - 1) ** 2 / far[k] / (n - 1) if far[k] else 0.0 for k, x in enumerate(names)}
+    got = as_dict(QUERIES["grf07_closeness_all_edges"](spark, "none"), "closeness")
+    assert got == pytest.approx(close, abs=1e-6)
+    between = {x: sum(
+        count[s, k] * count[k, t] / count[s, t] for s in range(n) for t in range(n)
+        if len({s, t, k}) == 3 and reach[s, t] and dist[s, k] + dist[k, t] == dist[s, t]
+    ) / ((n - 1) * (n - 2)) for k, x in enumerate(names)}
+    got = as_dict(QUERIES["grf08_betweenness_all_edges"](spark, "none"), "betweenness")
+    assert got == pytest.approx(between, abs=1e-6)
+
+
 def test_betweenness_shares_equal_paths(edges_of):
     square = edges_of([("s", "x", 1), ("s", "y", 1), ("x", "t", 1), ("y", "t", 1)])
     assert as_dict(paths.betweenness(square, normalized=False), "betweenness") == pytest.approx(
