@@ -11,5 +11,6 @@ from odflux.llm import (
     suffix_dedup,
     token_store,
     topk,
+    vector_codes,
 )  # noqa: F401
 from odflux.llm.registry import ORACLES, QUERIES  # noqa: F401
