@@ -3,6 +3,7 @@
 from odflux.llm import (
     chat,
     html_text,
+    lexical,
     mixing,
     packing,
     quality_rules,

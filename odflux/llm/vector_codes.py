@@ -41,7 +41,7 @@ ENTRIES = 64
 ROUNDS = 2
 SCALE = 256
 BLOCK = 32  # parts of a block
-RUN = 1 << 21  # components of a run
+RUN = 1 << 19  # components of a run
 LARGEST = 1 << 40
 
 
