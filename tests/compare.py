@@ -21,7 +21,7 @@ def _kind(values: pd.Series) -> str:
 
 
 def _plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if hasattr(value, "item"):
         value = value.item()
