@@ -17,7 +17,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _kind(values: pd.Series) -> str:
-    return str(values.dtype)
+    if values.isna().all():
+        return "null"
+    kind = str(values.dtype)
+    return "float64" if kind in ("Int64", "Int32") and values.isna().any() else kind.lower() if kind in ("Int64", "Int32") else kind
 
 
 def _plain(value):
@@ -51,5 +54,6 @@ def difference(spark_frame: pd.DataFrame, duck_frame: pd.DataFrame) -> str | Non
     kinds = {
         c: (_kind(spark_frame[c]), _kind(duck_frame[c]))
         for c in spark_frame.columns if _kind(spark_frame[c]) != _kind(duck_frame[c])
+        and "null" not in (_kind(spark_frame[c]), _kind(duck_frame[c]))
     }
     return f"types {kinds}" if kinds and len(left) else None
