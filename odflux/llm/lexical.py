@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from odflux.llm.common import binary_array, materialize, row_bytes, table, with_rank
+from odflux.llm.common import materialize, row_bytes, table, with_rank
 from odflux.llm.registry import query
 
 SPREAD = 32  # cells per different term
@@ -49,7 +49,7 @@ BLOCK_PAIRS = 1 << 16  # (item, term) pairs of a query block; an item counts as
 LOW, SCALE = 25, 1_000_000_000  # a document's m is LOW + 75 * n / average n
 EXACT = 160  # counts up to here have a cell value of their own
 EPS = 1.2e-7  # of single precision, in which bounds are summed
-HELD = 1 << 22  # bytes of terms whose documents are scored together
+HELD = 1 << 22  # bytes of index rows or of terms that are held together
 _TERM = bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _TERM else 0x20 for b in range(256))
 
@@ -76,32 +76,39 @@ def _cell_counts() -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n", "width", "sketch", "terms", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary()]
     for batch in batches:
-        sizes, sketches, words, numbers = [], [], [], []
-        for text in row_bytes(batch.column(1)):
+        rows: list[tuple] = []
+        held = 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), row_bytes(batch.column(1))):
             found = Counter(terms_of(bytes(text)))
+            if not found:
+                continue
             counts = np.fromiter(found.values(), np.int64, len(found))
-            sizes.append(int(counts.sum()))
             width = 64
             while width < SPREAD * len(found):
                 width *= 2
             place = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) & (width - 1)
             sketch = np.zeros(width, np.uint8)
             np.maximum.at(sketch, place, _cells(counts))
-            sketches.append(sketch.tobytes())
-            words.append(b" ".join(found))
-            numbers.append(counts.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(sizes, pa.int64()), binary_array(sketches),
-            pa.array(words, pa.binary()).cast(pa.string()), binary_array(numbers),
-        ], names=["doc_id", "n", "sketch", "terms", "counts"])
+            packed = pa.compress(sketch.tobytes(), codec="zstd", asbytes=True)
+            words = b" ".join(found).decode()
+            rows.append((doc_id, int(counts.sum()), width, packed, words, counts.astype(np.int32).tobytes()))
+            held += len(packed) + len(words) + 4 * len(found)
+            if held > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a table in the shared folder: row, doc_id, n, sketch, terms, counts."""
+    """The index as a table in the shared folder, a row per document with a term: row, doc_id, n,
+    width, sketch (packed), terms, counts."""
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = read.mapInArrow(_index, "doc_id long, n long, sketch binary, terms string, counts binary")
-    return materialize(rows.where("n > 0").withColumn("row", F.monotonically_increasing_id()), "lexical")
+    rows = read.mapInArrow(_index, "doc_id long, n long, width long, sketch binary, terms string, counts binary")
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lexical")
 
 
 # --- Queries ------------------------------------------------------------------------------------------
@@ -148,17 +155,20 @@ class Block:
         return self._folded[width]
 
 
-def bounds(block: Block, sketches: list, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def bounds(block: Block, batch: pa.RecordBatch, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """(documents, items): upper bounds of the scores."""
+    sketches, widths = batch.column("sketch"), batch.column("width").to_numpy()
     out = np.empty((len(sketches), len(block.items)), np.float32)
-    widths = np.array([len(s) for s in sketches])
     known = _cell_counts()
     for width in np.unique(widths):
         docs = np.flatnonzero(widths == width)
         step = max(1, (1 << 22) // int(width))
         for at in range(0, len(docs), step):
             part = docs[at : at + step]
-            cells = np.stack([np.frombuffer(sketches[d], np.uint8) for d in part])
+            cells = np.stack([
+                np.frombuffer(pa.decompress(sketches[d].as_buffer(), decompressed_size=int(width), codec="zstd"), np.uint8)
+                for d in part.tolist()
+            ])
             for first, places, weights in block.folded(int(width)):
                 found = cells[:, places]
                 doc, cell = np.nonzero(found)
@@ -192,7 +202,7 @@ def _best_bounds(shared, m_of, k: int):
         top, rows = np.zeros((len(block.items), 0), np.float32), np.zeros((len(block.items), 0), np.int64)
         for batch in batches:
             n = batch.column("n").to_numpy()
-            new = bounds(block, [s.as_buffer() for s in batch.column("sketch")], n, m_of(n)).T
+            new = bounds(block, batch, n, m_of(n)).T
             top = np.concatenate((top, new), axis=1)
             rows = np.concatenate((rows, np.broadcast_to(batch.column("row").to_numpy(), new.shape)), axis=1)
             if top.shape[1] > k:
@@ -242,7 +252,7 @@ class Search:
     def _feed(self, batch: pa.RecordBatch, m_of) -> None:
         n = batch.column("n").to_numpy()
         m = m_of(n)
-        top = bounds(self.block, [s.as_buffer() for s in batch.column("sketch")], n, m)
+        top = bounds(self.block, batch, n, m)
         self.seen += top.size
         ids, terms, counts = batch.column("doc_id").to_pylist(), batch.column("terms"), batch.column("counts")
         pending = top >= self.least
@@ -349,14 +359,14 @@ def rank(index: DataFrame, items: DataFrame, k: int = 10, item_id: str = "item_i
         # A block: at most BLOCK_PAIRS pairs and one item more.
         here = asked.where(F.col("block") == number).select("item", "term", "times", "weight").toArrow()
         shared = spark.sparkContext.broadcast(here)
-        best = index.select("row", "n", "sketch").mapInArrow(_best_bounds(shared, m_of, k), "item long, row long, bound double")
+        best = index.select("row", "n", "width", "sketch").mapInArrow(_best_bounds(shared, m_of, k), "item long, row long, bound double")
         turn = F.row_number().over(Window.partitionBy("item").orderBy(F.col("bound").desc(), "row"))
         first = best.withColumn("turn", turn).where(F.col("turn") <= k).groupBy("row").agg(F.collect_list("item").alias("items"))
         scored = index.select("row", "n", "terms", "counts").join(first, "row").mapInArrow(_score_given(shared, m_of), "item long, score long")
         place = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc()))
         kth = scored.withColumn("place", place).where(F.col("place") == k).select("item", "score")
         thresholds = {r.item: r.score for r in kth.collect()}  # one row per item of the block
-        rows = index.select("doc_id", "n", "sketch", "terms", "counts").mapInArrow(
+        rows = index.select("doc_id", "n", "width", "sketch", "terms", "counts").mapInArrow(
             _descend(shared, thresholds, m_of, k), "item long, doc_id long, score long"
         )
         found = rows if found is None else found.union(rows)

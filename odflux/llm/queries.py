@@ -13,5 +13,6 @@ from odflux.llm import (
     token_store,
     topk,
     vector_codes,
+    warc,
 )  # noqa: F401
 from odflux.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -103,7 +103,7 @@ def _m(n):
 def test_bounds_are_never_below_scores(large):
     block, index, found = large
     n = index.column("n").to_numpy()
-    top = lexical.bounds(block, [s.as_buffer() for s in index.column("sketch")], n, _m(n))
+    top = lexical.bounds(block, index, n, _m(n))
     exact = np.array([[lexical.exact(p, c, int(_m(k))) for p in block.pairs] for c, k in zip(found, n)])
     assert (top >= exact).all() and exact.max() > 0
 
