@@ -55,7 +55,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from odflux.llm.common import materialize, row_bytes, scratch_path, table
+from odflux.llm.common import row_bytes, scratch_path, table
 from odflux.llm.registry import query
 
 SCHEMA = (
@@ -461,9 +461,12 @@ def write_pages(
     folder = folder or scratch_path(spark, "warc")
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     # Numbers are given once: a second evaluation could number the rows otherwise.
-    rows = materialize(pages.select(F.col(page_id).alias("page"), F.col(url).alias("target_uri"), payload.alias("payload")).withColumns({
+    rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("target_uri"), payload.alias("payload")).withColumns({
         "number": F.monotonically_increasing_id(), "digest": F.sha2("payload", 256), "payload_length": F.octet_length("payload").cast("long"),
-    }), "pages")
+    })
+    numbered = scratch_path(spark, "pages")
+    rows.write.option("compression", "zstd").parquet(numbered)
+    rows = spark.read.schema(rows.schema).parquet(numbered)
     # The response of equal payloads: the smallest id, a missing one last. Only payloads that two
     # pages have go on to the join, which adaptive execution splits where one has very many.
     key = F.struct(F.col("page").isNull().alias("none"), F.col("page"), F.col("number"))
