@@ -1,24 +1,36 @@
 """Main text of web pages from streaming parser events and text-to-tag ratios.
 
-The standard library's parser streams events; block elements cut the text into lines. Each line
-knows its characters, its tags, its chain of containers and whether a container is boilerplate
-by its element, role or class. The lines' text-to-tag ratios are smoothed by a Gaussian, and a
-threshold of their spread splits lines into content and rest. Content lines vote for the region
-they stand in: the innermost article or main element, or else the element whose lines hold most
-content. All lines of that region that are not boilerplate are the text, so that short lines
+The standard library's parser streams events; block elements cut the text into lines. A line
+knows its characters, its tags and the element it stands in; an element knows its parent. The
+lines' text-to-tag ratios are smoothed by a Gaussian, and a threshold of their spread splits
+lines into content and rest.
+
+Some elements are boilerplate by their meaning. A role, class or id that usually stands for it, or a
+form around the text, is a hint, which the ratios can overrule: a hinted element does not count as boilerplate if articles or main elements inside it hold half of
+the content, nor, where less than OPEN of the content stands outside all hinted elements, if it
+holds more than half of the content itself (outermost first, until enough is open). Lines of all
+other hinted elements are left out and lower the ratios around them. Where an article or main
+element with content stands outside all hints, no hint is overruled by its share, so that comments
+longer than a short article do not replace it.
+
+Content lines then vote for the region they stand in, the innermost article or main element.
+Regions with at least REGION of the content are the text; otherwise it is the element whose lines
+hold most content. All lines of the region that are not boilerplate are kept, so that short lines
 between long ones stay.
 
-Pages are independent, and the parser is fed whole pages one at a time; nothing is shuffled.
+Pages are independent, and the parser is fed whole pages one at a time; nothing is shuffled. Time
+and memory grow with the length of a page, however deep its elements are nested.
 
 Defined results: null and empty pages, and pages without content, have the empty text. Unclosed
-elements end with their parents; a paragraph ends where a block starts. Repeated rows are
-treated alike. Other columns are not read.
+elements end with their parents; a paragraph ends where a block starts. Hidden elements are never
+text. Repeated rows are treated alike. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,7 +50,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset(
     "head script style noscript template svg math iframe object canvas audio video select textarea button title".split()
 )
-BOILERPLATE = frozenset("nav aside footer form dialog menu".split())
+BOILERPLATE = frozenset("nav aside footer dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side aside "
@@ -49,21 +61,33 @@ NAMES = frozenset(
 REGIONS = frozenset(("article", "main"))
 CLOSES_PARAGRAPH = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+LISTS = frozenset(("ul", "ol", "dl", "table"))
 _WORDS = re.compile(r"[^a-z]+")
 SIGMA = 1.0
 SPREAD = 0.5  # standard deviations
+OPEN = 0.2  # share of the content outside hinted elements, below which hints are overruled
+REGION = 0.25  # share of the content that articles and main elements need
+NOWHERE = -1
+HINT, FIRM = 1, 2
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [parts of text, tags, chain of containers, boilerplate]."""
+    """Collects lines, [parts of text, tags, element], and elements, whose parents come first."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.line: list | None = None
-        # Open elements: (name, number, boilerplate, skipped, region)
-        self.open: list[tuple[str, int, bool, bool, bool]] = []
-        self.count = 0
+        # Of each element: its parent, whether it is hinted, whether it or one around it is hidden,
+        # and the innermost article or main element it is or stands in.
+        self.parent: list[int] = []
+        self.hinted: list[int] = []
+        self.hidden: list[bool] = []
+        self.region: list[int] = []
+        # Open elements: (name, element, skipped, then the places in this list of the last block,
+        # the last block that is no paragraph, and the last list), and the places of each name.
+        self.open: list[tuple[str, int, bool, int, int, int]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
 
     def _cut(self) -> None:
         if self.line is not None and self.line[0]:
@@ -74,22 +98,24 @@ class _Lines(HTMLParser):
         if self.line is not None:
             self.line[1] += 1
 
-    def _is_boilerplate(self, tag: str, attrs: list, inside: bool) -> bool:
-        if tag in BOILERPLATE or tag == "header" and not inside:
-            return True
+    @staticmethod
+    def _judge(tag: str, attrs: list, inside: bool) -> tuple[int, bool]:
+        """Whether an element is boilerplate (FIRM) or hinted to be, and whether it is hidden."""
+        hint = FIRM if tag in BOILERPLATE or tag == "header" and not inside else HINT if tag == "form" else 0
+        hidden = False
         for name, value in attrs:
             value = (value or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if name == "role" and value in ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                hidden = True
+            elif name == "style" and "display:none" in value.replace(" ", ""):
+                hidden = True
+            elif name == "role" and value in ROLES:
+                hint = max(hint, HINT)
+            elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 words = set(_WORDS.split(value))
                 if words & NAMES and not (inside and words & NAMES == {"header"}):
-                    return True
-        return False
+                    hint = max(hint, HINT)
+        return hint, hidden
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -101,33 +127,46 @@ class _Lines(HTMLParser):
             return
         if tag == "body":
             while self.open and self.open[-1][0] == "head":
-                self.open.pop()
+                self._pop(len(self.open) - 1)
         if tag in CLOSES_PARAGRAPH:
-            self._close("p", BLOCKS - {"p"})
+            self._close("p", 4)
         if tag in SIBLINGS:
             for other in SIBLINGS[tag]:
-                self._close(other, {"ul", "ol", "dl", "table"})
+                self._close(other, 5)
         if tag in BLOCKS:
             self._cut()
-        above = self.open[-1] if self.open else ("", -1, False, False, False)
-        inside = above[4]
-        self.count += 1
+        _, above, skipped, block, solid, inner = self.open[-1] if self.open else ("", NOWHERE, False, NOWHERE, NOWHERE, NOWHERE)
+        region = self.region[above] if above != NOWHERE else NOWHERE
+        hint, hidden = self._judge(tag, attrs, region != NOWHERE)
+        element, place = len(self.parent), len(self.open)
+        self.parent.append(above)
+        self.hinted.append(hint)
+        self.hidden.append(hidden or above != NOWHERE and self.hidden[above])
+        self.region.append(element if tag in REGIONS else region)
         self.open.append((
-            tag, self.count, above[2] or self._is_boilerplate(tag, attrs, inside), above[3] or tag in SKIPPED,
-            inside or tag in REGIONS,
+            tag, element, skipped or tag in SKIPPED, place if tag in BLOCKS else block,
+            place if tag in BLOCKS and tag != "p" else solid, place if tag in LISTS else inner,
         ))
+        self.places[tag].append(place)
         self._tag()
 
-    def _close(self, tag: str, barrier) -> None:
-        """Ends the innermost such element, unless a barrier stands before it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if any(name in BLOCKS for name, *_ in self.open[k:]):
-                    self._cut()
-                del self.open[k:]
-                return
-            if self.open[k][0] in barrier:
-                return
+    def _pop(self, place: int) -> None:
+        """Ends the open elements from a place on."""
+        for name, *_ in self.open[place:]:
+            self.places[name].pop()
+        del self.open[place:]
+
+    def _close(self, tag: str, barrier: int | None) -> None:
+        """Ends the innermost such element, unless the last barrier stands behind it. A barrier is a
+        column of ``open``."""
+        if not self.places[tag]:
+            return
+        place = self.places[tag][-1]
+        if barrier is not None and self.open[-1][barrier] > place:
+            return
+        if self.open[-1][3] >= place:
+            self._cut()
+        self._pop(place)
 
     def handle_endtag(self, tag: str) -> None:
         self._tag()
@@ -137,19 +176,18 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._cut()
-            self._close(tag, ())
+            self._close(tag, None)
         else:
             # An inline end tag does not end blocks around it.
-            self._close(tag, BLOCKS if tag not in SKIPPED else ())
+            self._close(tag, 3 if tag not in SKIPPED else None)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][3]:
+        if self.open and self.open[-1][2]:
             return
         if self.line is None:
             if not data.strip():
                 return
-            chain = [(n, k) for n, k, *_ in self.open]
-            self.line = [[], 1, chain, bool(self.open and self.open[-1][2])]
+            self.line = [[], 1, self.open[-1][1] if self.open else NOWHERE]
         self.line[0].append(data)
 
 
@@ -164,43 +202,118 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def _content(sizes: list[int], tags: list[int], bad: list[bool]) -> list[bool]:
+    """Which lines are content by their smoothed ratios. Bad lines count as empty."""
+    ratio = _smoothed([0.0 if b else n / t for n, t, b in zip(sizes, tags, bad)])
+    mean = sum(ratio) / len(ratio)
+    spread = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
+    limit = min(SPREAD * spread, max(ratio))
+    return [not b and r >= limit for b, r in zip(bad, ratio)]
+
+
+def _sums(parent: list[int], own: list[int]) -> list[int]:
+    """Of each element, what it and all elements inside it have."""
+    out = own[:]
+    for e in range(len(parent) - 1, -1, -1):
+        if parent[e] != NOWHERE:
+            out[parent[e]] += out[e]
+    return out
+
+
+def _boilerplate(page: _Lines, sizes: list[int], tags: list[int]) -> list[bool]:
+    """Of each element, whether a hint on it or on an element around it stands."""
+    parent, count = page.parent, len(page.parent)
+    core = _content(sizes, tags, [e != NOWHERE and page.hidden[e] for _, _, e in page.lines])
+    total, outside, clear = 0, 0, False
+    own, named = [0] * count, [0] * count
+    for (_, _, e), n, is_core in zip(page.lines, sizes, core):
+        if is_core:
+            total += n
+            if e == NOWHERE:
+                outside += n
+                continue
+            own[e] += n
+            if page.region[e] != NOWHERE:
+                named[e] += n
+    held, regions = _sums(parent, own), _sums(parent, named)
+    stands = [
+        hint == FIRM or hint == HINT and (page.region[e] != NOWHERE or 2 * regions[e] < total or not total)
+        for e, hint in enumerate(page.hinted)
+    ]
+    # An article or main element outside all hints stays what it is, however short.
+    around = [False] * count
+    for e in range(count):
+        around[e] = stands[e] or parent[e] != NOWHERE and around[parent[e]]
+        clear = clear or bool(named[e]) and not around[e]
+    if clear:
+        return around
+    # Elements with more than half of the content lie on one path from the outermost one. Below
+    # each of its hints, so much content has no other hint.
+    opened: dict[int, int] = defaultdict(int, {0: outside})
+    depth, off = [0] * count, [False] * count
+    path: list[int] = []
+    for e in range(count):
+        above = parent[e]
+        if above != NOWHERE:
+            depth[e], off[e] = depth[above], off[above]
+        if stands[e]:
+            if 2 * held[e] > total and page.hinted[e] == HINT:
+                path.append(e)
+                depth[e] += 1
+            else:
+                off[e] = True
+        if not off[e]:
+            opened[depth[e]] += own[e]
+    free = 0
+    for k in range(len(path) + 1):
+        free += opened[k]
+        if free >= OPEN * total:
+            break
+        if k < len(path):
+            stands[path[k]] = False
+    for e in range(count):
+        if parent[e] != NOWHERE:
+            stands[e] = stands[e] or stands[parent[e]]
+    return stands
+
+
 def main_text(page: str) -> str:
     """Blocks of the main region, two line ends between them."""
     parser = _Lines()
     parser.feed(page)
     parser.close()
     parser._cut()
-    lines = [(" ".join("".join(parts).split()), tags, chain, bad) for parts, tags, chain, bad in parser.lines]
-    lines = [x for x in lines if x[0]]
-    if not lines:
+    texts = [" ".join("".join(parts).split()) for parts, _, _ in parser.lines]
+    parser.lines = [line for line, text in zip(parser.lines, texts) if text]
+    texts = [text for text in texts if text]
+    if not texts:
         return ""
-    # Boilerplate counts with no text, so it lowers the ratios around it.
-    ratio = _smoothed([0.0 if bad else len(text) / tags for text, tags, _, bad in lines])
-    mean = sum(ratio) / len(ratio)
-    spread = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    limit = min(SPREAD * spread, max(ratio))
-    votes: dict[int, int] = {}
-    core = [(text, chain) for (text, _, chain, bad), r in zip(lines, ratio) if not bad and r >= limit]
-    for text, chain in core:
-        named = [k for n, k in chain if n in REGIONS]
-        if named:
-            votes[named[-1]] = votes.get(named[-1], 0) + len(text)
-    if not votes:
-        # Without a named region: the innermost element that holds nearly all content.
-        total = sum(len(text) for text, _ in core)
-        weight: dict[int, int] = {}
-        for text, chain in core:
-            for _, k in chain:
-                weight[k] = weight.get(k, 0) + len(text)
-        enough = [k for k, w in weight.items() if w >= 0.9 * total]
-        region = {max(enough)} if enough else None
+    sizes, tags = [len(t) for t in texts], [t for _, t, _ in parser.lines]
+    place = [e for _, _, e in parser.lines]
+    stands = _boilerplate(parser, sizes, tags)
+    bad = [e != NOWHERE and (stands[e] or parser.hidden[e]) for e in place]
+    core = _content(sizes, tags, bad)
+    total, votes, own = 0, defaultdict(int), [0] * len(parser.parent)
+    for e, n, is_core in zip(place, sizes, core):
+        if is_core:
+            total += n
+            if e != NOWHERE:
+                own[e] += n
+                if parser.region[e] != NOWHERE:
+                    votes[parser.region[e]] += n
+    if votes and sum(votes.values()) >= REGION * total:
+        chosen = set(votes)
     else:
-        region = set(votes)
-    kept = [
-        text for text, _, chain, bad in lines
-        if not bad and (region is None or any(k in region for _, k in chain))
-    ]
-    return "\n\n".join(kept)
+        # Without such a region: the innermost element that holds nearly all content.
+        enough = [e for e, n in enumerate(_sums(parser.parent, own)) if n >= 0.9 * total and n]
+        chosen = {enough[-1]} if enough else None
+    inside = [False] * len(parser.parent)
+    if chosen is not None:
+        for e, above in enumerate(parser.parent):
+            inside[e] = e in chosen or above != NOWHERE and inside[above]
+    return "\n\n".join(
+        text for text, e, b in zip(texts, place, bad) if not b and (chosen is None or e != NOWHERE and inside[e])
+    )
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
