@@ -6,8 +6,9 @@ header and the raw ids of its documents, one after another, with an end id after
 hash of their key, and each bucket is a file with a minimal perfect hash of its keys. Level by
 level, keys are hashed into a bit array of twice their number; a key that is alone in its place
 is settled, the others go on. A key's slot is the number of bits set before its own; the slot
-holds a fingerprint of the key and the document's place. A lookup probes a few bits and reads
-one slot, whatever the size of the store.
+holds a fingerprint of the key and the document's place, in an entry of fixed width. A lookup
+probes a few bits and reads one entry by its position, whatever the size of the store. Keys whose
+64-bit hashes agree cannot be parted by bits; they are listed with a second hash.
 
 Files go to a folder all executors share, under a name of the partition alone; they are written
 beside it and renamed, so a task that runs twice leaves the same file. Tasks hold one batch of
@@ -15,12 +16,12 @@ texts, and a bucket has about BUCKET keys.
 
 Defined results: a null text is an empty one, which is a single end id. Repeated ids are keys
 with a running number. A null id is a key like others, before all. Empty tables write no
-entries. Other columns are not read.
+entries, and lookups in them find nothing. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +39,10 @@ from odflux.llm.tokens import TOKENIZER, crc32, encoder
 MAGIC = b"IDSHARD1"
 HEADER = 16
 BUCKET = 1 << 15
+INDEX_MAGIC = b"IDINDEX2"
+INDEX = struct.Struct("<8sIIQQ")  # levels, clashes, slots before the clashes, slots
+ENTRY = np.dtype([("print", "<u4"), ("n_tokens", "<u4"), ("shard", "<u8"), ("position", "<u8")])
+FEW = 64  # entries that are read one by one
 U = np.uint64
 
 
@@ -80,26 +85,48 @@ def _mix(x: np.ndarray, level: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Slots 0 to n-1 for n different 64-bit hashes."""
+    """Slots 0 to n-1 for n different pairs of 64-bit hashes.
 
-    def __init__(self, hashes: np.ndarray):
+    Bit arrays settle the keys whose first hash no other key has. Keys that share it, which no
+    number of levels would part, get the last slots from an exact list of both hashes.
+    """
+
+    def __init__(self, hashes: np.ndarray, seconds: np.ndarray):
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []  # places, bits, bits set before each word
-        left, settled, level = hashes, 0, 0
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        shared = np.zeros(len(hashes), bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        left, settled, level = hashes[~shared], 0, 0
         while len(left):
             places = max(64, 2 * len(left))
             at = (_mix(left, level) % U(places)).astype(np.int64)
             alone = np.bincount(at, minlength=places) == 1
             words = np.packbits(np.pad(alone, (0, -places % 64)), bitorder="little").view(U)
             before = settled + np.concatenate(([0], np.cumsum(np.bitwise_count(words).astype(np.int64))))
-            self.levels.append((places, words, before))
+            self.levels.append((places, words, before[:-1]))
             settled = int(before[-1])
             left = left[~alone[at]]
             level += 1
-
-    def slots(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash; -1 if it certainly has none."""
+        self.settled = settled
+        clashes = np.flatnonzero(shared)
+        clashes = clashes[np.lexsort((seconds[clashes], hashes[clashes]))]
+        self.clashes = np.stack((hashes[clashes], seconds[clashes]), axis=1)
+        if (self.clashes[1:] == self.clashes[:-1]).all(axis=1).any():
+            raise ValueError("two keys agree in all 128 bits of their hashes")
+
+    def slots(self, hashes: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+        """The slot of each key; -1 if it certainly has none."""
         out = np.full(len(hashes), -1, np.int64)
-        todo = np.arange(len(hashes))
+        first = np.searchsorted(self.clashes[:, 0], hashes)
+        listed = np.searchsorted(self.clashes[:, 0], hashes, "right") > first
+        for k in np.flatnonzero(listed).tolist():
+            at = int(first[k])
+            while at < len(self.clashes) and self.clashes[at, 0] == hashes[k]:
+                if self.clashes[at, 1] == seconds[k]:
+                    out[k] = self.settled + at
+                at += 1
+        todo = np.flatnonzero(~listed)
         for level, (places, words, before) in enumerate(self.levels):
             at = _mix(hashes[todo], level) % U(places)
             word, bit = (at >> U(6)).astype(np.int64), at & U(63)
@@ -110,8 +137,60 @@ class PerfectHash:
         return out
 
 
-def _fingerprint(hashes: np.ndarray) -> np.ndarray:
-    return (_mix(hashes, 63) >> U(32)).astype(np.uint32)
+def _fingerprint(seconds: np.ndarray) -> np.ndarray:
+    return (_mix(seconds, 63) >> U(32)).astype(np.uint32)
+
+
+def pack_index(perfect: PerfectHash, slots: np.ndarray) -> bytes:
+    """An index file: header, places of each level, bits and ranks of each level, the list of
+    clashes, then one entry of fixed width per slot."""
+    head = INDEX.pack(INDEX_MAGIC, len(perfect.levels), len(perfect.clashes), perfect.settled, len(slots))
+    parts = [head, np.array([p for p, _, _ in perfect.levels], "<u8").tobytes()]
+    for _, words, before in perfect.levels:
+        parts += [words.astype("<u8").tobytes(), before.astype("<i8").tobytes()]
+    return b"".join([*parts, perfect.clashes.astype("<u8").tobytes(), slots.tobytes()])
+
+
+class IndexFile:
+    """Reads of one index file. Bits and ranks are some bits per key of a bucket of bounded size;
+    of the entries, few are read one by one by their positions, many at once."""
+
+    def __init__(self, read):
+        """``read(offset, n)`` gives n bytes of the file."""
+        self._read = read
+        magic, levels, clashes, settled, self.keys = INDEX.unpack(read(0, INDEX.size))
+        if magic != INDEX_MAGIC:
+            raise ValueError("not an index")
+        at = INDEX.size
+        places = np.frombuffer(read(at, 8 * levels), "<u8").tolist()
+        at += 8 * levels
+        sizes = [-(-p // 64) for p in places]
+        body = np.frombuffer(read(at, 16 * sum(sizes)), "<u8")
+        at += 16 * sum(sizes)
+        self.perfect = PerfectHash(np.empty(0, U), np.empty(0, U))
+        start = 0
+        for p, n in zip(places, sizes):
+            self.perfect.levels.append((p, body[start : start + n], body[start + n : start + 2 * n].view("<i8")))
+            start += 2 * n
+        self.perfect.settled = settled
+        self.perfect.clashes = np.frombuffer(read(at, 16 * clashes), "<u8").reshape(-1, 2)
+        self._entries = at + 16 * clashes
+
+    def entries(self, slots: np.ndarray) -> np.ndarray:
+        if len(slots) > FEW:
+            return np.frombuffer(self._read(self._entries, self.keys * ENTRY.itemsize), ENTRY)[slots]
+        single = (self._read(self._entries + s * ENTRY.itemsize, ENTRY.itemsize) for s in slots.tolist())
+        return np.frombuffer(b"".join(single), ENTRY)
+
+    def find(self, hashes: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the index has, and their entries."""
+        slots = self.perfect.slots(hashes, seconds)
+        asked = np.flatnonzero(slots >= 0)
+        found = self.entries(slots[asked])
+        known = found["print"] == _fingerprint(seconds[asked])
+        there = np.zeros(len(hashes), bool)
+        there[asked[known]] = True
+        return there, found[known]
 
 
 # --- Writing ----------------------------------------------------------------------------------------
@@ -151,25 +230,26 @@ def _write_shards(folder: str, tokenizer: str, end_id: int):
 def _write_index(folder: str):
     def run(part: pa.Table) -> pa.Table:
         bucket = part.column("bucket")[0].as_py()
-        hashes = part.column("hash").to_numpy().view(U)
-        perfect = PerfectHash(hashes)
-        slots = perfect.slots(hashes)
-        columns = {}
+        hashes, seconds = (part.column(c).to_numpy().view(U) for c in ("hash", "second"))
+        perfect = PerfectHash(hashes, seconds)
+        slots = perfect.slots(hashes, seconds)
+        entries = np.zeros(len(slots), ENTRY)
         for name in ("shard", "position", "n_tokens"):
-            columns[name] = np.zeros(len(slots), np.int64)
-            columns[name][slots] = part.column(name).to_numpy()
-        prints = np.zeros(len(slots), np.uint32)
-        prints[slots] = _fingerprint(hashes)
+            entries[name][slots] = part.column(name).to_numpy()
+        entries["print"][slots] = _fingerprint(seconds)
         writer = _Writer(folder, f"index-{bucket:06d}")
-        writer.write(pickle.dumps((perfect.levels, prints, columns), protocol=5))
+        writer.write(pack_index(perfect, entries))
         writer.finish()
         return pa.table({"bucket": pa.array([bucket], pa.int64()), "keys": pa.array([len(slots)], pa.int64())})
 
     return run
 
 
-def _key(doc_id: str = "doc_id"):
-    return F.xxhash64(doc_id, "copy")
+def _keyed(rows: DataFrame, buckets: int) -> DataFrame:
+    """Adds two hashes of the key (doc_id, copy), and its bucket."""
+    return rows.withColumns({
+        "hash": F.xxhash64("doc_id", "copy"), "second": F.xxhash64(F.lit(1), "doc_id", "copy"),
+    }).withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
 
 
 class Store:
@@ -185,23 +265,18 @@ class Store:
 
         def run(part: pa.Table) -> pa.Table:
             system, root = open_folder(folder)
-            with system.open_input_file(f"{root}/index-{part.column('bucket')[0].as_py():06d}") as f:
-                levels, prints, columns = pickle.loads(f.read())
-            perfect = PerfectHash(np.empty(0, U))
-            perfect.levels = levels
-            hashes = part.column("hash").to_numpy().view(U)
-            slots = perfect.slots(hashes)
-            there = (slots >= 0) & (prints[slots] == _fingerprint(hashes))
-            found = {c: pa.array(columns[c][slots[there]]) for c in ("shard", "position", "n_tokens")}
+            path = f"{root}/index-{part.column('bucket')[0].as_py():06d}"
+            there, found = np.zeros(part.num_rows, bool), np.zeros(0, ENTRY)
+            if system.get_file_info(path).type == fs.FileType.File:  # a bucket without keys has no file
+                with system.open_input_file(path) as f:
+                    index = IndexFile(lambda offset, n: f.read_at(n, offset))
+                    there, found = index.find(*(part.column(c).to_numpy().view(U) for c in ("hash", "second")))
+            places = {c: pa.array(found[c].astype(np.int64)) for c in ("shard", "position", "n_tokens")}
             return pa.table({
-                "doc_id": part.column("doc_id").filter(pa.array(there)), "copy": part.column("copy").filter(pa.array(there)), **found
+                "doc_id": part.column("doc_id").filter(pa.array(there)), "copy": part.column("copy").filter(pa.array(there)), **places
             })
 
-        hashed = keys.select("doc_id", "copy", _key().alias("hash")).withColumn(
-            "bucket", F.pmod(F.xxhash64("hash"), F.lit(self.buckets))
-        )
-        # A bucket without a file cannot be asked for: every bucket of the store's keys has one.
-        return hashed.groupBy("bucket").applyInArrow(
+        return _keyed(keys.select("doc_id", "copy"), self.buckets).groupBy("bucket").applyInArrow(
             run, f"doc_id {kind}, copy long, shard long, position long, n_tokens long"
         )
 
@@ -257,8 +332,7 @@ def write(
         _write_shards(folder, tokenizer, end_id), f"doc_id {kind}, copy long, shard long, position long, n_tokens long"
     ), "entries")
     buckets = max(1, -(-entries.count() // BUCKET))
-    hashed = entries.withColumn("hash", _key()).withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
-    written = hashed.groupBy("bucket").applyInArrow(_write_index(folder), "bucket long, keys long")
+    written = _keyed(entries, buckets).groupBy("bucket").applyInArrow(_write_index(folder), "bucket long, keys long")
     written.write.format("noop").mode("overwrite").save()
     return Store(spark, folder, buckets, tokenizer), entries
 

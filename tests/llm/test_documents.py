@@ -1,7 +1,6 @@
 """Operators on documents against brute force, on a corpus of hard cases and on no rows."""
 
 import collections
-import hashlib
 import re
 import zlib
 
@@ -276,18 +275,64 @@ def test_store_gives_back_all_ids(spark, corpus, library):
     unknown = spark.createDataFrame([(10**9 + k, 0) for k in range(50)], "doc_id long, copy long")
     assert store.lookup(unknown).count() == 0
     order = sorted(entries.collect(), key=lambda r: (r["shard"], r["position"]))
-    assert [r["doc_id"] or -1 for r in order] == sorted(r["doc_id"] or -1 for r in order if r["doc_id"] != 0) or order
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in order]
+    assert ids == sorted(ids)
+    few = store.lookup(entries.select("doc_id", "copy").where("doc_id in (3, 7)"))
+    known = {tuple(r) for r in entries.select("doc_id", "copy", "shard", "position", "n_tokens").collect()}
+    assert few.count() == 4 and {tuple(r) for r in few.collect()} <= known
 
 
 def test_perfect_hash_is_minimal():
-    keys = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
-    found = token_store.PerfectHash(keys)
-    assert sorted(found.slots(keys).tolist()) == list(range(len(keys)))
+    keys = np.random.default_rng(3).integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
+    found = token_store.PerfectHash(*keys)
+    assert sorted(found.slots(*keys).tolist()) == list(range(5000))
+
+
+def test_equal_hashes_get_slots_of_their_own():
+    first = np.array([5, 5, 7, 9, 5, 9, 11, 2**64 - 1, 2**64 - 1], np.uint64)
+    second = np.arange(9).astype(np.uint64)
+    found = token_store.PerfectHash(first, second)
+    slots = found.slots(first, second)
+    assert sorted(slots.tolist()) == list(range(9))
+    assert found.slots(np.array([5, 9], np.uint64), np.array([77, 0], np.uint64)).tolist() == [-1, -1]
+    with pytest.raises(ValueError):
+        token_store.PerfectHash(first[[0, 0]], second[[0, 0]])
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_index_file_finds_its_keys_and_no_others(monkeypatch, few):
+    monkeypatch.setattr(token_store, "FEW", few)
+    rng = np.random.default_rng(4)
+    first, second = rng.integers(0, 1 << 63, (2, 3000)).astype(np.uint64)
+    first[:40] = first[40:80]  # clashes
+    perfect = token_store.PerfectHash(first, second)
+    slots = perfect.slots(first, second)
+    entries = np.zeros(3000, token_store.ENTRY)
+    entries["position"][slots] = np.arange(3000)
+    entries["print"][slots] = token_store._fingerprint(second)
+    data, reads = token_store.pack_index(perfect, entries), []
+
+    def read(offset, n):
+        reads.append(n)
+        return data[offset : offset + n]
+
+    index = token_store.IndexFile(read)
+    there, found = index.find(first, second)
+    assert there.all() and (found["position"] == np.arange(3000)).all()
+    other = rng.integers(0, 1 << 63, (2, 3000)).astype(np.uint64)
+    assert not index.find(*other)[0].any() and not index.find(first[:40], second[:40] + np.uint64(1))[0].any()
+    if few:  # one entry is one read of its width
+        reads.clear()
+        index.find(first[100:101], second[100:101])
+        assert reads == [token_store.ENTRY.itemsize]
+    with pytest.raises(ValueError):
+        token_store.IndexFile(lambda offset, n: bytes(n))
 
 
 def test_store_without_rows(nothing):
     store, entries = token_store.write(nothing)
     assert store.lookup(entries.select("doc_id", "copy")).count() == 0
+    assert store.lookup(nothing.sparkSession.sql("select 1L as doc_id, 0L as copy")).count() == 0
 
 
 # --- Packing
@@ -358,4 +403,3 @@ def test_digest_is_that_of_spark(corpus):
     got = simhash.fingerprints(corpus).select("doc_id", "digest").collect()
     expected = corpus.selectExpr("doc_id", "xxhash64(coalesce(text, '')) as digest").collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, expected))
-    assert hashlib.sha256(b"").hexdigest()
