@@ -39,8 +39,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles agree to 0.8 or more."""
-    stay = simhash.keepers(simhash.near_duplicates(docs))
+    """One document of each group of texts whose SimHash fingerprints link: the smallest id.
+
+    Three-word shingles and at most two differing bits, as in the operator's own query. Texts
+    without words have one fingerprint and are one group. Rows equal in id and text stay once."""
+    stay = simhash.keepers(simhash.simhash_groups(docs))
     keyed = _carried(docs, "doc_id", "text").select("row", "doc_id", _digest("text").alias("digest"))
     same = keyed["doc_id"].eqNullSafe(stay["doc_id"]) & (keyed["digest"] == stay["digest"])
     found = keyed.join(stay, same, "left_semi")
