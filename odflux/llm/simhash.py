@@ -12,10 +12,6 @@ split by the next bits into units of node pairs, again and again, so no task hol
 unit. A unit emits a minimum spanning forest of its links, never all of its pairs, so what is
 emitted grows with the fingerprints. Equal texts and equal fingerprints are one node.
 
-Such links tell what is connected. That is the result where links are transitive (op1); for a
-similarity limit it only names families, and all pairs inside a family are compared, a large
-family in pairs of blocks (``alike_links``).
-
 Defined results: null and empty texts have no words and fingerprint zero. Rows without an id
 count, but never name a component; a component of such rows alone has none. Repeated rows are
 equal fingerprints. Only the two named columns are read.
@@ -37,10 +33,6 @@ from odflux.llm.registry import query
 
 SEED = 42
 LEAF = 2048  # fingerprints of a unit that one task may hold
-SPARE = 38  # of 128 bits; a pair at 0.8 differs in 19 with a standard deviation of 4
-BLOCK = 512  # texts of a family that are compared at once with as many others
-FEW = 32  # shingles; the bits of smaller sets do not follow the angle, so sets decide
-MARGIN = 0.12  # four standard errors of an estimated similarity
 STRIDE = 6  # bits by which a larger unit is split
 _SLICE = 1 << 20  # shingles counted at once
 
@@ -395,140 +387,7 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 64, budget: int = 2, ap
         units = units.join(large, "unit").select(*_COLUMNS).mapInArrow(_split(budget), _UNIT)
 
 
-# --- All pairs of a family -------------------------------------------------------------------
-
-def estimated_similarity(differ: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bits: int) -> np.ndarray:
-    """Jaccard similarity of two shingle sets from their fingerprints' differing bits and their
-    sizes: the share of differing bits is the angle between the sets over pi."""
-    common = np.cos(np.pi * differ / bits) * np.sqrt(n_a * n_b)
-    common = np.minimum(common, np.minimum(n_a, n_b))
-    return common / np.maximum(n_a + n_b - common, 1e-9)
-
-
-def _compare(similarity: float, words: int, exact: bool):
-    """Links of the blocks in a partition, which comes sorted by block. Without texts: spanning
-    links that the estimate alone makes sure of (sure), and each node of a pair it leaves open
-    with itself. With texts: spanning links of the open pairs whose sets are similar."""
-
-    def solve(side, node, size, sig, text) -> tuple[list[tuple[int, int, bool]], ...]:
-        parent = list(range(len(node)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        left, right = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-        sure, opened = [], []
-        step = max(1, (1 << 19) // (len(right) * sig.shape[1] + 1))
-        for at in range(0, len(left), step):
-            i, j = left[at : at + step, None], right[None, :]
-            differ = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=-1, dtype=np.int64)
-            alike = estimated_similarity(differ, size[i], size[j], 64 * sig.shape[1])
-            least, most = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            fits = (least >= similarity * most - 1e-6) & ((side[i] != 0) | (i < j))
-            known = least >= FEW
-            yes = fits & known & (alike >= similarity + MARGIN)
-            maybe = fits & ~yes & (~known | (alike >= similarity - MARGIN))
-            a, b = np.nonzero(yes)
-            a, b = i[a, 0], j[0, b]
-            for k in forest(len(node), a, b, np.zeros(len(a))).tolist():
-                x, y = root(int(a[k])), root(int(b[k]))
-                if x != y:
-                    parent[x] = y
-                    sure.append((int(node[a[k]]), int(node[b[k]]), True))
-            a, b = np.nonzero(maybe)
-            opened.append((i[a, 0], j[0, b], alike[a, b]))
-        if not opened:
-            return []
-        i, j, alike = (np.concatenate(x) for x in zip(*opened))
-        if not exact:
-            top = np.array([root(x) for x in range(len(node))])
-            apart = top[i] != top[j]
-            return sure + [(x, x, False) for x in node[np.unique(np.concatenate((i[apart], j[apart])))].tolist()]
-        sets: dict[int, np.ndarray] = {}
-
-        def shingles(x: int) -> np.ndarray:
-            if x not in sets:
-                sets[x] = np.unique(shingle_hashes(text[x], words))
-            return sets[x]
-
-        found = []
-        for k in np.argsort(-alike, kind="stable").tolist():
-            a, b = int(i[k]), int(j[k])
-            x, y = root(a), root(b)
-            if x == y:
-                continue
-            one, two = shingles(a), shingles(b)
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            if common / (len(one) + len(two) - common) >= similarity:
-                parent[x] = y
-                found.append((int(node[a]), int(node[b]), True))
-        return found
-
-    def flush(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        name, side, node, size = (block.column(k).to_numpy() for k in range(4))
-        sig = np.frombuffer(b"".join(block.column(4).to_pylist()), U).reshape(len(name), -1)
-        text = list(row_bytes(block.column(5))) if exact else []
-        out = []
-        edge = np.append(np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))), len(name))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            out += solve(side[a:b], node[a:b], size[a:b].astype(np.float64), sig[a:b], text[a:b])
-        if out:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), names=["u", "v", "sure"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
-                last = batch.column(0)[-1].as_py()
-                held.append(batch)
-                if held[0].column(0)[0].as_py() == last:
-                    continue
-                block = pa.Table.from_batches(held)
-                cut = int(np.flatnonzero(block.column(0).to_numpy() != last)[-1]) + 1
-                yield from flush(block.slice(0, cut))
-                held = [b for b in block.slice(cut).to_batches() if b.num_rows]
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    return run
-
-
-def _blocks(members: DataFrame) -> DataFrame:
-    """(block, side) and the columns of ``members`` (family, node, ...): every two nodes of a
-    family meet in some block; a family of more than BLOCK nodes is dealt into parts, and each
-    pair of parts is a block with two sides."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    dealt = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node", F.lit(SEED)), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("other") == F.col("part"), 0).when(F.col("other") > F.col("part"), 1).otherwise(2)
-    return dealt.select(
-        F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")).alias("block"),
-        side.cast("byte").alias("side"), *[c for c in members.columns if c != "family"],
-    )
-
-
-def alike_links(docs: DataFrame, members: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """Links (u, v) that connect what pairs of at least this similarity connect, from all pairs
-    of each family. ``members``: family, node, n, sig, and doc_id and digest of one text."""
-
-    def compared(rows: DataFrame, exact: bool) -> DataFrame:
-        ordered = rows.repartition("block").sortWithinPartitions("block")
-        return ordered.mapInArrow(_compare(similarity, words, exact), "u long, v long, sure boolean")
-
-    first = materialize(compared(_blocks(members.select("family", "node", "n", "sig")), False), "compared")
-    # The shingle sets decide the pairs that the estimate leaves open.
-    wanted = members.join(first.where("not sure").select(F.col("u").alias("node")).distinct(), "node", "left_semi")
-    wanted = materialize(wanted, "open")
-    body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(body).alias("_digest"), body.alias("text"))
-    texts = wanted.join(texts, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = texts.select("family", "node", "n", "sig", "text").dropDuplicates(["node"])
-    second = compared(_blocks(texts), True)
-    return first.where("sure").select("u", "v").union(materialize(second.select("u", "v"), "decided"))
-
+# --- Groups -----------------------------------------------------------------------------------
 
 def groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds root, the same for all linked fingerprints, and component_id, their smallest doc_id."""
@@ -547,49 +406,12 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return groups(marked, links(nodes, budget=budget))
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-    length: int = 16, budget: int = 3,
-) -> DataFrame:
-    """Groups of texts whose sets of ``words``-word shingles have at least this similarity.
-
-    ``length`` tables of 32 bits give candidates: a pair at 0.8 differs in 15 % of the
-    bits, so one table finds it with a chance of 0.26 and sixteen find it with 0.99. Chance
-    links of unlike texts, which grow faster than the corpus, differ in half of 128 spare bits
-    and are dropped where they are found. What candidates connect is a family, and all pairs of
-    a family are compared by all 64 * length bits, which give the similarity with a standard
-    error of 0.03; within MARGIN of the limit the shingle sets are compared.
-    """
-    bits = 32
-    marked = materialize(fingerprints(docs, doc_id, text, words, length, distinct=True), "fingerprints")
-    nodes = materialize(marked.groupBy("node").agg(
-        F.first("sig").alias("sig"), F.first("n").alias("n"), F.min(F.struct("digest", "doc_id")).alias("text")
-    ), "nodes")
-    # Tables take the first half of each word; the second halves of four words are spare.
-    assert length >= 4
-    spare = F.concat(*[F.substring("sig", 8 * k + 5, 4) for k in range(4)])
-    wide = nodes.select("node", _first_bits(F.col("sig"), length, bits).alias("sig"), spare.alias("spare"))
-    named = components(links(wide, length, bits, budget, SPARE)).select("node", F.col("root").alias("family"))
-    families = named.union(named.select("family", "family").distinct())  # a root is not its own row
-    members = materialize(
-        nodes.join(families, "node").select("family", "node", "n", "sig", "text.doc_id", "text.digest"), "members"
-    )
-    return groups(marked, alike_links(docs, members, doc_id, text, words, similarity))
-
-
 def keepers(grouped: DataFrame) -> DataFrame:
     """(doc_id, digest) of the one document that stays of each group: the smallest id."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     return grouped.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.digest")
 
 
-def _first_bits(sig, length: int, bits: int):
-    """The first ``bits`` bits of every word, in one string that is filled up to whole words."""
-    parts = [F.substring(sig, 8 * k + 1, bits // 8) for k in range(length)]
-    pad = (-length * bits // 8) % 8
-    return F.concat(*parts, F.lit(b"\0" * pad)) if pad else F.concat(*parts)
-
-
 @query("op1_simhash_near_dedup")
 def op1(spark, sf_dir):
     found = simhash_groups(table(spark, sf_dir, "documents"))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from odflux.llm import mixing, packing, quality_rules, sharding, simhash, suffix_dedup, token_store, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +99,17 @@ def test_simhash_components(corpus, monkeypatch, leaf):
     assert collections.Counter((r["doc_id"], r["sig"].hex(), r["component_id"]) for r in got) == expected
 
 
+def test_pipeline_stage_keeps_the_first_of_each_component(spark, corpus):
+    rows = rows_of(corpus)
+    prints = [fingerprint(t) for _, t, *_ in rows]
+    found = brute_components(prints, [d for d, *_ in rows], lambda a, b: (a ^ b).bit_count() <= 2)
+    kept = corpus_pipeline.near_duplicates(spark, corpus, "")
+    assert kept.columns == corpus.columns
+    got = collections.Counter((d, fingerprint(t)) for d, t, *_ in rows_of(kept))
+    assert sorted((d for d, _ in got), key=str) == sorted(set(found), key=str) and set(got.values()) == {1}
+    assert all(p in {q for (d, *_), q in zip(rows, prints) if d == i} for i, p in got)
+
+
 def test_trie_links_connect_what_brute_force_connects():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 12, 40).astype(np.uint64)
@@ -110,39 +122,6 @@ def test_trie_links_connect_what_brute_force_connects():
     assert len(simhash.forest(n, i, j, w)) <= n - 1
 
 
-def test_near_duplicates_have_shingles_in_common(corpus):
-    rows = rows_of(corpus)
-    shingles = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t, *_ in rows]
-    near = lambda a, b: a == b or bool(a | b) and len(a & b) / len(a | b) >= 0.8
-    expected = brute_components(shingles, [d for d, *_ in rows], near)
-    got = collections.Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(corpus).collect())
-    assert got == collections.Counter((d, c) for (d, *_), c in zip(rows, expected))
-
-
-@pytest.mark.parametrize("block", [512, 40])
-def test_families_close_to_the_limit(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)  # 40: families are compared in pairs of blocks
-    rng = np.random.default_rng(9)
-    word = lambda: f"w{rng.integers(1 << 40)}"
-    texts = []
-    for _ in range(12):
-        template = [word() for _ in range(300)]
-        for _ in range(30):
-            words = list(template)
-            for k in rng.choice(300, 6, replace=False):
-                words[k] = word()  # two such texts have about 0.68 of their shingles in common, some 0.8
-            texts.append(" ".join(words))
-            if rng.random() < 0.3:
-                at = int(rng.integers(0, 280))
-                texts.append(" ".join(words[:at] + [word() for _ in range(rng.integers(18, 40))] + words[at + 20 :]))
-    shingles = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
-    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
-    expected = brute_components(shingles, list(range(len(texts))), near)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert [got[k] for k in range(len(texts))] == expected
-
-
 def test_equal_table_words_are_all_judged():
     v = np.zeros(4, np.uint64)
     i, j, _ = simhash.trie_links(v, *(np.array([x]) for x in (0, 4, 0, 4, 0)), 2, 12, True)
@@ -153,7 +132,6 @@ def test_equal_table_words_are_all_judged():
 
 def test_simhash_without_rows(nothing):
     assert simhash.simhash_groups(nothing).count() == 0
-    assert simhash.near_duplicates(nothing).count() == 0
 
 
 # --- Repeated passages
