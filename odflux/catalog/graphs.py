@@ -1,5 +1,8 @@
 """Flow-graph operators on quarter edges."""
 
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from odflux.catalog.inputs import rounded
@@ -109,6 +112,26 @@ def _(t):
     return rounded(rank.hits(located(t), rounds=HITS_ROUNDS, normalize=True), 8, "hub", "authority")
 
 
+# So many rounds that doubles hardly change any more; the loops stop by their own rule.
+FIXED_PR, FIXED_HITS = 40, 30
+
+
+@query(
+    "grf05_pagerank_fixed_point", "select time, name, round(pr, 8) as pr from pr_fixed", pagerank_views(LOCATED, FIXED_PR, "pr_fixed"),
+)
+def _(t):
+    return rounded(rank.pagerank(located(t), tol=1e-13), 8, "pr")
+
+
+@query(
+    "grf06_hits_fixed_point",
+    "select time, name, round(hub, 8) as hub, round(authority, 8) as authority from hits_fixed",
+    hits_views(LOCATED, FIXED_HITS, "hits_fixed"),
+)
+def _(t):
+    return rounded(rank.hits(located(t), tol=1e-12), 8, "hub", "authority")
+
+
 @query("grf06_hits_converged")
 def _(t):
     return rank.hits(located(t))
@@ -247,22 +270,115 @@ def _(t):
     return degree.undirected_edges(t.edges())
 
 
-@query("grf12_communities")
+SETTINGS = ((0.5, False), (1.0, True))
+PASSES = 7
+
+
+def _pass_sql(k, start="select s, time, name, name as c, k"):
+    """Rounds of one pass as one recursive table, until every snapshot rests; then the contraction.
+
+    lp: pairs, lm: places and their community, ls: states by turn, lx: the last state."""
+    return {
+        f"la{k}": f"select s, time, src, dst, cnt from lp{k} where src <> dst union all select s, time, dst, src, cnt from lp{k} where src <> dst",
+        f"lk{k}": f"""select s, time, name, sum(k)::bigint as k from (select s, time, src as name, cnt as k from lp{k}
+                      union all select s, time, dst, cnt from lp{k}) group by all""",
+        f"ls{k}": f"""
+            with recursive st as (
+              select 0 as turn, *, false as moved, false as waits, false as swept from ({start} from lk{k})
+              union all
+              select * from (
+                with n as materialized (select *, bool_or(moved or waits) over () as busy from st),
+                woken as materialized (
+                  select a.s, a.time, a.dst as name from la{k} a join n on n.s = a.s and n.time = a.time and n.name = a.src where n.moved
+                  union select s, time, name from n where waits or (not busy and not swept)),
+                own as materialized (select n.* from n join woken using (s, time, name)),
+                near as materialized (
+                  select a.s, a.time, a.src as name, o.c, sum(a.cnt) as k_in from la{k} a join own x on x.s = a.s and x.time = a.time and x.name = a.src
+                  join n o on o.s = a.s and o.time = a.time and o.name = a.dst group by all
+                  union all select s, time, name, c, 0 from own),
+                tot as materialized (select s, time, c, sum(k) as tot from n group by all),
+                gains as materialized (
+                  select near.s, near.time, near.name, near.c, near.c = own.c as stay,
+                         near.k_in::hugeint * m.m * 2 * g.r - own.k::hugeint * (tot - case when near.c = own.c then own.k else 0 end) * 10000 as gain
+                  from near join own using (s, time, name) join tot on tot.s = near.s and tot.time = near.time and tot.c = near.c
+                  join lmass m on m.s = near.s and m.time = near.time join lset g on g.s = near.s),
+                best as materialized (
+                  select s, time, name, to_c from (
+                    select s, time, name, c as to_c, gain, max(case when stay then gain end) over (partition by s, time, name) as own_gain,
+                           row_number() over (partition by s, time, name order by gain desc, c) as i from gains)
+                  where i = 1 and gain > own_gain),
+                t as (select any_value(turn) as turn from st)
+                select t.turn + 1, n.s, n.time, n.name, case when to_c is not null and now then to_c else c end, k,
+                       to_c is not null and now, to_c is not null and not now, not busy
+                from (select n.*, ascii(md5(concat_ws(':', name, cast(turn // 2 as varchar)))) % 2 = turn % 2 as now from n) n
+                left join best using (s, time, name) cross join t
+                where exists (select 1 from n where moved or waits or not swept))
+            ) select * from st""",
+        f"lx{k}": f"select s, time, name, c from ls{k} where turn = (select max(turn) from ls{k})",
+        f"lm{k + 1}": f"select m.s, m.time, m.name, x.c from lm{k} m join lx{k} x on x.s = m.s and x.time = m.time and x.name = m.c",
+        f"lp{k + 1}": f"""select p.s, p.time, least(a.c, b.c) as src, greatest(a.c, b.c) as dst, sum(cnt)::bigint as cnt from lp{k} p
+            join lx{k} a on a.s = p.s and a.time = p.time and a.name = p.src join lx{k} b on b.s = p.s and b.time = p.time and b.name = p.dst group by all""",
+    }
+
+
+def _set_sql(settings):
+    return " union all ".join(
+        f"select {k} as s, {r}::double as resolution, {str(n).lower()} as normalized, {round(r * 10000)} as r" for k, (r, n) in enumerate(settings)
+    )
+
+
+COMMUNITIES = {
+    "lset": _set_sql(SETTINGS),
+    "lshare": "select time, src, dst, (cnt * 1000000 // sum(cnt) over (partition by time, src))::bigint as cnt from season_edges",
+    "lp0": """select s, time, least(src, dst) as src, greatest(src, dst) as dst, sum(cnt)::bigint as cnt
+              from (select normalized, time, src, dst, cnt from season_edges, (select false as normalized) union all select true, * from lshare)
+              join lset using (normalized) group by all""",
+    "lmass": "select s, time, sum(cnt)::bigint as m from lp0 group by all",
+    "lm0": "select distinct s, time, name, name as c from (select s, time, src as name from lp0 union all select s, time, dst from lp0)",
+    **{name: sql for k in range(PASSES) for name, sql in _pass_sql(k).items()},
+}
+
+
+@query(
+    "grf12_communities",
+    f"""select time, name, resolution, normalized, label::integer as label from lm{PASSES} join lset using (s)
+        join (select s, time, c, row_number() over (partition by s, time order by count(*) desc, min(name)) - 1 as label
+              from lm{PASSES} group by s, time, c) using (s, time, c)""",
+    COMMUNITIES,
+)
 def _(t):
-    parts = [
-        community.communities(t.edges(), resolution=r, normalize=norm)
-        .select("time", "name", F.lit(r).alias("resolution"), F.lit(norm).alias("normalized"), "label")
-        for r, norm in ((0.5, False), (1.0, True))
-    ]
-    return append(*parts)
+    return community.communities_of(t.edges(), SETTINGS)
 
 
-@query("grf12_communities_warm_start")
+# Every quarter but the first starts from the labels that the quarter before has on its own.
+WARM = {
+    **COMMUNITIES,
+    "lset": _set_sql(((1.0, False),)),
+    "lfirst": f"""select time as before, name, min(name) over (partition by time, c) as c from lm{PASSES}""",
+    "lquarters": "select time, lag(time) over (order by time) as before from (select distinct time from season_edges)",
+    "linit": """select time, name, min(name) over (partition by time, c) as c
+                from lfirst join lquarters using (before) semi join (select time, name from lk0) using (time, name)""",
+}
+for _k in range(PASSES):
+    _start = "select s, time, name, coalesce((select i.c from linit i where i.time = wk0.time and i.name = wk0.name), name) as c, k"
+    for _name, _sql in (_pass_sql(_k, _start) if _k == 0 else _pass_sql(_k)).items():
+        WARM["w" + _name[1:]] = re.sub(r"\bl([akxmps])(\d+)\b", r"w\1\2", _sql)
+WARM["wp0"], WARM["wm0"] = "select * from lp0", "select * from lm0"
+
+
+@query(
+    "grf12_communities_warm_start",
+    f"""select time, name, label::integer as label from wm{PASSES}
+        join (select s, time, c, row_number() over (partition by s, time order by count(*) desc, min(name)) - 1 as label
+              from wm{PASSES} group by s, time, c) using (s, time, c)""",
+    WARM,
+)
 def _(t):
     edges = materialize(t.edges(), "edges")
-    first = community.communities(edges.where("time = '1996Q1'"))
-    start = first.select(F.lit("1996Q2").alias("time"), "name", "label")
-    return community.communities(edges.where("time = '1996Q2'"), init=start)
+    quarters = edges.select("time").distinct()
+    follows = quarters.select(F.lead("time").over(Window.orderBy("time")).alias("next"), "time")  # one row per quarter
+    cold = community.communities(edges).join(follows, "time").where("next is not null")
+    return community.communities(edges, init=cold.select(F.col("next").alias("time"), "name", "label"))
 
 
 @query(

@@ -1,10 +1,15 @@
 """Communities of the undirected flow graph by greedy modularity, and label alignment.
 
-All snapshots are clustered in the same loop. A pass moves vertices between
-communities: every vertex scores its neighbouring communities by joins and sums, and
-the half of the vertices whose hash falls on the round's side moves at once, so that
-two neighbours do not swap for ever. Communities are then contracted to vertices and
-the next pass starts, until no pass gains.
+All snapshots and all settings (resolution, normalisation) are clustered in the same loop: a
+setting is a key like the period. Weights are whole numbers, and gains are compared exactly, so
+labels do not depend on partitions or on the order of sums.
+
+A pass moves vertices between communities. In a round, vertices score the communities around them
+by joins and sums, and those whose hash falls on the round's side move at once, so that two
+neighbours do not swap for ever. A vertex is scored again only if a neighbour moved or its own
+move waits for its side, so snapshots at rest cost nothing; when neither is left anywhere, all
+vertices are scored once more, since totals changed too, and the pass ends if nobody wants to
+move. Communities are then contracted to vertices and the next pass starts, until no pass moves.
 """
 
 from __future__ import annotations
@@ -12,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from odflux.graph.degree import normalize_out, undirected_edges
+from odflux.graph.degree import undirected_edges
 from odflux.graph.rank import NotConverged
 from odflux.operators.filters import vertices_of
 from odflux.session import Rounds, materialize
 
+UNIT = 1_000_000  # steps of a normalised weight
+FINE = 10_000  # steps of a resolution
+SETTING = ("resolution", "normalized")
 
 
 def _symmetric(edges: DataFrame, by) -> DataFrame:
@@ -60,103 +68,157 @@ def modularity(edges: DataFrame, labels: DataFrame, label: str = "label", resolu
     )
 
 
-def _move(arcs, state, by, resolution, parity):
-    """State after one round in which one half of the vertices may move.
+def whole_pairs(edges: DataFrame, settings, by, unit: int = 1) -> DataFrame:
+    """Undirected edges of every setting with whole weights: ``unit`` times the count, rounded
+    down, or with ``normalized`` the share of the source's out-flow in steps of 1 / UNIT."""
+    summed = edges.groupBy(*by, "src", "dst").agg(F.floor(F.sum(F.col("cnt") * unit)).cast("long").alias("cnt"))
+    found = None
+    for normalized in sorted({bool(n) for _, n in settings}):
+        weighted = summed
+        if normalized:
+            out = summed.groupBy(*by, "src").agg(F.sum("cnt").alias("_out"))
+            share = F.expr(f"cast(cast(cnt as decimal(38, 0)) * {UNIT} div nullif(_out, 0) as bigint)")
+            weighted = summed.join(out, [*by, "src"]).select(*by, "src", "dst", share.alias("cnt"))
+        of = F.array(*[F.lit(float(r)) for r, n in settings if bool(n) == normalized])
+        pairs = undirected_edges(weighted, by).select(
+            *by, F.explode(of).alias("resolution"), F.lit(normalized).alias("normalized"), "src", "dst", "cnt"
+        )
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def _half(name, turn: int):
+    """Whether it is a vertex's turn: its hash falls on one side in one round, on the other in
+    the next, and sides are drawn anew every two rounds."""
+    side = F.ascii(F.md5(F.concat_ws(":", name, F.lit(str(turn // 2))))) % 2
+    return side == turn % 2
 
-    ``state`` has a row per vertex: name, community c, degree k and mass m. Gain of
-    joining c: ``resolution * k_in / m - k * tot / (2 m^2)``, own share removed.
+
+def _round(arcs: DataFrame, state: DataFrame, turn: int, sweep: bool) -> DataFrame:
+    """State after one round. ``state`` has a row per vertex: snapshot, name, community c, degree
+    k, mass m and steps of the resolution, whether it moved, and whether its move waits.
+
+    Gain of joining c, with own share removed: ``resolution * k_in / m - k * tot / (2 m^2)``, here
+    times 2 m^2 FINE.
     """
-    toward = arcs.join(state.select(*by, F.col("name").alias("dst"), "c"), [*by, "dst"]).select(
-        *by, F.col("src").alias("name"), "c", F.col("cnt").alias("k_in")
+    own = state.select("snap", F.col("name").alias("src"), F.col("c").alias("own"), "k", "m", "steps")
+    if not sweep:
+        moved = state.where("moved").select("snap", F.col("name").alias("src"))
+        woken = arcs.join(moved, ["snap", "src"], "left_semi").select("snap", F.col("dst").alias("src"))
+        woken = woken.unionByName(state.where("waits").select("snap", F.col("name").alias("src"))).distinct()
+        own = own.join(woken, ["snap", "src"], "left_semi")
+    toward = (
+        arcs.join(own, ["snap", "src"]).join(state.select("snap", F.col("name").alias("dst"), "c"), ["snap", "dst"])
+        .groupBy("snap", F.col("src").alias("name"), "c", "own", "k", "m", "steps").agg(F.sum("cnt").alias("k_in"))
+    )
+    totals = state.groupBy("snap", "c").agg(F.sum("k").alias("tot"))
+    mine = totals.select("snap", F.col("c").alias("own"), F.col("tot").alias("own_tot"))
+    big = lambda c: c.cast("decimal(38,0)")
+    gain = lambda k_in, free: big(
+        big(k_in) * big(F.col("m")) * big(2 * F.col("steps")) - big(F.col("k")) * big(free) * big(F.lit(FINE))
     )
-    # A vertex may always stay: its own community is a candidate with weight 0.
-    stay = state.select(*by, "name", "c", F.lit(0.0).alias("k_in"))
-    options = toward.unionByName(stay).groupBy(*by, "name", "c").agg(F.sum("k_in").alias("k_in"))
-    totals = state.groupBy(*by, "c").agg(F.sum("k").alias("tot"))
-    own = state.select(*by, "name", F.col("c").alias("own"), "k", "m")
     is_own = F.col("c") == F.col("own")
-    free = F.col("tot") - F.when(is_own, F.col("k")).otherwise(F.lit(0.0))
-    gain = F.lit(float(resolution)) * F.col("k_in") / F.col("m") - F.col("k") * free / (2 * F.col("m") * F.col("m"))
+    free = F.col("tot") - F.when(is_own, F.col("k")).otherwise(F.lit(0))
     best = (
-        options.join(own, [*by, "name"]).join(totals, [*by, "c"]).withColumn("gain", gain)
-        .groupBy(*by, "name").agg(
-            F.max("own").alias("own"), F.max("k").alias("k"), F.max("m").alias("m"),
-            F.max(F.when(is_own, F.col("gain"))).alias("own_gain"),
+        toward.join(totals, ["snap", "c"]).join(mine, ["snap", "own"])
+        .groupBy("snap", "name").agg(
+            # Staying is a choice even for a vertex without neighbours in its community.
+            F.greatest(
+                F.max(F.when(is_own, gain(F.col("k_in"), free))), F.max(gain(F.lit(0), F.col("own_tot") - F.col("k")))
+            ).alias("own_gain"),
             # Highest gain, then the smallest label.
-            F.min(F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("best"),
+            F.min(F.struct((-gain(F.col("k_in"), free)).alias("g"), F.col("c").alias("c"))).alias("best"),
         )
+        .where(-F.col("best.g") > F.col("own_gain")).select("snap", "name", F.col("best.c").alias("to"))
     )
-    turn = F.pmod(F.xxhash64("name", F.lit(parity // 2)), F.lit(2)) == (parity % 2)
-    better = -F.col("best.g") > F.col("own_gain") + 1e-12
-    return best.select(
-        *by, "name", F.when(turn & better, F.col("best.c")).otherwise(F.col("own")).alias("c"), "k", "m",
-        (better & (F.col("best.c") != F.col("own"))).alias("wants"),
+    wants, now = F.col("to").isNotNull(), _half(F.col("name"), turn)
+    return state.join(best, ["snap", "name"], "left").select(
+        "snap", "name", F.when(wants & now, F.col("to")).otherwise(F.col("c")).alias("c"), "k", "m", "steps",
+        (wants & now).alias("moved"), (wants & ~now).alias("waits"),
     )
 
 
-def communities(
-    edges: DataFrame, resolution: float = 1.0, init: DataFrame | None = None, normalize: bool = False,
-    by=("time",), max_rounds: int = 200, max_passes: int = 50,
+def communities_of(
+    edges: DataFrame, settings=((1.0, False),), init: DataFrame | None = None, by=("time",), unit: int = 1,
+    max_rounds: int = 400, max_passes: int = 50,
 ) -> DataFrame:
-    """Labels 0, 1, ... per snapshot; 0 is the largest community.
+    """Labels 0, 1, ... per snapshot and setting; 0 is the largest community.
 
-    ``init`` (keys, name, label) gives the starting labels, by name. ``NotConverged`` is
-    raised if vertices still move after ``max_rounds`` or communities after ``max_passes``.
+    ``settings`` are pairs (resolution, normalized), which become columns. ``init`` (keys, name,
+    label) gives the starting labels, by name. ``NotConverged`` is raised if vertices still move
+    after ``max_rounds`` or communities after ``max_passes``. Resolutions count in steps of
+    1 / FINE; weights are whole numbers (``whole_pairs``).
     """
-    by = list(by)
+    by = [*by, *SETTING]
     spark = edges.sparkSession
-    base = undirected_edges(normalize_out(edges, by) if normalize else edges, by)
-    base = materialize(base.withColumn("cnt", F.col("cnt").cast("double")), "pairs")
-    places = materialize(vertices_of(base, by), "places")
-    mass = materialize(base.groupBy(*by).agg(F.sum("cnt").alias("m")), "mass")
+    pairs = materialize(whole_pairs(edges, settings, by[:-2], unit), "pairs")
+    # A snapshot and setting is one number in the loop.
+    steps = F.round(F.col("resolution") * FINE).cast("long").alias("steps")
+    snaps = materialize(pairs.groupBy(*by).agg(F.sum("cnt").alias("m")).select(
+        F.monotonically_increasing_id().alias("snap"), *by, "m", steps
+    ), "snapshots")
+    pairs = materialize(pairs.join(snaps, by).select("snap", "src", "dst", "cnt"), "pairs")
+    places = materialize(vertices_of(pairs, ["snap"]), "places")
 
     start = places.withColumn("c", F.col("name"))
     if init is not None:
-        known = init.select(*by, "name", F.col("label").cast("string").alias("_l"))
-        first = known.groupBy(*by, "_l").agg(F.min("name").alias("_c"))
-        start = places.join(known.join(first, [*by, "_l"]), [*by, "name"], "left").select(
-            *by, "name", F.coalesce("_c", "name").alias("c")
+        known = init.join(snaps, by).select("snap", "name", F.col("label").cast("string").alias("_l"))
+        first = known.groupBy("snap", "_l").agg(F.min("name").alias("_c"))
+        start = places.join(known.join(first, ["snap", "_l"]), ["snap", "name"], "left").select(
+            "snap", "name", F.coalesce("_c", "name").alias("c")
         )
     member = materialize(start, "member")  # place -> community of the current level
-    pairs, warm = base, init is not None
+    warm = init is not None
     for _ in range(max_passes):
-        arcs = _symmetric(pairs, by)
-        nodes = _strengths(arcs, by).join(mass, by)
+        arcs = _symmetric(pairs, ["snap"])
+        nodes = _strengths(arcs, ["snap"]).join(snaps.select("snap", "m", "steps"), "snap")
         arcs = materialize(arcs.where(F.col("src") != F.col("dst")), "arcs")
-        state = nodes.join(member, [*by, "name"]) if warm else nodes.withColumn("c", F.col("name"))
-        store, moves = Rounds(spark, "moves"), 0
-        state = store.keep(state.select(*by, "name", "c", "k", "m"))
+        state = nodes.join(member, ["snap", "name"]) if warm else nodes.withColumn("c", F.col("name"))
+        store, moves, sweep = Rounds(spark, "moves"), 0, True
+        no = F.lit(False)
+        state = store.keep(state.select("snap", "name", "c", "k", "m", "steps", no.alias("moved"), no.alias("waits")))
         for turn in range(max_rounds):
             seen = Observation()
-            moved = _move(arcs, state, by, resolution, turn)
-            state = store.keep(moved.observe(seen, F.count_if("wants").alias("wants")))
-            moves += seen.get["wants"]
-            if seen.get["wants"] == 0:
+            after = _round(arcs, state, turn, sweep)
+            state = store.keep(after.observe(
+                seen, F.count_if("moved").alias("moved"), F.count_if(F.col("moved") | F.col("waits")).alias("left")
+            ))
+            moves += seen.get["moved"]
+            if seen.get["left"] == 0 and sweep:
                 break
+            sweep = seen.get["left"] == 0
         else:
-            raise NotConverged(f"{seen.get['wants']} vertices still move after {max_rounds} rounds")
-        state = state.select(*by, "name", "c")
+            raise NotConverged(f"vertices still move after {max_rounds} rounds")
         if moves == 0 and not warm:
             break
-        state = materialize(state, "state")
-        step = state.select(*by, F.col("name").alias("c"), F.col("c").alias("_next"))
+        state = materialize(state.select("snap", "name", "c"), "state")
         if warm:
-            member = materialize(state.select(*by, "name", "c"), "member")
-            warm = False
+            member, warm = state, False
         else:
+            step = state.select("snap", F.col("name").alias("c"), F.col("c").alias("_next"))
             member = materialize(
-                member.join(step, [*by, "c"]).select(*by, "name", F.col("_next").alias("c")), "member"
+                member.join(step, ["snap", "c"]).select("snap", "name", F.col("_next").alias("c")), "member"
             )
-        side = lambda end: state.select(*by, F.col("name").alias(end), F.col("c").alias(f"_{end}"))
+        side = lambda end: state.select("snap", F.col("name").alias(end), F.col("c").alias(f"_{end}"))
         pairs = materialize(
-            pairs.join(side("src"), [*by, "src"]).join(side("dst"), [*by, "dst"])
-            .groupBy(*by, F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst"))
+            pairs.join(side("src"), ["snap", "src"]).join(side("dst"), ["snap", "dst"])
+            .groupBy("snap", F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst"))
             .agg(F.sum("cnt").alias("cnt")),
             "pairs",
         )
     else:
         raise NotConverged(f"communities still merge after {max_passes} passes")
-    return _number(member, by)
+    return _number(member, ["snap"]).join(snaps, "snap").select(*by, "name", "label")
+
+
+def communities(
+    edges: DataFrame, resolution: float = 1.0, init: DataFrame | None = None, normalize: bool = False,
+    by=("time",), **options,
+) -> DataFrame:
+    """Labels of one setting (see ``communities_of``)."""
+    if init is not None:
+        init = init.withColumns({"resolution": F.lit(float(resolution)), "normalized": F.lit(bool(normalize))})
+    return communities_of(edges, [(resolution, normalize)], init, by, **options).drop(*SETTING)
 
 
 def _number(member: DataFrame, by) -> DataFrame:

@@ -194,3 +194,39 @@ def test_edge_colors(spark, edges_of):
     labels = spark.createDataFrame([("t", "a", 1), ("t", "b", 1), ("t", "c", 2)], "time string, name string, label int")
     colored = degree.edge_colors(edges_of([("a", "b", 1), ("a", "c", 1), ("a", "x", 1)]), labels)
     assert {r["dst"]: r["color"] for r in colored.collect()} == {"b": 1, "c": -1, "x": -1}
+
+
+def test_labels_do_not_depend_on_partitions_and_settings_are_keys(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (f"t{t}", f"n{a}", f"n{b}", int(w))
+        for t in range(3) for a, b, w in rng.integers(0, 24, (150, 3)) if a != b and w
+    ]
+    edges = spark.createDataFrame(rows, "time string, src string, dst string, cnt long")
+    settings = ((0.5, False), (1.0, False), (0.8, True))
+    found = {}
+    for n in (1, 5):
+        labels = community.communities_of(edges.repartition(n), settings).collect()
+        found[n] = {(r.time, r.name, r.resolution, r.normalized): r.label for r in labels}
+    assert found[1] == found[5] and len(found[1]) == 3 * len({k[:2] for k in found[1]})
+    alone = community.communities(edges.where("time = 't1'"), resolution=0.8, normalize=True)
+    assert {(r.time, r.name, 0.8, True): r.label for r in alone.collect()} == {
+        k: v for k, v in found[1].items() if k[0] == "t1" and k[3]
+    }
+
+
+def test_a_round_moves_only_what_gains(spark):
+    edges = spark.createDataFrame(
+        [("t", "a", "b", 5), ("t", "b", "c", 5), ("t", "c", "a", 5), ("t", "c", "d", 1), ("t", "d", "e", 4)],
+        "time string, src string, dst string, cnt long",
+    )
+    labels = as_dict(community.communities(edges), "label")
+    assert {frozenset(n for n in labels if labels[n] == c) for c in set(labels.values())} == {frozenset("abc"), frozenset("de")}
+    # Counts far beyond the exact range of doubles give the same labels.
+    huge = edges.withColumn("cnt", F.col("cnt") * 10**14)
+    assert as_dict(community.communities(huge), "label") == labels
+
+
+def test_loop_that_does_not_end_is_an_error(edges_of):
+    with pytest.raises(rank.NotConverged):
+        community.communities(edges_of(cliques()), max_rounds=1)
