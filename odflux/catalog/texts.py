@@ -111,5 +111,25 @@ def _(t):
 
 @query("txt08_topic_word_matrix")
 def _(t):
-    words, vectors = _vectors(t)
-    return text.topic_word_matrix(text.kmeans_topics(vectors, k=30), words, t.spark)
+    _, vectors = _vectors(t)
+    topics = materialize(text.kmeans_topics(vectors, k=30).transform(vectors).select("doc_id", "topic"), "topics")
+    posts = t.post().na.drop(subset=["city", "startdate", "title"])
+    weights = text.tf_vector(posts, "doc_id", "title", _vocabulary(t), norm=True)
+    return text.topic_word_matrix(weights, topics, _vocabulary(t), "doc_id", 30)
+
+
+@query(
+    "txt08_topic_word_matrix_of_given_topics",
+    f"""select word, {', '.join(f'round(coalesce(max(case when topic = {i} then mean end), 0), 6) as K{i}' for i in range(30))}
+        from vocabulary left join (
+          select word, topic, sum(tf) / any_value(docs) as mean
+          from (select doc_id, word, count(*) / sum(count(*)) over (partition by doc_id) as tf from token
+                where word in (select word from vocabulary) group by doc_id, word)
+          join (select doc_id, doc_id % 30 as topic, count(*) over (partition by doc_id % 30) as docs from post) using (doc_id)
+          group by word, topic) using (word) group by word""",
+)
+def _(t):
+    topics = t.post().select("doc_id", (F.col("doc_id") % 30).cast("int").alias("topic"))
+    weights = text.tf_vector(t.post(), "doc_id", "title", _vocabulary(t), norm=True)
+    out = text.topic_word_matrix(weights, topics, _vocabulary(t), "doc_id", 30)
+    return rounded(out, 6, *[f"K{i}" for i in range(30)])

@@ -127,9 +127,16 @@ def topic_counts(posts: DataFrame, city: str = "city", date: str = "startdate",
     )
 
 
-def topic_word_matrix(model: KMeansModel, words: list[str], spark) -> DataFrame:
-    """Word by topic weights, one column ``K<topic>`` per cluster centre."""
-    centers = model.clusterCenters()
-    columns = ["word"] + [f"K{i}" for i in range(len(centers))]
-    rows = [(w, *[float(c[i]) for c in centers]) for i, w in enumerate(words)]
-    return spark.createDataFrame(rows, ", ".join(["word string"] + [f"{c} double" for c in columns[1:]]))
+def topic_word_matrix(weights: DataFrame, topics: DataFrame, vocabulary: DataFrame, key: str, k: int) -> DataFrame:
+    """Word by topic weights, one column ``K<topic>`` per topic: the mean of its documents'
+    weights, which is the cluster's centre. A row per vocabulary word, 0 where it has no weight.
+
+    ``weights`` has (key, word, tf), ``topics`` (key, topic) with topics below ``k``. The table is
+    a sum by word and topic, so no word list or centre passes the driver.
+    """
+    sizes = topics.groupBy("topic").agg(F.count("*").alias("_docs"))
+    sums = weights.join(topics.select(key, "topic"), key).groupBy("word", "topic").agg(F.sum("tf").alias("_tf"))
+    means = sums.join(sizes, "topic").select("word", "topic", (F.col("_tf") / F.col("_docs")).alias("mean"))
+    wide = means.groupBy("word").pivot("topic", list(range(k))).agg(F.max("mean"))
+    wide = wide.select("word", *[F.col(f"`{i}`").alias(f"K{i}") for i in range(k)])
+    return vocabulary.select("word").join(wide, "word", "left").na.fill(0.0)
