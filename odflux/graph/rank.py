@@ -1,7 +1,10 @@
 """PageRank and HITS for all snapshots in one loop.
 
 Each round joins the edges with a table of one row per vertex and sums by target with
-map-side partial sums, so a vertex with very many edges is not gathered in one task.
+map-side partial sums, so a vertex's in-edges are not gathered in one task. Edges are written
+once in buckets by the vertex they are joined on (HITS: a copy for each end), where the sums of
+a round already lie, so a round moves partial sums and no edges. The out-edges of one vertex are
+one bucket's; their number is at most that of the vertices of its snapshot.
 The vertex table of a round is written to the shared folder: the next plan is short,
 survives lost executors, and knows the table's size.
 """
@@ -13,13 +16,29 @@ from pyspark.sql import functions as F
 
 from odflux.graph.degree import normalize_out
 from odflux.operators.filters import vertices_of
-from odflux.session import Rounds, materialize
+from odflux.session import Rounds, bucketed, materialize
 
 
 class NotConverged(RuntimeError):
     """A loop reached its limit of rounds before its stopping rule held."""
 
 
+def _inflow(links: DataFrame, state: DataFrame, by, damping: float) -> DataFrame:
+    """What each edge hands from its source to its target."""
+    return links.join(state.withColumnRenamed("name", "src"), [*by, "src"]).select(
+        *by, F.col("dst").alias("name"), (damping * F.col("pr") * F.col("w")).alias("pr")
+    )
+
+
+def _across(links: DataFrame, scores: DataFrame, by, start: str, end: str, score: str, out: str) -> DataFrame:
+    """Weighted sums at one end of the edges of the scores at their other end."""
+    given = scores.select(*by, F.col("name").alias(start), score)
+    return (
+        links.join(given, [*by, start])
+        .groupBy(*by, F.col(end).alias("name")).agg(F.sum(F.col(score) * F.col("w")).alias(out))
+    )
+
+
 def pagerank(
     edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tol: float = 1e-6,
     max_rounds: int = 100, inverse: bool = False, step: int = 6, by=("time",),
@@ -38,7 +57,7 @@ def pagerank(
         edges = edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "cnt")
     spark = edges.sparkSession
     summed = edges.groupBy(*by, "src", "dst").agg(F.sum("cnt").alias("cnt"))
-    links = materialize(normalize_out(summed, by).withColumnRenamed("cnt", "w"), "links")
+    links = bucketed(normalize_out(summed, by).withColumnRenamed("cnt", "w"), [*by, "src"], "links")
     names = vertices_of(links, by)
     sizes = names.groupBy(*by).agg(F.count("*").alias("n"))
     sources = links.select(*by, "src").distinct().select(*by, F.col("src").alias("name"), F.lit(True).alias("_has"))
@@ -52,16 +71,13 @@ def pagerank(
         step = 1  # each round reads the last one twice, so each is written
 
     def advance(state):
-        inflow = links.join(state.withColumnRenamed("name", "src"), [*by, "src"]).select(
-            *by, F.col("dst").alias("name"), (damping * F.col("pr") * F.col("w")).alias("pr")
-        )
         given = base
         if spread:
             lost = state.join(nodes.where("dangling"), [*by, "name"]).groupBy(*by).agg(F.sum("pr").alias("_lost"))
             given = nodes.join(lost, by, "left").select(
                 *by, "name", ((1.0 - damping + damping * F.coalesce("_lost", F.lit(0.0))) / F.col("n")).alias("pr")
             )
-        return inflow.unionByName(given).groupBy(*by, "name").agg(F.sum("pr").alias("pr"))
+        return _inflow(links, state, by, damping).unionByName(given).groupBy(*by, "name").agg(F.sum("pr").alias("pr"))
 
     store = Rounds(spark, "pagerank")
     state = nodes.select(*by, "name", (1.0 / F.col("n")).alias("pr"))
@@ -103,23 +119,17 @@ def hits(
     if normalize:
         summed = normalize_out(summed, by)
     totals = summed.groupBy(*by).agg(F.sum("cnt").alias("_total"))
-    links = materialize(
-        summed.join(totals, by).select(*by, "src", "dst", F.try_divide("cnt", "_total").alias("w")), "links"
-    )
-    nodes = materialize(vertices_of(links, by), "nodes")
+    weighted = summed.join(totals, by).select(*by, "src", "dst", F.try_divide("cnt", "_total").alias("w"))
+    by_src = bucketed(weighted, [*by, "src"], "links")
+    by_dst = bucketed(by_src, [*by, "dst"], "links")
+    nodes = materialize(vertices_of(by_src, by), "nodes")
     store = Rounds(spark, "hits")
 
     def authority(hub):
-        return (
-            links.join(hub.select(*by, F.col("name").alias("src"), "hub"), [*by, "src"])
-            .groupBy(*by, F.col("dst").alias("name")).agg(F.sum(F.col("hub") * F.col("w")).alias("authority"))
-        )
+        return _across(by_src, hub, by, "src", "dst", "hub", "authority")
 
     def hubs(auth):
-        return (
-            links.join(auth.select(*by, F.col("name").alias("dst"), "authority"), [*by, "dst"])
-            .groupBy(*by, F.col("src").alias("name")).agg(F.sum(F.col("authority") * F.col("w")).alias("hub"))
-        )
+        return _across(by_dst, auth, by, "dst", "src", "authority", "hub")
 
     def scaled(table, column):
         sums = table.groupBy(*by).agg(F.sum(column).alias("_sum"))

@@ -43,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []  # scratch folders of this process
+_tables: list[str] = []  # bucketed scratch tables of this process
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +55,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def remove_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process, once the results that read them are
     written. Returns how many folders there were."""
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -73,6 +76,24 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     return spark.read.schema(df.schema).parquet(target)
 
 
+def bucketed(df: DataFrame, keys, name: str = "bucketed") -> DataFrame:
+    """Like ``materialize``, in as many buckets by the keys as shuffles have partitions.
+
+    Joins and sums by exactly these keys read a bucket where a shuffle would put its rows, so in
+    a loop only the other side moves. The files lie in the shared folder; the session's catalog
+    holds their layout.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _tables.append(f"odflux_{name}_{uuid.uuid4().hex}")
+    # Placed first, each bucket is one file.
+    (
+        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+        .option("path", scratch_path(spark, name)).saveAsTable(_tables[-1])
+    )
+    return spark.table(_tables[-1])
+
+
 class Rounds:
     """Storage for a loop: each round is written once, two rounds are kept."""
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odflux.graph import community, degree, paths, rank, tables
-from odflux.session import materialize
+from odflux.session import bucketed, materialize
 
 FIVE = [("a", "b", 2), ("b", "c", 1), ("c", "a", 3), ("a", "c", 1), ("d", "a", 1), ("c", "e", 2)]
 
@@ -230,3 +230,53 @@ def test_a_round_moves_only_what_gains(spark):
 def test_loop_that_does_not_end_is_an_error(edges_of):
     with pytest.raises(rank.NotConverged):
         community.communities(edges_of(cliques()), max_rounds=1)
+
+
+def _moves_scan(plan: str, table: str) -> list[bool]:
+    """For each scan of the table in a plan: whether an exchange lies between it and its join."""
+    lines, found = plan.splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|*"))
+    for at, line in enumerate(lines):
+        if table not in line or "Scan" not in line:
+            continue
+        level, moved = depth(line), False
+        for above in reversed(lines[:at]):
+            if depth(above) < level:
+                level = depth(above)
+                if "Join" in above:
+                    break
+                moved |= "Exchange" in above
+        found.append(moved)
+    return found
+
+
+def test_rounds_of_the_ranks_do_not_move_edges(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(500).selectExpr("'t' as time", "cast(id % 37 as string) as src", "cast(id % 41 as string) as dst", "1.0D as w")
+        links, copy = (bucketed(rows, ["time", end], "edges") for end in ("src", "dst"))
+        state = materialize(rows.select("time", F.col("src").alias("name")).distinct().withColumn("pr", F.lit(1.0)))
+        for _ in range(2):
+            state = rank._inflow(links, state, ["time"], 0.85).groupBy("time", "name").agg(F.sum("pr").alias("pr"))
+        plan = state._jdf.queryExecution().executedPlan().toString()
+        assert _moves_scan(plan, "odflux_edges") == [False, False]
+        # Beside the first state, only the sums of a round move.
+        assert plan.count("Exchange") == 3
+        hub = materialize(state.select("time", "name", F.col("pr").alias("hub")))
+        auth = rank._across(links, hub, ["time"], "src", "dst", "hub", "authority")
+        plan = rank._across(copy, auth, ["time"], "dst", "src", "authority", "hub")._jdf.queryExecution().executedPlan().toString()
+        assert _moves_scan(plan, "odflux_edges") == [False, False] and plan.count("Exchange") == 3
+        moved = materialize(links).join(state.select("time", F.col("name").alias("src")), ["time", "src"])
+        plan = moved._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
+def test_scratch_tables_leave_the_catalog(spark):
+    table = bucketed(spark.range(5), ["id"], "gone")
+    assert table.count() == 5
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("odflux_gone")]
