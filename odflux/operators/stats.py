@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odflux.operators.aggregates import attach
-from odflux.operators.ranking import average_rank, positions
+from odflux.operators.ranking import CHUNK_ROWS, average_rank, positions
 from odflux.session import materialize
 
 
@@ -43,43 +44,107 @@ def spearman(df: DataFrame, columns, target: str) -> DataFrame:
     return pearson(_ranked(df, columns, target), columns, target)
 
 
-def kendall(df: DataFrame, columns, target: str) -> DataFrame:
+def _inversions(value: np.ndarray, weight: np.ndarray) -> int:
+    """Sum of the weight products of all pairs whose earlier value is the larger one, bit by bit:
+    two values that agree in all higher bits are an inversion if the earlier one has a 1."""
+    code = np.unique(value, return_inverse=True)[1]
+    if int(weight.sum()) >> 31:
+        weight = weight.astype(object)  # products beyond 64 bits
+    total = 0
+    for bit in range(int(code.max(initial=0)).bit_length()):
+        order = np.argsort(code >> (bit + 1), kind="stable")
+        cell, one, w = code[order] >> (bit + 1), (code[order] >> bit) & 1, weight[order]
+        ones = np.cumsum(w * one)
+        first = np.searchsorted(cell, cell)
+        ahead = ones - np.concatenate(([0], ones))[first]
+        total += int((ahead * w * (1 - one)).sum())
+    return total
+
+
+def _inside(order: tuple[str, str], value: tuple[str, ...]):
+    """Inversions of the ``value`` columns among the points of a chunk, taken in ``order``."""
+
+    def run(part: pa.Table) -> pa.Table:
+        column = {c: part.column(c).to_numpy() for c in {*order, *value, "k"}}
+        place = np.lexsort([column[c] for c in reversed(order)])
+        # One number per value: its place in the order of the columns.
+        by = np.lexsort([column[c] for c in reversed(value)])
+        change = np.zeros(len(by), bool)
+        for c in value:
+            change[1:] |= column[c][by][1:] != column[c][by][:-1]
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(change)
+        found = _inversions(number[place], column["k"][place])
+        return pa.table({"metric": part.column("metric")[:1], "q": pa.array([str(found)], pa.string())})
+
+    return run
+
+
+def _between(points: DataFrame) -> DataFrame:
+    """Inversions of points that share neither chunk, (metric, q), from the weights of the cells
+    that two chunks make.
+
+    Two chunks of x first differ in one bit of their numbers, so each cell meets the others once
+    per bit; a window runs over the chunks of y, not over points.
+    """
+    cells = points.groupBy("metric", "gx", "gy").agg(F.sum("k").alias("k"))
+    number = F.row_number().over(Window.partitionBy("metric").orderBy("gx")) - 1
+    chunks = points.select("metric", "gx").distinct().withColumn("i", number)
+    width = chunks.groupBy("metric").agg(F.max("i").alias("_last"))
+    bits = F.sequence(F.lit(0), F.length(F.bin("_last")) - 1)
+    levels = cells.join(chunks.join(width, "metric"), ["metric", "gx"]).withColumn("bit", F.explode(bits))
+    side = lambda b: F.sum(F.when(F.expr("shiftright(i, bit) & 1") == b, F.col("k")).otherwise(F.lit(0)))
+    lines = levels.groupBy("metric", "bit", F.expr("shiftright(i, bit + 1)").alias("half"), "gy").agg(
+        side(0).alias("low"), side(1).alias("high")
+    )
+    above = Window.partitionBy("metric", "bit", "half").orderBy(F.desc("gy")).rowsBetween(Window.unboundedPreceding, -1)
+    crossed = lines.select("metric", "high", F.coalesce(F.sum("low").over(above), F.lit(0)).alias("ahead"))
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    return crossed.groupBy("metric").agg(F.sum(exact("high") * exact("ahead")).cast("decimal(38,0)").alias("q"))
+
+
+def kendall(df: DataFrame, columns, target: str, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Kendall tau-b over all rows.
 
-    Concordant and discordant pairs are counted without listing pairs and without a window.
-    Each value is coded by the number of smaller ones. Two rows with different codes first
-    differ in one bit of x and in one bit of y; rows that agree in all higher bits form a
-    cell of the two bits' values, and four partial counts per cell give its pairs.
+    Discordant pairs are the inversions between two orders of the different points: by (x, y) and
+    by (y, x). Both are cut into chunks of at most about two times ``chunk`` points; a value with
+    more rows than ``chunk`` is cut by the other coordinate. A pair shares its chunk of x, or else
+    its chunk of y, and is counted there; or it shares neither and is counted from the weights of
+    the cells. Concordant pairs follow from the counts of ties. A point is in one chunk of each
+    kind, and cells are at most (rows / chunk) squared, so the work grows with the rows up to
+    chunk squared of them. All counts are whole numbers.
     """
     long = df.unpivot([target], list(columns), "metric", "x").withColumnRenamed(target, "y")
     long = materialize(long.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "pairs")
-    codes = long
+    points = long.groupBy("metric", "x", "y").agg(F.count("*").alias("k"))
+    codes = {}
     for c in ("x", "y"):
-        code = positions(long, ["metric"], c).select("metric", c, F.col("before").alias(f"code_{c}"))
-        codes = codes.join(code, ["metric", c])
-    sizes = materialize(long.groupBy("metric").agg(F.count("*").alias("n")), "sizes")
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    bits = F.sequence(F.lit(0), F.lit(max(1, int(largest).bit_length()) - 1))
-    # Equal points are counted before they meet the bits.
-    points = codes.groupBy("metric", "code_x", "code_y").agg(F.count("*").alias("k"))
-    cells = points.withColumn("i", F.explode(bits)).withColumn("j", F.explode(bits))
-    corner = lambda a, b: F.sum(F.when(
-        (F.expr("shiftright(code_x, i) & 1") == a) & (F.expr("shiftright(code_y, j) & 1") == b), F.col("k")
-    ).otherwise(F.lit(0))).cast("double")
-    counted = cells.groupBy(
-        "metric", "i", "j", F.expr("shiftright(code_x, i + 1)").alias("bx"), F.expr("shiftright(code_y, j + 1)").alias("by")
-    ).agg(*[corner(a, b).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
-    counts = counted.groupBy("metric").agg(
-        F.sum(F.col("c00") * F.col("c11") - F.col("c01") * F.col("c10")).alias("gap")
-    )
-    pairs = lambda n: F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2)
-    ties = lambda c, out: (
-        long.groupBy("metric", c).agg(F.count("*").alias("k")).groupBy("metric").agg(pairs("k").alias(out))
-    )
-    table = sizes.join(counts, "metric", "left").join(ties("x", "ties_x"), "metric").join(ties("y", "ties_y"), "metric")
-    total = F.col("n").cast("double") * (F.col("n") - 1) / 2
-    scale = F.sqrt((total - F.col("ties_x")) * (total - F.col("ties_y")))
-    return table.select("metric", "n", F.try_divide(F.coalesce("gap", F.lit(0.0)), scale).alias("coefficient"))
+        found = positions(long, ["metric"], c)
+        codes[c] = materialize(found.select("metric", c, F.col("before").alias(f"c{c}"), F.col("n").alias(f"n{c}"), "total"), f"codes_{c}")
+        points = points.join(codes[c] if c == "x" else codes[c].drop("total"), ["metric", c])
+    slot = lambda c: F.expr(f"c{c} div {int(chunk)}")
+
+    def group(c, other):
+        parts = F.expr(f"total div {int(chunk)}") + 2
+        return slot(c) * parts + F.when(F.col(f"n{c}") > chunk, slot(other) + 1).otherwise(F.lit(0))
+
+    points = materialize(points.select("metric", "cx", "cy", "k", group("x", "y").alias("gx"), group("y", "x").alias("gy")), "points")
+    kind = "metric string, q string"
+    same_x = points.groupBy("metric", "gx").applyInArrow(_inside(("cx", "cy"), ("cy", "cx")), kind)
+    same_y = points.groupBy("metric", "gy").applyInArrow(_inside(("cy", "cx"), ("gx",)), kind)
+    whole = F.col("q").cast("decimal(38,0)").alias("q")
+    inverted = same_x.unionByName(same_y).select("metric", whole).unionByName(_between(points))
+
+    # Pairs of rows are counted twice: n * (n - 1) of n rows.
+    twice = lambda n: F.sum(F.col(n).cast("decimal(19,0)") * (F.col(n) - 1).cast("decimal(19,0)"))
+    table = inverted.groupBy("metric").agg(F.sum("q").alias("q"))
+    for c in ("x", "y"):
+        table = table.join(codes[c].groupBy("metric").agg(twice(f"n{c}").alias(f"ties_{c}"), F.max("total").alias(f"n_{c}")), "metric")
+    table = table.join(points.groupBy("metric").agg(twice("k").alias("ties")), "metric").withColumnRenamed("n_x", "n")
+    pairs = F.col("n").cast("decimal(19,0)") * (F.col("n") - 1).cast("decimal(19,0)")
+    gap = (pairs - F.col("ties_x") - F.col("ties_y") + F.col("ties") - 4 * F.col("q")).cast("double")
+    scale = F.sqrt((pairs - F.col("ties_x")).cast("double") * (pairs - F.col("ties_y")).cast("double"))
+    return table.select("metric", "n", F.try_divide(gap, scale).alias("coefficient"))
 
 
 def _beta_share(a: np.ndarray, b: float, x: np.ndarray, rounds: int = 300) -> np.ndarray:

@@ -46,6 +46,33 @@ def test_kendall_with_ties_against_all_pairs(spark):
     assert stats.kendall(rows, ["x"], "y").first()["coefficient"] == pytest.approx(expected)
 
 
+def _tau(x, y):
+    sx, sy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    return (sx * sy).sum() / np.sqrt((sx**2).sum() * (sy**2).sum())
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50])
+def test_kendall_over_chunks_with_heavy_values(spark, chunk):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"a": rng.integers(0, 40, 400), "b": rng.normal(size=400), "y": rng.integers(0, 60, 400)}).astype(float)
+    frame.loc[:150, "a"] = 20.0  # a third of all rows share x, others y, and some both
+    frame.loc[100:280, "y"] = 30.0
+    frame["b"] += frame["y"] / 30
+    frame["same"] = 1.0
+    got = {r["metric"]: r for r in stats.kendall(spark.createDataFrame(frame), ["a", "b", "same"], "y", chunk).collect()}
+    for c in ("a", "b"):
+        assert got[c]["n"] == 400 and got[c]["coefficient"] == pytest.approx(_tau(frame[c].to_numpy(), frame["y"].to_numpy()))
+    assert got["same"]["coefficient"] is None
+
+
+def test_weighted_inversions_beyond_64_bits():
+    value, weight = np.array([5, 3, 9, 3, 1]), np.array([2, 1, 7, 4, 3])
+    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5) if value[i] > value[j]]
+    assert stats._inversions(value, weight) == sum(int(weight[i] * weight[j]) for i, j in pairs)
+    big = weight.astype(np.int64) << 40
+    assert stats._inversions(value, big) == sum(int(weight[i]) * int(weight[j]) for i, j in pairs) << 80
+
+
 def test_kendall_takes_all_rows(spark):
     rows = spark.range(2000).selectExpr("cast(id as double) as x", "cast(id % 7 as double) as y")
     got = stats.kendall(rows, ["x"], "y").first()
