@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from odflux.catalog.inputs import rounded
 from odflux.catalog.registry import query
 from odflux.operators import joins, places
+from odflux.operators.nearest import nearest_place
 
 
 @query(
@@ -201,6 +202,19 @@ def _(t):
     return rounded(joins.find_near(t.place(), seeds, 30.0), 6, "distance")
 
 
+@query(
+    "joi13_nearest_place",
+    """select event_id, name, round(d2, 4) as d2 from (
+           select event_id, name, px, py, (x - px) * (x - px) + (y - py) * (y - py) as d2
+           from log_event cross join (select name, mc_x * 40 as px, mc_y * 10 as py from place))
+       qualify row_number() over (partition by event_id order by d2, name) = 1""",
+)
+def _(t):
+    place = t.place().select("name", (F.col("mc_x") * 40).alias("px"), (F.col("mc_y") * 10).alias("py"))
+    found = nearest_place(t.log_event().select("event_id", "x", "y"), place, ("x", "y"), ("px", "py"), ["name"])
+    return rounded(found.select("event_id", "name", "d2"), 4, "d2")
+
+
 @query(
     "joi13_nearest_candidate",
     """select event_id, arg_min(name, (round((x - mc_x * 40) ** 2 + (y - mc_y * 10) ** 2, 4), name)) as name
