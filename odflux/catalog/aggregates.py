@@ -134,16 +134,18 @@ def _(t):
 
 @query(
     "agg12_five_number_summary_of_scores",
-    """select tier, round(min(c_acctbal), 6) as minimum, round(quantile_cont(c_acctbal, 0.25), 6) as q1,
-              round(quantile_cont(c_acctbal, 0.5), 6) as median, round(quantile_cont(c_acctbal, 0.75), 6) as q3,
-              round(max(c_acctbal), 6) as maximum
-       from customer join place on c_nationkey = place_key group by tier""",
+    """with r as (select tier, c_acctbal as v from customer join place on c_nationkey = place_key),
+            b as (select tier, count(*) as n, quantile_cont(v, [0, 0.25, 0.5, 0.75, 1]) as q from r group by tier),
+            s as (select b.*, v, v between q[2] - 1.5 * (q[4] - q[2]) and q[4] + 1.5 * (q[4] - q[2]) as inside from r join b using (tier))
+       select tier, any_value(n) as n, round(any_value(q[1]), 6) as minimum, round(any_value(q[2]), 6) as q1,
+              round(any_value(q[3]), 6) as median, round(any_value(q[4]), 6) as q3, round(any_value(q[5]), 6) as maximum,
+              round(min(v) filter (inside), 6) as whisker_low, round(max(v) filter (inside), 6) as whisker_high
+       from s group by tier""".replace("with r as", "select * from (with r as", 1) + ")",
 )
 def _(t):
     rows = t.customer.join(t.place(), F.col("c_nationkey") == F.col("place_key"))
     box = ranking.five_number_summary(rows, ["tier"], "c_acctbal")
-    names = ["minimum", "q1", "median", "q3", "maximum"]
-    return rounded(box.select("tier", *names), 6, *names)
+    return rounded(box, 6, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high")
 
 
 CORR = {

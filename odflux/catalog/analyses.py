@@ -38,13 +38,18 @@ def _(t):
 
 @query(
     "ana02_tier_boxes",
-    """select time, tier, count(*) as n, round(min(hub), 6) as minimum, round(quantile_cont(hub, 0.25), 6) as q1,
-              round(quantile_cont(hub, 0.5), 6) as median, round(quantile_cont(hub, 0.75), 6) as q3, round(max(hub), 6) as maximum
-       from score join tiers using (name) where time in ('1996Q4', '1997Q4', '1998Q4') group by all""",
+    """with b as (select time, tier, count(*) as n, quantile_cont(hub, [0, 0.25, 0.5, 0.75, 1]) as q
+                  from score join tiers using (name) where time in ('1996Q4', '1997Q4', '1998Q4') group by time, tier),
+            s as (select b.*, hub, hub between q[2] - 1.5 * (q[4] - q[2]) and q[4] + 1.5 * (q[4] - q[2]) as inside
+                  from score join tiers using (name) join b using (time, tier))
+       select time, tier, any_value(n) as n, round(any_value(q[1]), 6) as minimum, round(any_value(q[2]), 6) as q1,
+              round(any_value(q[3]), 6) as median, round(any_value(q[4]), 6) as q3, round(any_value(q[5]), 6) as maximum,
+              round(min(hub) filter (inside), 6) as whisker_low, round(max(hub) filter (inside), 6) as whisker_high
+       from s group by time, tier""".replace("with b as", "select * from (with b as", 1) + ")",
 )
 def _(t):
-    box = centrality.tier_boxes(t.score(), t.tiers(), "hub", TIMES).drop("whisker_low", "whisker_high")
-    return rounded(box, 6, "minimum", "q1", "median", "q3", "maximum")
+    box = centrality.tier_boxes(t.score(), t.tiers(), "hub", TIMES)
+    return rounded(box, 6, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high")
 
 
 @query(

@@ -214,7 +214,7 @@ def _(t):
     """with c as (select time, name, cast(sum(i) as bigint) as flow_in
                   from (select time, dst as name, cnt as i from season_flow union all select time, src, 0 from season_flow)
                   group by all),
-            d as (select time, name, sum(cnt)::double as jd_all from topic_count where topic < 6 group by all)
+            d as (select time, name, sum(cnt)::double as jd_all from topic_count group by all)
        select time, name, flow_in, coalesce(jd_all, 0) as jd_all from c left join d using (time, name)
        where time in (select time from season_flow where src <> dst)""".replace("with c as", "select * from (with c as", 1)
     + ")",
@@ -224,7 +224,7 @@ def _(t):
     from odflux.session import materialize
 
     flow = materialize(t.flow(), "season")
-    jobs = t.topic_count().where("topic < 6").groupBy("time", "name").agg(F.sum("cnt").cast("double").alias("jd_all"))
+    jobs = t.topic_count().groupBy("time", "name").agg(F.sum("cnt").cast("double").alias("jd_all"))
     catalog = Catalog()
     catalog.add("season", "city", dataset(flow, end_flows(flow).select("time", "name", "flow_in"), jobs, t.season_label()))
     data = catalog.get("season", "city")
