@@ -257,9 +257,38 @@ def _(t):
     return rounded(out, 6, "gross_flow", *[c for c in out.columns if c.endswith("_norm")])
 
 
-@query("grf10_typed_centrality_table_with_ranks")
+_BY = ("time", "value")
+RANKED = {
+    **TYPED,
+    "typed_links": "select time, value, src, dst, sum(cnt) as cnt from typed_located where src <> dst group by all",
+    "typed_shares": "select time, value, src, dst, cnt / sum(cnt) over (partition by time, value, src) as cnt from typed_links",
+    **pagerank_views("typed_links", 4, "typed_out", _BY),
+    **pagerank_views("typed_links", 4, "typed_in", _BY, turn=True),
+    **hits_views("typed_links", 3, "typed_raw", _BY),
+    **hits_views("typed_shares", 3, "typed_norm", _BY),
+}
+_RANKS = {
+    "pr": "o.pr", "pr_norm": "o.pr", "pr_inv": "i.pr", "pr_norm_inv": "i.pr", "hub": "r.hub", "authority": "r.authority",
+    "hub_norm": "m.hub", "authority_norm": "m.authority",
+}
+
+
+@query(
+    "grf10_typed_centrality_table_with_ranks",
+    f"""select time, value, name, flow_in, flow_out, flow_in - flow_out as flow_in_net, flow_out - flow_in as flow_out_net,
+              all_flow_in, all_flow_out, jdcount, round(gross_flow, 6) as gross_flow,
+              {', '.join(f'round(coalesce({c}, 0), 8) as {name}' for name, c in _RANKS.items())},
+              {', '.join(_per_mille(c, 'country', 'time') for c in _NORMED)},
+              {', '.join(_per_mille(c, 'name', 'time, name') for c in _NORMED)}
+       from typed_table left join typed_out o using (time, value, name) left join typed_in i using (time, value, name)
+       left join typed_raw r using (time, value, name) left join typed_norm m using (time, value, name)""",
+    RANKED,
+)
 def _(t):
-    return tables.typed_centrality_table(t.typed_flow(), t.demand(), t.location(), rounds=4, hits_rounds=3)
+    out = tables.typed_centrality_table(t.typed_flow(), t.demand(), t.location(), rounds=4, hits_rounds=3)
+    out = out.drop("flow_in_net_country_norm", "flow_in_net_name_norm")
+    shares = [c for c in out.columns if c.endswith(("_country_norm", "_name_norm"))]
+    return rounded(rounded(out, 8, *_RANKS), 6, "gross_flow", *shares)
 
 
 @query(
