@@ -80,15 +80,19 @@ def bucketed(df: DataFrame, keys, name: str = "bucketed") -> DataFrame:
     """Like ``materialize``, in as many buckets by the keys as shuffles have partitions.
 
     Joins and sums by exactly these keys read a bucket where a shuffle would put its rows, so in
-    a loop only the other side moves. The files lie in the shared folder; the session's catalog
+    a loop only the other side moves. A table below the broadcast limit is written plainly: it
+    would only be many small files. The files lie in the shared folder; the session's catalog
     holds their layout.
     """
-    spark = df.sparkSession
+    spark, written = df.sparkSession, materialize(df, name)
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit:
+        return written
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _tables.append(f"odflux_{name}_{uuid.uuid4().hex}")
     # Placed first, each bucket is one file.
     (
-        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+        written.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
         .option("path", scratch_path(spark, name)).saveAsTable(_tables[-1])
     )
     return spark.table(_tables[-1])

@@ -276,7 +276,13 @@ def test_rounds_of_the_ranks_do_not_move_edges(spark):
             spark.conf.set(key, value)
 
 
-def test_scratch_tables_leave_the_catalog(spark):
-    table = bucketed(spark.range(5), ["id"], "gone")
-    assert table.count() == 5
-    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("odflux_gone")]
+def test_large_scratch_tables_are_bucketed(spark):
+    assert bucketed(spark.range(5), ["id"], "small").count() == 5
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert bucketed(spark.range(5), ["id"], "large").count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    names = [t.name for t in spark.catalog.listTables()]
+    assert [n for n in names if n.startswith("odflux_large")] and not [n for n in names if n.startswith("odflux_small")]
