@@ -1,10 +1,7 @@
-"""Word counts, document frequencies, term vectors and topics."""
+"""Word counts, document frequencies, term vectors and counts of topics."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
-from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,6 @@ from odflux.operators.aggregates import attach
 from odflux.operators.filters import sample_fraction
 
 SEPARATOR = r"[^\p{L}\p{N}]+"
-VOCABULARY_LIMIT = 1 << 20
 
 
 def tokenize(text, segmenter=None) -> Column:
@@ -86,38 +82,6 @@ def tf_vector(
     return weights.select(key, "word", F.try_divide(F.col("tf"), F.sum("tf").over(document)).alias("tf"))
 
 
-def vocabulary_list(vocabulary: DataFrame, limit: int = VOCABULARY_LIMIT) -> list[str]:
-    """The vocabulary on the driver, where the cluster centres over it live as well.
-
-    Its size is checked first; a larger one needs a higher minimum count.
-    """
-    size = vocabulary.count()
-    if size > limit:
-        raise ValueError(f"vocabulary has {size} words, more than {limit}: raise its minimum count")
-    return [row["word"] for row in vocabulary.select("word").orderBy("word").collect()]
-
-
-def vectorize(docs: DataFrame, text: str, words: list[str], segmenter=None) -> DataFrame:
-    """Sparse term-frequency vectors scaled to sum 1, column ``features``."""
-    tokens = docs.where(F.col(text).isNotNull()).withColumn("_tokens", tokenize(text, segmenter))
-    counter = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_counts")
-    counted = counter.transform(tokens)
-    return Normalizer(p=1.0, inputCol="_counts", outputCol="features").transform(counted).drop("_tokens", "_counts")
-
-
-def kmeans_topics(vectors: DataFrame, k: int = 30, seed: int = 1, max_iter: int = 20) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="topic").fit(vectors)
-
-
-def gmm_topics(vectors: DataFrame, k: int, dims: int = 8, seed: int = 1, max_iter: int = 20) -> DataFrame:
-    """Soft topic membership ``probability`` (array) on reduced vectors."""
-    reduced = PCA(k=dims, inputCol="features", outputCol="reduced").fit(vectors).transform(vectors)
-    model = GaussianMixture(
-        k=k, seed=seed, maxIter=max_iter, featuresCol="reduced", predictionCol="topic", probabilityCol="_p"
-    ).fit(reduced)
-    return model.transform(reduced).withColumn("probability", vector_to_array("_p")).drop("_p", "reduced")
-
-
 def topic_counts(posts: DataFrame, city: str = "city", date: str = "startdate", topic: str = "topic") -> DataFrame:
     """Posts per city, month and topic; posts without city or date are dropped."""
     rows = posts.where(F.col(city).isNotNull() & F.col(date).isNotNull())

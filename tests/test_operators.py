@@ -219,8 +219,6 @@ def test_term_vectors(spark):
     assert raw == pytest.approx({(1, "ab"): 0.5, (1, "cd"): 0.25, (2, "cd"): 0.5})
     idf = {r["word"]: r["idf"] for r in text.inverse_document_frequency(docs, "t", vocabulary).collect()}
     assert idf == pytest.approx({"ab": np.log(2.0), "cd": 0.0})
-    with pytest.raises(ValueError, match="minimum count"):
-        text.vocabulary_list(vocabulary, limit=1)
 
 
 def test_demand_floor_shows_for_known_places_only(spark, edges_of):
@@ -260,16 +258,3 @@ def test_topic_word_matrix_is_the_mean_of_each_topic(spark):
     vocabulary = spark.createDataFrame([("a", 3), ("b", 2), ("unused", 9)], "word string, cnt long")
     got = {r["word"]: tuple(r)[1:] for r in text.topic_word_matrix(weights, topics, vocabulary, "doc", 3).collect()}
     assert got == {"a": (0.75, 0.0, 0.0), "b": (0.25, 0.0, 0.5), "unused": (0.0, 0.0, 0.0)}
-
-
-def test_topic_word_matrix_gives_the_cluster_centres(spark):
-    rows = [(k, " ".join(["red", "sun"] * (1 + k % 3) + ["sky"]) if k % 2 else " ".join(["cold", "sea"] * (1 + k % 2))) for k in range(20)]
-    posts = spark.createDataFrame(rows, "doc long, title string")
-    vocabulary = text.word_count(posts, "title", min_count=0)
-    words = text.vocabulary_list(vocabulary)
-    vectors = text.vectorize(posts, "title", words)
-    model = text.kmeans_topics(vectors, k=2)
-    weights = text.tf_vector(posts, "doc", "title", vocabulary)
-    got = text.topic_word_matrix(weights, model.transform(vectors).select("doc", "topic"), vocabulary, "doc", 2)
-    centres = {w: [float(c[i]) for c in model.clusterCenters()] for i, w in enumerate(words)}
-    assert {r["word"]: [r["K0"], r["K1"]] for r in got.collect()} == {w: pytest.approx(c) for w, c in centres.items()}
