@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from odflux.catalog.inputs import rounded
 from odflux.catalog.registry import query
-from odflux.operators import text, topics
+from odflux.operators import segment, text, topics
 from odflux.operators.aggregates import array_sum_by
 from odflux.session import materialize
 
@@ -23,6 +23,33 @@ def _(t):
     )
 
 
+@query(
+    "txt01_segment_without_blanks",
+    """with recursive word as (
+         select word, floor(1000 * ln(sum(cnt) over () / cnt))::bigint as cost, floor(1000 * ln(sum(cnt) over ()))::bigint + 1000 as unknown
+         from (select word, count(*)::double as cnt from (select unnest(string_split(p_name, ' ')) as word from part
+               union all select replace(p_name, ' ', '') from part where p_size > 45) group by word)
+       ), joined as (select distinct replace(p_name, ' ', '') as run from part),
+       way as (
+         select run, 1 as pos, 0::bigint as cost, []::integer[] as steps, []::varchar[] as words from joined
+         union all
+         select run, pos + length(w), cost + c, list_append(steps, -length(w)), list_append(words, w)
+         from (select way.*, word.word as w, word.cost as c from way join word on substr(run, pos, length(word.word)) = word.word
+               union all select way.*, substr(run, pos, 1), (select max(unknown) from word) from way where pos <= length(run))
+       )
+       select p_partkey, array_to_string(words, ' ') as words
+       from part join (select run, arg_min(words, (cost, steps)) as words from way where pos = length(run) + 1 group by run)
+       on replace(p_name, ' ', '') = run""",
+)
+def _(t):
+    names = t.part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("joined"))
+    single = t.part.select(F.explode(F.split("p_name", " ")).alias("word"))
+    whole = t.part.where("p_size > 45").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("word"))
+    words = single.unionByName(whole).groupBy("word").agg(F.count("*").alias("cnt"))
+    found = segment.segment(names, "p_partkey", "joined", words)
+    return found.select("p_partkey", F.array_join("tokens", " ").alias("words"))
+
+
 @query("txt02_word_count", "select word, cnt from vocabulary")
 def _(t):
     return text.word_count(t.post(), "title", min_count=MIN_COUNT)

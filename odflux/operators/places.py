@@ -29,6 +29,13 @@ def dictionary_match(texts: DataFrame, words: DataFrame, text: str = "text", wit
     all tasks: they are small in bytes but many in positions, also for one long text.
     Without positions, equal candidates of a block are merged before they move.
     """
+    distinct, hits = dictionary_hits(texts, words, text, with_index)
+    return distinct.join(hits, "text_id").drop("text_id").withColumnRenamed("text", text)
+
+
+def dictionary_hits(texts: DataFrame, words: DataFrame, text: str = "text", with_index: bool = False):
+    """Tables (text_id, text) and (text_id, word[, start, end]) behind ``dictionary_match``: a hit
+    does not carry its text."""
     words = words.select("word").where(F.length("word") > 0).distinct()
     distinct = texts.select(F.col(text).alias("text")).where(F.length("text") > 0).distinct()
     # One number per different length, never more than the longest word has characters.
@@ -66,7 +73,7 @@ def dictionary_match(texts: DataFrame, words: DataFrame, text: str = "text", wit
             "text_id", F.explode(F.array_distinct(F.concat(*parts))).alias("word")
         )
         hits = grams.join(words, "word").select("text_id", "word").distinct()
-    return distinct.join(hits, "text_id").drop("text_id").withColumnRenamed("text", text)
+    return distinct, hits
 
 
 def word_coverage(words: DataFrame) -> DataFrame:
