@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,13 +58,29 @@ def remove_scratch(spark: SparkSession) -> int:
     written. Returns how many folders there were."""
     while _tables:
         spark.sql(f"drop table if exists {_tables.pop()}")
+    return _delete_written(spark, 0)
+
+
+def _delete_written(spark: SparkSession, keep: int) -> int:
+    """Delete the scratch folders of this process but the first ``keep``."""
     jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _written:
+    while len(_written) > keep:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         gone += path.getFileSystem(conf).delete(path, True)
     return gone
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Scratch folders named inside are deleted at the end; results go to a path named before.
+    Not for plans that are run later, nor for work in several threads."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _delete_written(spark, before)
+
+
 def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -107,6 +107,28 @@ def test_path_queries_read_all_edges(spark, edges_of, monkeypatch):
     assert got == pytest.approx(between, abs=1e-6)
 
 
+def test_batches_of_sources_add_up(spark, edges_of):
+    from pathlib import Path
+
+    from odflux.session import shared_dir
+
+    rng = np.random.default_rng(4)
+    rows = [(f"p{a}", f"p{b}", 1) for a, b in rng.integers(0, 14, (45, 2))]
+    edges = edges_of(rows, "x").unionByName(edges_of(rows[:20], "y"))
+    key = lambda df, v: {(r["time"], r["name"]): r[v] for r in df.collect()}
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = len(list(folder.glob("level-*")))
+    for measure, name in ((paths.closeness, "closeness"), (paths.betweenness, "betweenness")):
+        many = measure(edges, pairs=60)  # about six batches
+        assert key(many, name) == pytest.approx(key(measure(edges), name))
+    # Pairs of a batch are gone when the next one starts.
+    assert len(list(folder.glob("level-*"))) == before
+
+
+def test_path_measures_of_no_edges(edges_of):
+    assert paths.closeness(edges_of([])).isEmpty() and paths.betweenness(edges_of([])).isEmpty()
+
+
 def test_betweenness_shares_equal_paths(edges_of):
     square = edges_of([("s", "x", 1), ("s", "y", 1), ("x", "t", 1), ("y", "t", 1)])
     assert as_dict(paths.betweenness(square, normalized=False), "betweenness") == pytest.approx(
