@@ -97,13 +97,13 @@ def test_path_queries_read_all_edges(spark, edges_of, monkeypatch):
     reach = np.isfinite(dist)
     far, r = np.where(reach, dist, 0).sum(axis=0), reach.sum(axis=0)
     close = {x: (r[k] - 1) ** 2 / far[k] / (n - 1) if far[k] else 0.0 for k, x in enumerate(names)}
-    got = as_dict(QUERIES["grf07_closeness_all_edges"](spark, "none"), "closeness")
+    got = as_dict(QUERIES["grf07_closeness"](spark, "none"), "closeness")
     assert got == pytest.approx(close, abs=1e-6)
     between = {x: sum(
         count[s, k] * count[k, t] / count[s, t] for s in range(n) for t in range(n)
         if len({s, t, k}) == 3 and reach[s, t] and dist[s, k] + dist[k, t] == dist[s, t]
     ) / ((n - 1) * (n - 2)) for k, x in enumerate(names)}
-    got = as_dict(QUERIES["grf08_betweenness_all_edges"](spark, "none"), "betweenness")
+    got = as_dict(QUERIES["grf08_betweenness"](spark, "none"), "betweenness")
     assert got == pytest.approx(between, abs=1e-6)
 
 
