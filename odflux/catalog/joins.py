@@ -117,9 +117,10 @@ def _(t):
     lang = t.documents.select(F.col("lang").alias("word"))
     words = lang.union(t.documents.select(F.substring("source", 1, 3))).union(lang.select(F.concat("word", F.lit(" "))))
     words = words.union(t.spark.createDataFrame([("the thing",)], "word string")).distinct()
-    hits = places.dictionary_match(t.documents, words, with_index=True)
-    per_text = hits.groupBy("text").agg(F.count("*").alias("hits"), F.count_distinct("word").alias("words"))
-    return t.documents.select("doc_id", "text").join(per_text, "text").drop("text")
+    hits = places.dictionary_match(t.documents, words, with_index=True, by_id=True)
+    per_word = hits.groupBy("text_id", "word").agg(F.count("*").alias("n"))
+    per_text = per_word.groupBy("text_id").agg(F.sum("n").alias("hits"), F.count("*").alias("words"))
+    return t.documents.select("doc_id", F.md5("text").alias("text_id")).join(per_text, "text_id").drop("text_id")
 
 
 @query(

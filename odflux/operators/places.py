@@ -7,6 +7,8 @@ are both found by equi joins.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,25 +20,40 @@ from odflux.sources.files import SENTINEL
 
 LEVELS = ("province", "city", "region")
 BLOCK = 256
+SLOTS = 20  # bits of a candidate's slot
+BASE = 0x9E3779B97F4A7C15  # odd, so it has powers and inverses modulo 2^64
 
 
-def dictionary_match(texts: DataFrame, words: DataFrame, text: str = "text", with_index: bool = False) -> DataFrame:
+def dictionary_match(
+    texts: DataFrame, words: DataFrame, text: str = "text", with_index: bool = False, by_id: bool = False
+) -> DataFrame:
     """All dictionary words contained in each distinct text, overlapping ones included.
 
-    Every position of a text gives one candidate per word length that the dictionary has,
-    and candidates meet words by equality. Texts are cut into overlapping blocks first, and
-    travel as a digest, so the work is linear in the text. The blocks are spread over
-    all tasks: they are small in bytes but many in positions, also for one long text.
-    Without positions, equal candidates of a block are merged before they move.
+    Every position of a text is one candidate per word length that the dictionary has. Of
+    these, only those whose hash falls on that of a word go on, and they meet words by equality.
+    Texts are cut into overlapping blocks first, and travel as a digest, so the work is linear in
+    the text. The blocks are spread over all tasks: they are small in bytes but many in
+    positions, also for one long text.
+
+    A row per match carries its text; ``by_id`` gives the column ``text_id``, the text's MD5, in
+    its place, for matches that are only counted or joined again.
     """
     distinct, hits = dictionary_hits(texts, words, text, with_index)
+    if by_id:
+        return hits
     return distinct.join(hits, "text_id").drop("text_id").withColumnRenamed("text", text)
 
 
 def dictionary_hits(texts: DataFrame, words: DataFrame, text: str = "text", with_index: bool = False):
     """Tables (text_id, text) and (text_id, word[, start, end]) behind ``dictionary_match``: a hit
-    does not carry its text."""
-    words = words.select("word").where(F.length("word") > 0).distinct()
+    does not carry its text.
+
+    The dictionary is written first: its known size lets Spark send a small one to the candidates,
+    which then never move. Each (text_id, start, length) is one candidate, so positions need no
+    merging. Of the dictionary, the driver sees its word lengths and at most 2^SLOTS hashes; a
+    larger one only lets more candidates through to the join.
+    """
+    words = materialize(words.select("word").where(F.length("word") > 0).distinct(), "dictionary")
     distinct = texts.select(F.col(text).alias("text")).where(F.length("text") > 0).distinct()
     # One number per different length, never more than the longest word has characters.
     lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect()) or [1]
@@ -50,30 +67,62 @@ def dictionary_hits(texts: DataFrame, words: DataFrame, text: str = "text", with
         F.substring("text", F.col("at") + 1, F.lit(BLOCK + longest - 1)).alias("block"),
     )
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = F.sequence(F.lit(1), F.col("own"))
-
-    def words_of(n):
-        return F.transform(places, lambda p: F.substring("block", p, F.lit(n)))
-
-    def placed_words_of(n):
-        return F.transform(places, lambda p: F.struct(p.alias("place"), F.substring("block", p, F.lit(n)).alias("word")))
-
+    whole = words.select(F.lit("").alias("text_id"), F.lit(0).alias("at"), F.lit(1).alias("own"), F.col("word").alias("block"))
+    slots = whole.mapInArrow(_word_slots, "slot int").distinct().toArrow()["slot"].to_numpy()
+    taken = np.zeros(1 << SLOTS, dtype=bool)
+    taken[slots] = True
+    grams = blocks.repartition(tasks, "text_id", "at").mapInArrow(
+        lambda batches: _candidates(batches, lengths, taken), "text_id string, start int, word string"
+    )
+    hits = grams.join(words, "word")
     if with_index:
-        parts = [placed_words_of(n) for n in lengths]
-        grams = blocks.repartition(tasks, "text_id", "at").select(
-            "text_id", "at", F.explode(F.concat(*parts)).alias("g")
-        ).select("text_id", (F.col("at") + F.col("g.place") - 1).alias("start"), "g.word")
-        # Behind the end of a text a candidate is cut short and meets its shorter word twice.
-        hits = grams.distinct().join(words, "word").select(
-            "text_id", "word", "start", (F.col("start") + F.length("word")).alias("end")
-        )
-    else:
-        parts = [words_of(n) for n in lengths]
-        grams = blocks.repartition(tasks, "text_id", "at").select(
-            "text_id", F.explode(F.array_distinct(F.concat(*parts))).alias("word")
-        )
-        hits = grams.join(words, "word").select("text_id", "word").distinct()
-    return distinct, hits
+        return distinct, hits.select("text_id", "word", "start", (F.col("start") + F.length("word")).alias("end"))
+    return distinct, hits.select("text_id", "word").distinct()
+
+
+def _windows(blocks: list[str]):
+    """Per character of the blocks laid end to end: its block, its place there, the characters from
+    it to the block's end; and a function that gives the slots of all windows of a length."""
+    size = np.array([len(b) for b in blocks], dtype=np.int64)
+    chars = np.frombuffer("".join(blocks).encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    block = np.repeat(np.arange(len(blocks)), size)
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
+    # Sums of char * BASE^i, whose difference over a window times BASE^-i depends on its text alone.
+    power = lambda base: np.cumprod(np.full(len(chars), base, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * power(BASE), dtype=np.uint64)])
+    inverse = power(pow(BASE, -1, 1 << 64))
+
+    def slots(n: int):
+        end = np.minimum(np.arange(n, len(chars) + n), len(chars))
+        return ((sums[end] - sums[:-1]) * inverse * np.uint64(BASE) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    return block, place, size[block] - place, slots
+
+
+def _word_slots(batches):
+    for batch in batches:
+        words = batch["block"].to_pylist()
+        _, place, left, slots = _windows(words)
+        for n in np.unique(left[place == 0]):
+            yield pa.record_batch({"slot": slots(int(n))[(place == 0) & (left == n)].astype(np.int32)})
+
+
+def _candidates(batches, lengths, taken):
+    """Windows of the blocks' own places whose slot a word has; those that run over a block's end,
+    which is the end of its text, are none."""
+    for batch in batches:
+        texts = batch["block"].to_pylist()
+        block, place, left, slots = _windows(texts)
+        own = place < batch["own"].to_numpy()[block]
+        at = batch["at"].to_numpy()
+        for n in lengths:
+            i = np.flatnonzero(own & (left >= n) & taken[slots(n)])
+            b, p = block[i], place[i]
+            word = [texts[j][k : k + n] for j, k in zip(b.tolist(), p.tolist())]
+            yield pa.record_batch({
+                "text_id": batch["text_id"].take(pa.array(b)), "start": (at[b] + p).astype(np.int32),
+                "word": pa.array(word, pa.string()),
+            })
 
 
 def word_coverage(words: DataFrame) -> DataFrame:

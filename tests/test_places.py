@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from odflux.operators import places
@@ -129,3 +131,20 @@ def test_rows_with_null_keys_keep_their_match(spark, areas):
     got = places.match_destination(spark.createDataFrame(rows, "text string, x double, y double, province string"), areas).collect()
     assert len(got) == 4
     assert {(r["x"], r["province"]): r["to_city"] for r in got} == {(0.0, None): "C3", (0.0, "P3"): "C4", (None, "P1"): "C3"}
+
+
+def test_matches_by_id_carry_no_text_and_candidates_do_not_move(spark):
+    texts = spark.createDataFrame([("aab en the en",), ("aab en the en",), ("e",), ("b" * 300 + "en",), (None,)], "text string")
+    words = spark.createDataFrame([(w,) for w in ("en", "en ", "a", "aa", "the en", "n")], "word string")
+    got = places.dictionary_match(texts, words, with_index=True, by_id=True)
+    assert got.columns == ["text_id", "word", "start", "end"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # A small dictionary goes to the candidates; those are neither merged nor dealt out by their text.
+    above = plan[: plan.index("MapInArrow")]
+    assert "BroadcastHashJoin" in above and "HashAggregate" not in above and "hashpartitioning" not in above
+    want = sorted(
+        (hashlib.md5(t.encode()).hexdigest(), w, i, i + len(w))
+        for t in ("aab en the en", "b" * 300 + "en") for w in ("en", "en ", "a", "aa", "the en", "n")
+        for i in range(len(t)) if t.startswith(w, i)
+    )
+    assert sorted(tuple(r) for r in got.collect()) == want
