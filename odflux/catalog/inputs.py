@@ -11,6 +11,7 @@ from odflux.graph.degree import build_graph, degrees, gross_flow, net_inflow_per
 from odflux.graph.rank import hits
 from odflux.operators.aggregates import user_day_od_count
 from odflux.operators.filters import drop_self_edges
+from odflux.operators.text import place_texts, text_parts
 from odflux.session import materialize, scratch_path
 
 
@@ -32,6 +33,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._text_parts = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -180,7 +182,10 @@ class Tables:
 
     def post(self) -> DataFrame:
         day = F.date_add(F.lit("2019-08-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
-        return self.documents.repartition("doc_id").join(self.nation, F.col("doc_id") % 25 == F.col("n_nationkey")).select(
+        if self._text_parts is None:
+            self._text_parts = text_parts(self.documents, "text")
+        placed = place_texts(self.documents, "doc_id", "text", self._text_parts)
+        return placed.join(self.nation, F.col("doc_id") % 25 == F.col("n_nationkey")).select(
             "doc_id", F.col("n_name").alias("city"), F.date_format(day, "yyyy-MM-dd").alias("startdate"),
             F.col("text").alias("title"),
         )

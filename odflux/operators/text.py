@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from odflux.functions import periods, scalars
 from odflux.operators.aggregates import attach
 from odflux.operators.filters import sample_fraction
 
+PART = 8 << 20  # bytes of text that a task counts
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -20,6 +23,18 @@ def tokenize(text, segmenter=None) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: F.length(w) > 0)
 
 
+def text_parts(docs: DataFrame, text: str, size: int = PART) -> int:
+    """Partitions of about ``size`` bytes of text each, no fewer than there are cores."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / size))
+
+
+def place_texts(docs: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
+    """Documents by key in as many partitions as their text asks for: a number given outright is
+    not merged again, so what a task counts does not grow with the table."""
+    return docs.repartition(parts or text_parts(docs, text), key)
+
+
 def distinct_tokens(text, segmenter=None) -> Column:
     return F.array_distinct(tokenize(text, segmenter))
 
@@ -60,11 +75,10 @@ def tf_vector(
 
     Counts over all tokens of the document; with ``norm`` scaled to sum 1 over the
     vocabulary. Weights are pure term frequencies unless ``idf`` (word, idf) is given.
-    Documents are placed by key once; counting words and summing the words of a
-    document then need no further shuffle.
+    Of documents placed by key (``place_texts``) counting words and summing the words of a
+    document need no shuffle, and a task holds the words of a few megabytes of text.
     """
-    placed = docs.where(F.col(text).isNotNull()).select(key, text).repartition(key)
-    tokens = placed.select(key, tokenize(text, segmenter).alias("tokens"))
+    tokens = docs.where(F.col(text).isNotNull()).select(key, tokenize(text, segmenter).alias("tokens"))
     counts = (
         tokens.select(key, F.size("tokens").alias("_all"), F.explode("tokens").alias("word"))
         .groupBy(key, "word").agg(F.count("*").alias("n"), F.first("_all").alias("_all"))

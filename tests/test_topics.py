@@ -131,3 +131,14 @@ def test_memberships_sum_to_one(spark):
     p = np.array([r["probability"] for r in out])
     assert sorted(r["doc"] for r in out) == names and np.allclose(p.sum(axis=1), 1) and (p >= 0).all()
     assert out[0]["topic"] == int(p[0].argmax())
+
+
+def test_texts_are_placed_by_their_bytes_and_counted_there(spark):
+    posts = spark.range(300).select(F.col("id").alias("doc"), F.repeat(F.lit("red sun "), 50).alias("title"))
+    assert text.text_parts(posts, "title", 4000) == 30 and text.text_parts(posts.limit(0), "title") == 8
+    vocabulary = text.word_count(posts, "title", min_count=0)
+    weights = text.tf_vector(text.place_texts(posts, "doc", "title", 30), "doc", "title", vocabulary)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc" in plan and plan.count("REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_COL" not in plan
+    assert weights.where("tf = 0.5").count() == 600
+    assert weights.select(F.spark_partition_id().alias("p")).distinct().count() > 20
