@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Observation, Window
@@ -23,7 +25,9 @@ from odflux.session import Rounds, bucketed, materialize
 
 STEPS = 1 << 30  # steps of a weight of 1
 BITS = 52  # bits of a hash that a double holds
-BLOCK = 32  # topics whose centres travel in one row per word
+BLOCK = 32  # topics whose centres travel together
+WORDS = 12  # bits of a word's place among the words whose weights are packed together
+PACK = 1 << 18  # weights in a pack, about 3 MB
 
 
 def _hash(text) -> F.Column:
@@ -32,15 +36,83 @@ def _hash(text) -> F.Column:
 
 # ---- k-means -----------------------------------------------------------------
 
-def _blocks(rows: DataFrame, value: str, keys=(), missing="null") -> DataFrame:
-    """Values by topic as arrays by block of topics (keys, block, value)."""
+def _blocks(rows: DataFrame, value: str) -> DataFrame:
+    """Values by topic as arrays by block of topics (block, value), null where there is none."""
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("topic") % BLOCK, value)))  # at most BLOCK
-    filled = F.expr(f"transform(sequence(0, {BLOCK - 1}), j -> coalesce(_at[j], {missing}))").alias(value)
+    filled = F.expr(f"transform(sequence(0, {BLOCK - 1}), j -> _at[j])").alias(value)
     block = F.expr(f"cast(topic div {BLOCK} as int)").alias("block")
-    return rows.groupBy(*keys, block).agg(entries.alias("_at")).select(*keys, "block", filled)
-
-
-def _nearest(x: DataFrame, centres: DataFrame, norms: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(block).agg(entries.alias("_at")).select("block", filled)
+
+
+def _pack(batches):
+    """Weights in order of word block and document, to rows with the weights of many documents."""
+    def flush(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        group, kind = rows["block_w"].to_numpy(), rows["key"].combine_chunks().dictionary_encode().indices.to_numpy()
+        for lo, hi in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)])):
+            first = np.flatnonzero(np.diff(kind[lo:hi], prepend=-1))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            part = rows.slice(lo, hi - lo).combine_chunks()
+            yield pa.record_batch({
+                "block_w": pa.array([int(group[lo])]), "docs": one(part["key"].combine_chunks().take(pa.array(first))),
+                "first": one(pa.array(first.astype(np.int32))),
+                "place": one(part["place"].combine_chunks()), "x": one(part["x"].combine_chunks()),
+            })
+
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK:
+            yield from flush(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield from flush(held)
+
+
+def _dots(batches):
+    """Dot products of a pack's documents with the centres beside it, in whole numbers."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            first, place, x, at, w = (batch[c][r].values.to_numpy() for c in ("first", "place", "x", "at", "w"))
+            centre = np.zeros(BLOCK << WORDS, dtype=np.int64)
+            centre[at] = w
+            centre = centre.reshape(BLOCK, 1 << WORDS)
+            sums = [np.add.reduceat(x * c[place], first) if c.any() else np.zeros(len(first), np.int64) for c in centre]
+            yield pa.record_batch({
+                "key": batch["docs"][r].values, "block": pa.array(np.full(len(first), batch["block"][r].as_py(), np.int32)),
+                **{f"_{j}": pa.array(v) for j, v in enumerate(sums)},
+            })
+
+
+class _Packs:
+    """Weights packed by document and word block, to be multiplied with centres many times.
+
+    Words get numbers from Spark, partition by partition; a pack's words fall in one block of
+    2^WORDS numbers, so a task holds the centres of one block of words and of topics. A document
+    may lie in several packs; its products are summed after."""
+
+    def __init__(self, x: DataFrame, key: str):
+        self.key, self.kind = key, x.schema[key].dataType.simpleString()
+        self.words = materialize(x.select("word").distinct().withColumn("_m", F.monotonically_increasing_id()), "words")
+        self.words = self.words.select("word", F.shiftright("_m", WORDS).alias("block_w"), F.expr(f"cast(_m & {(1 << WORDS) - 1} as int)").alias("place"))
+        placed = x.join(self.words, "word").select("block_w", F.col(key).alias("key"), "place", "x")
+        kind = f"block_w long, docs array<{self.kind}>, first array<int>, place array<int>, x array<long>"
+        self.rows = materialize(placed.sortWithinPartitions("block_w", "key").mapInArrow(_pack, kind), "packs")
+
+    def dots(self, centres: DataFrame) -> DataFrame:
+        """(key, block, _0, ...): sums over common words with the centres (topic, word, w)."""
+        at = ((F.col("topic") % BLOCK) * (1 << WORDS) + F.col("place")).cast("int").alias("at")
+        block = F.expr(f"cast(topic div {BLOCK} as int)").alias("block")
+        held = centres.join(self.words, "word").select("block_w", block, F.struct(at, "w").alias("e"))
+        held = held.groupBy("block_w", "block").agg(F.collect_list("e").alias("e")).select("block_w", "block", "e.at", "e.w")
+        held = materialize(held, "held")  # of known size, so that packs need not move to a small one
+        columns = [f"_{j}" for j in range(BLOCK)]
+        kind = f"key {self.kind}, block int, " + ", ".join(f"{c} long" for c in columns)
+        parts = self.rows.join(held, "block_w").select("docs", "first", "place", "x", "block", "at", "w").mapInArrow(_dots, kind)
+        return parts.groupBy(F.col("key").alias(self.key), "block").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def _nearest(x: _Packs, centres: DataFrame, norms: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """``state`` with ``best``, the smallest (score, topic) of each document, where the score is
     the squared distance less the document's own square: the centre's square less twice the dot
     product. An earlier ``best`` in ``state`` stays if nothing is smaller.
@@ -48,8 +120,7 @@ def _nearest(x: DataFrame, centres: DataFrame, norms: DataFrame, state: DataFram
     A block without a common word scores the squares of its centres, and only the smallest of all
     squares can win there; where that topic does have a common word its true score is smaller.
     """
-    words = x.join(_blocks(centres, "w", ["word"], 0), "word")
-    dots = words.groupBy(key, "block").agg(*[F.expr(f"sum(x * w[{j}]) as _{j}") for j in range(BLOCK)])
+    dots = x.dots(centres)
     scores = F.expr(f"""array_min(transform(array({', '.join(f'_{j}' for j in range(BLOCK))}),
         (dot, j) -> if(nn[j] is null, null, named_struct('s', nn[j] - 2 * dot, 'topic', block * {BLOCK} + j))))""")
     near = dots.join(_blocks(norms, "nn"), "block").groupBy(key).agg(F.min(scores).alias("_near"))
@@ -86,9 +157,9 @@ def kmeans_topics(
     without a weight take part as zeros. Fewer different documents than ``k`` give as many topics;
     a topic that loses all documents is gone. No documents give no rows.
 
-    A round writes the centres and then the topics. The centres' weights of a word travel in a row per ``BLOCK`` topics, meet
-    the weights by word and are summed by document, mostly map-side; weights above the broadcast
-    limit lie in buckets by document, and centres below it travel to them.
+    A round writes the centres and then the topics. Weights are packed once, many documents to a
+    row; the centres of a block of words and topics meet the packs, whose products are summed by
+    document. For the centres, weights above the broadcast limit lie in buckets by document.
     """
     spark = docs.sparkSession
     whole = F.floor(F.col("tf") * STEPS).cast("long")
@@ -96,6 +167,7 @@ def kmeans_topics(
     square = x.groupBy(key).agg(
         F.sum(F.col("x") * F.col("x")).alias("_xx"), F.bit_xor(F.xxhash64("word", "x")).alias("_sig")
     )
+    packs = _Packs(x, key)
     store, none = Rounds(spark, "topics"), F.lit(None).cast("struct<s:bigint,topic:int>")
     state = store.keep(docs.select(key).join(square, key, "left").select(
         key, F.coalesce("_xx", F.lit(0)).alias("xx"), F.coalesce("_sig", F.lit(0)).alias("sig"), none.alias("best")
@@ -109,7 +181,7 @@ def kmeans_topics(
             break
         have += seen.get["n"]
         fresh = x.join(took, key).select("topic", "word", F.col("x").alias("w"))
-        state = store.keep(_nearest(x, fresh, took.select("topic", "nn"), state, key))
+        state = store.keep(_nearest(packs, fresh, took.select("topic", "nn"), state, key))
     for _ in range(max_iter if have else 0):
         sizes = state.groupBy("best.topic").agg(F.count("*").alias("n"))
         sums = x.join(state.select(key, "best.topic"), key).groupBy("topic", "word").agg(F.sum("x").alias("_sum"))
@@ -119,7 +191,7 @@ def kmeans_topics(
         norms = sizes.join(squares, "topic", "left").select("topic", F.coalesce("_nn", F.lit(0)).alias("nn"))
         seen = Observation()
         before = state.withColumn("_old", F.col("best.topic")).withColumn("best", none)
-        after = _nearest(x, centres, norms, before, key)
+        after = _nearest(packs, centres, norms, before, key)
         moved = F.count_if(F.col("best.topic") != F.col("_old")).alias("moved")
         state = store.keep(after.observe(seen, moved).drop("_old"))
         if seen.get["moved"] == 0:

@@ -142,3 +142,18 @@ def test_texts_are_placed_by_their_bytes_and_counted_there(spark):
     assert "hashpartitioning(doc" in plan and plan.count("REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_COL" not in plan
     assert weights.where("tf = 0.5").count() == 600
     assert weights.select(F.spark_partition_id().alias("p")).distinct().count() > 20
+
+
+def test_packed_products_are_those_of_the_weights(spark):
+    rows = [(d, f"w{i}", (d * 7 + i * 13) % 11 + 1) for d in range(50) for i in range(40) if (d + i) % 3]
+    x = spark.createDataFrame(rows, "doc long, word string, x long")
+    centres = [(t, f"w{i}", t * i + (1 << 40)) for t in (0, 5, 33) for i in range(0, 40, 2)]
+    packs = topics._Packs(x, "doc")
+    assert packs.rows.count() < 50
+    got = packs.dots(spark.createDataFrame(centres, "topic int, word string, w long")).collect()
+    want = {}
+    for d, word, v in rows:
+        for t, other, w in centres:
+            if word == other:
+                want[d, t] = want.get((d, t), 0) + v * w
+    assert {(r["doc"], r["block"] * 32 + j): r[f"_{j}"] for r in got for j in range(32) if r[f"_{j}"]} == want
