@@ -6,7 +6,7 @@ from odflux.catalog.inputs import rounded
 from odflux.catalog.registry import query
 from odflux.operators import segment, text, topics
 from odflux.operators.aggregates import array_sum_by
-from odflux.session import materialize
+from odflux.session import materialize, shuffles_dropped
 
 MIN_COUNT = 100
 
@@ -158,7 +158,8 @@ KMEANS = _kmeans_sql()
 
 def _weights(t):
     posts = t.post().na.drop(subset=["city", "startdate", "title"])
-    return posts, materialize(text.tf_vector(posts, "doc_id", "title", _vocabulary(t)), "weights")
+    with shuffles_dropped(t.spark):
+        return posts, materialize(text.tf_vector(posts, "doc_id", "title", _vocabulary(t)), "weights")
 
 
 def _topics(t):

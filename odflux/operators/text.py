@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from odflux.functions import periods, scalars
 from odflux.operators.aggregates import attach
 from odflux.operators.filters import sample_fraction
+from odflux.session import stored_bytes
 
 PART = 8 << 20  # bytes of text that a task counts
+HELD = 16 << 20  # bytes of a stored vocabulary that every task may hold
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -40,7 +42,13 @@ def distinct_tokens(text, segmenter=None) -> Column:
 
 
 def word_stream(docs: DataFrame, text: str, keys=(), segmenter=None) -> DataFrame:
-    return docs.where(F.col(text).isNotNull()).select(*keys, F.explode(tokenize(text, segmenter)).alias("word"))
+    return each_word(docs.where(F.col(text).isNotNull()).select(*keys, tokenize(text, segmenter).alias("tokens")), *keys)
+
+
+def each_word(tokens: DataFrame, *columns) -> DataFrame:
+    """A row per word. From a plain ``explode`` Spark infers that the array is not empty and splits
+    every text a second time to see it, below the shuffle that places the texts."""
+    return tokens.select(*columns, F.explode_outer("tokens").alias("word")).where(F.col("word").isNotNull())
 
 
 def word_count(docs: DataFrame, text: str, min_length: int = 2, min_count: int = 1000, segmenter=None) -> DataFrame:
@@ -76,13 +84,17 @@ def tf_vector(
     Counts over all tokens of the document; with ``norm`` scaled to sum 1 over the
     vocabulary. Weights are pure term frequencies unless ``idf`` (word, idf) is given.
     Of documents placed by key (``place_texts``) counting words and summing the words of a
-    document need no shuffle, and a task holds the words of a few megabytes of text.
+    document need no shuffle, and a task holds the words of a few megabytes of text. Nor do the
+    words move to a vocabulary of up to HELD bytes: it is broadcast, and a larger one left to Spark.
     """
     tokens = docs.where(F.col(text).isNotNull()).select(key, tokenize(text, segmenter).alias("tokens"))
+    words = vocabulary.select("word")
+    if stored_bytes(words) <= HELD:
+        words = F.broadcast(words)
     counts = (
-        tokens.select(key, F.size("tokens").alias("_all"), F.explode("tokens").alias("word"))
+        each_word(tokens, key, F.size("tokens").alias("_all"))
         .groupBy(key, "word").agg(F.count("*").alias("n"), F.first("_all").alias("_all"))
-        .join(vocabulary.select("word"), "word", "left_semi")
+        .join(words, "word", "left_semi")
     )
     document = Window.partitionBy(key)
     if norm and idf is None:

@@ -93,6 +93,11 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     return spark.read.schema(df.schema).parquet(target)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """What Spark takes the table's size for: that of its files, of a written one."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def bucketed(df: DataFrame, keys, name: str = "bucketed") -> DataFrame:
     """Like ``materialize``, in as many buckets by the keys as shuffles have partitions.
 
@@ -103,7 +108,7 @@ def bucketed(df: DataFrame, keys, name: str = "bucketed") -> DataFrame:
     """
     spark, written = df.sparkSession, materialize(df, name)
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit:
+    if stored_bytes(written) <= limit:
         return written
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _tables.append(f"odflux_{name}_{uuid.uuid4().hex}")
@@ -115,6 +120,27 @@ def bucketed(df: DataFrame, keys, name: str = "bucketed") -> DataFrame:
     return spark.table(_tables[-1])
 
 
+def placed(df: DataFrame, key: str, n: int, name: str = "placed") -> DataFrame:
+    """Like ``bucketed``, in ``n`` buckets by one key whatever the size, written once as the rows
+    come: the rows of a key should be in one partition already."""
+    _tables.append(f"odflux_{name}_{uuid.uuid4().hex}")
+    df.write.format("parquet").bucketBy(n, key).option("path", scratch_path(df.sparkSession, name)).saveAsTable(_tables[-1])
+    return df.sparkSession.table(_tables[-1])
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, Spark deletes a query's shuffle files when the query ends, not when the driver
+    happens to collect its garbage. For loops whose queries write what they find."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Rounds:
     """Storage for a loop: each round is written once, two rounds are kept."""
 

@@ -157,3 +157,58 @@ def test_packed_products_are_those_of_the_weights(spark):
             if word == other:
                 want[d, t] = want.get((d, t), 0) + v * w
     assert {(r["doc"], r["block"] * 32 + j): r[f"_{j}"] for r in got for j in range(32) if r[f"_{j}"]} == want
+
+
+def test_weights_stay_where_they_lie(spark):
+    docs, weights = table(spark, *random_documents())
+    x = weights.select("doc", "word", (F.col("tf") * 1000).cast("long").alias("x")).where("x > 0")
+    packs = topics._Packs(x, "doc", docs)
+    centres = packs.means(packs.drawn([0, 1, 2]), 3, None)
+    plan = centres._jdf.queryExecution().executedPlan().toString()
+    met = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    assert "odflux_packs" in met and met.split("odflux_packs")[0].count("Exchange") == 0
+    assert {r["topic"] for r in packs.nearest(centres, 3).select("best.topic").collect()} <= {0, 1, 2}
+
+
+def test_centres_are_whole_means_in_every_block(spark, monkeypatch):
+    monkeypatch.setattr(topics, "WORDS", 4)  # several blocks of words
+    monkeypatch.setattr(topics, "LEAST", 16)  # and parts
+    monkeypatch.setattr(topics, "SUMS", 256)  # sums meet in several groups a block
+    rows, names = random_documents()
+    docs, weights = table(spark, rows, names)
+    x = weights.select("doc", "word", F.floor(F.col("tf") * topics.STEPS).cast("long").alias("x")).where("x > 0")
+    packs = topics._Packs(x, "doc", docs)
+    assert packs.blocks > 3 and len(packs.labels) > 3
+    first = packs.drawn([3, 1])
+    label = {r["doc"]: r["topic"] for r in packs.nearest(first, 2).select("doc", "best.topic").collect()}
+    whole = {(r["doc"], r["word"]): r["x"] for r in x.collect()}
+    want = {}
+    for t in (0, 1):
+        members = [d for d in names if label[d] == t]
+        for word in {w for d, w in whole}:
+            want[t, word] = sum(whole.get((d, word), 0) for d in members) // len(members)
+    places = packs.words.mapInArrow(topics._places, "h long, block int, place int")
+    word = {(r["block"], r["place"]): r["word"] for r in x.select("word", packs._hash()).distinct().join(places, "h").collect()}
+    got = {}
+    for r in packs.means(first, 2, None).collect():
+        for place, ws in enumerate(np.frombuffer(r["w"], np.int32).reshape(-1, 2).tolist()):
+            got.update({(t, word[r["block"], r["start"] + place]): w for t, w in enumerate(ws)})
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_blocks_and_parts_do_not_change_topics(spark, monkeypatch):
+    docs, weights = table(spark, *random_documents())
+    whole = found(docs, weights, 5, max_iter=3)
+    for name, value in (("WORDS", 4), ("LEAST", 16), ("SHORT", 3), ("CHUNK", 5), ("SUMS", 320)):
+        monkeypatch.setattr(topics, name, value)
+    assert found(docs, weights, 5, max_iter=3) == whole
+
+
+def test_a_text_is_split_once(spark):
+    posts = spark.createDataFrame([(i, "red sun " * 5) for i in range(30)] + [(30, " ")], "doc long, title string")
+    vocabulary = text.word_count(posts, "title", min_count=0)
+    kept = spark.createDataFrame([("red",)], "word string")
+    weights = text.tf_vector(text.place_texts(posts, "doc", "title", 3), "doc", "title", kept)
+    assert weights._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {(r["word"], r["cnt"]) for r in vocabulary.collect()} == {("red", 150), ("sun", 150)}
+    assert [r["tf"] for r in weights.collect()] == [1.0] * 30
