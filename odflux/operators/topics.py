@@ -6,7 +6,7 @@ vocabulary nor a centre passes the driver, and neither has a limit.
 
 K-means counts in whole steps of 2^-30, so distances are exact, topics do not depend on the order
 of sums, and equal distances go to the smaller topic. The sum of one word's weights within a topic
-must stay below 2^33; an overflow is raised beyond that.
+must stay below 2^32; an overflow is raised beyond that.
 """
 
 from __future__ import annotations

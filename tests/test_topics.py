@@ -212,3 +212,15 @@ def test_a_text_is_split_once(spark):
     assert weights._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert {(r["word"], r["cnt"]) for r in vocabulary.collect()} == {("red", 150), ("sun", 150)}
     assert [r["tf"] for r in weights.collect()] == [1.0] * 30
+
+
+def test_found_topics_are_counted_and_leave_no_setting(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    rows = [(k, "red sun" if k % 2 else "cold sea", "here", "2020-01-05") for k in range(12)]
+    posts = spark.createDataFrame(rows, "doc long, title string, city string, startdate string")
+    weights = text.tf_vector(posts, "doc", "title", text.word_count(posts, "title", min_count=0))
+    label = topics.kmeans_topics(posts, weights, "doc", 2)
+    got = text.topic_counts(posts.join(label, "doc")).collect()
+    assert sorted((r["name"], r["time"], r["cnt"]) for r in got) == [("here", "202001", 6)] * 2
+    assert spark.conf.get(name, None) == before
