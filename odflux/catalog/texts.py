@@ -12,7 +12,10 @@ MIN_COUNT = 100
 
 
 def _vocabulary(t):
-    return materialize(text.word_count(t.post(), "title", min_count=MIN_COUNT), "vocabulary")
+    """Counted and written once, however often a query reads it."""
+    if not hasattr(t, "_words"):
+        t._words = materialize(text.word_count(t.post(), "title", min_count=MIN_COUNT), "vocabulary")
+    return t._words
 
 
 @query("txt01_tokenize", "select doc_id, count(*) as words, count(distinct word) as kinds, min(word) as first_word from token group by doc_id")

@@ -224,3 +224,16 @@ def test_found_topics_are_counted_and_leave_no_setting(spark):
     got = text.topic_counts(posts.join(label, "doc")).collect()
     assert sorted((r["name"], r["time"], r["cnt"]) for r in got) == [("here", "202001", 6)] * 2
     assert spark.conf.get(name, None) == before
+
+
+def test_a_query_counts_its_vocabulary_once(spark, monkeypatch):
+    from odflux.catalog import texts
+    from odflux.catalog.inputs import Tables
+
+    calls, count = [], text.word_count
+    monkeypatch.setattr(text, "word_count", lambda *a, **k: calls.append(a) or count(*a, **k))
+    posts = spark.createDataFrame([(i, "red sun") for i in range(200)], "doc_id long, title string")
+    monkeypatch.setattr(Tables, "post", lambda self: posts)
+    t = Tables(spark, "unused")
+    assert {r["word"] for r in texts._vocabulary(t).collect()} == {"red", "sun"}
+    assert texts._vocabulary(t).count() == 2 and len(calls) == 1
